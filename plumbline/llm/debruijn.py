@@ -204,13 +204,14 @@ def remove_repeats(documents: DataFrame, k: int = 20) -> tuple[DataFrame, DataFr
     texts = _with_key(documents)
 
     def cut(spans: DataFrame) -> DataFrame:
+        # what each document must know, in one slim row, so that the texts are dealt out once
+        own = spans.groupBy("id").agg(F.collect_list(F.struct("key", "start", "edges", "source", "source_start")).alias("own"))
         each = spans.select(F.explode(F.arrays_zip("source", "source_start", "edges")).alias("s")).select("s.*").distinct()
-        asked = each.groupBy(F.col("source").alias("asked_id")).agg(F.collect_list("source_start").alias("asked_start"), F.collect_list("edges").alias("asked_edges"))
-        with_own = texts.join(spans.select("id", "key", "start", "edges", "source", "source_start"), ["id", "key"], "left")
-        both = with_own.join(asked, with_own.id == asked.asked_id, "left").where("start is not null or asked_start is not null")
+        asked = each.groupBy(F.col("source").alias("id")).agg(F.collect_list("source_start").alias("asked_start"), F.collect_list("edges").alias("asked_edges"))
+        told = texts.join(own.join(asked, "id", "full"), "id").withColumn("mine", F.get(F.filter("own", lambda x: x["key"] == F.col("key")), F.lit(0)))
         empty = F.array().cast("array<bigint>")
-        lists = [F.coalesce(c, empty).alias(c) for c in ("start", "edges", "source", "source_start", "asked_start", "asked_edges")]
-        return table(both.select("id", "key", "text", *lists).mapInArrow(_cut(k), _CUT_DDL), "cut")
+        lists = [F.coalesce(f"mine.{c}", empty).alias(c) for c in ("start", "edges", "source", "source_start")] + [F.coalesce(c, empty).alias(c) for c in ("asked_start", "asked_edges")]
+        return table(told.select("id", "key", "text", *lists).mapInArrow(_cut(k), _CUT_DDL), "cut")
 
     done = cut(spans)
     on = ["source", "source_start", "edges", "run"]
@@ -231,3 +232,18 @@ def without_repeats(documents: DataFrame, k: int = 20) -> DataFrame:
     freed = found.where(F.size("start") > 0).join(changed.select("id", "key").distinct(), ["id", "key"], "left_anti").select("id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("sha").alias("kept_sha256"))
     out = same.unionByName(lost).unionByName(freed)
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+def cleaned(documents: DataFrame, k: int = 20) -> DataFrame:
+    """``documents`` with repeated spans removed from text and n_chars (where there is one) set to its length.
+
+    A text that loses words is what it keeps, joined by one space; the others stay as they are.  Documents
+    that lose all their words go.
+    """
+    _, changed = remove_repeats(documents, k)
+    lost = changed.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "kept").dropDuplicates(["__id", "__key"])
+    keyed = documents.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    out = keyed.join(lost, ["__id", "__key"], "left").where("kept is null or kept != ''").withColumn("text", F.coalesce("kept", "text"))
+    if "n_chars" in documents.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+    return out.select(*documents.columns)

@@ -2,27 +2,81 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .debruijn import without_repeats
+from .jaccard import near_duplicates
+from .mixing import mix
+from .ordinal import rate
+from .packing import pack
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_read(spark, sf_dir, "documents"))
+
+
 def op6_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return rate(docs, _read(spark, sf_dir, "labels")).drop("text")
+
+
 QUERIES = {
+    "op1_min_bin_slack": op1_min_bin_slack,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_systematic_mix": op3_systematic_mix,
     "op6_debruijn_dedup": op6_debruijn_dedup,
+    "op7_ordinal_quality": op7_ordinal_quality,
 }
 
 #: Words as the contracts define them.
 _W = r"'[^\x20\x09-\x0D]+'"
 
 SQL = {
+    "op2_ngram_jaccard": rf"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_W}) AS w FROM documents),
+s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id != b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, least(d.doc_id, min(r.y)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.x = d.doc_id GROUP BY d.doc_id""",
+    "op3_systematic_mix": rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_W}))::BIGINT AS size FROM documents),
+b AS (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size), 1, 8))::BIGINT % (SELECT greatest(256, ceil(count(*) / 20000.0)::BIGINT) FROM d) AS bucket FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+k AS (SELECT *, row_number() OVER (ORDER BY source_size * 3.0::DOUBLE / weight, source NULLS LAST) AS n FROM w),
+l AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+             / (sum(weight) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM k),
+f AS (SELECT min(n) AS n, arg_min(level, n) AS level FROM l WHERE source_size * 3.0::DOUBLE > level * weight),
+t AS (SELECT l.source, l.source_size, CASE WHEN f.n IS NULL OR l.n < f.n THEN l.source_size * 3.0::DOUBLE ELSE least(l.source_size * 3.0::DOUBLE, f.level * l.weight) END AS target FROM l, f),
+p AS (SELECT b.*, t.source_size, t.target, sum(size) OVER (PARTITION BY b.source ORDER BY bucket, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto,
+             CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS ratio,
+             ('0x' || substr(md5('7:' || (b.source IS NULL)::INT || ':' || coalesce(b.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+      FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, least(floor(upto * ratio + u) - floor((upto - size) * ratio + u), 3 * size)::BIGINT AS taken FROM p)
+SELECT doc_id, source, size, source_size, target, CASE WHEN size > 0 THEN taken // size ELSE 0 END::BIGINT AS copies, taken FROM q""",
     "op6_debruijn_dedup": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_W}) AS w FROM documents),
 p AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),

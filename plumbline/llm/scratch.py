@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
 import uuid
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ROOT: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -53,8 +53,10 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it back: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    schema = df.schema
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets the context cleaner drop shuffle files nobody can reach any more
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # the shuffles behind a table that is written are of no more use
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
