@@ -8,6 +8,7 @@ out, take the tokenizer's own path.  The result equals the tokenizer's own for e
 from __future__ import annotations
 
 import json
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,9 @@ KEPT = 1_000_000
 _LOADED: dict[str, ByteBpe] = {}
 
 
-def _kinds() -> np.ndarray:
+@cache
+def character_kinds() -> np.ndarray:
+    """LETTER, NUMBER, BLANK or 0 for every code point."""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     kinds = np.zeros(0x110000, np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
@@ -59,7 +62,7 @@ class ByteBpe:
         self.size_of = np.zeros(max(ranks.values()) + 2, np.int64)
         for k, v in ranks.items():
             self.size_of[v] = len(k)
-        self.kinds = _kinds()
+        self.kinds = character_kinds()
         self.known = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)

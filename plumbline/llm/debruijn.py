@@ -215,8 +215,11 @@ def remove_repeats(documents: DataFrame, k: int = 20) -> tuple[DataFrame, DataFr
 
     done = cut(spans)
     on = ["source", "source_start", "edges", "run"]
-    wrong = table(done.where("kind = 1").join(done.where("kind = 2").select(*on).distinct(), on, "left_anti").select("id", "key", "start").distinct(), "wrong")
-    if not wrong.isEmpty():  # edge hashes that collide: the paths they made are discarded
+    # distinct before the join: a passage that very many documents share is one row on either side
+    said, true = (done.where(f"kind = {k}").select(*on).distinct() for k in (1, 2))
+    false = table(said.join(true, on, "left_anti"), "false")
+    if not false.isEmpty():  # edge hashes that collide: the paths they made are discarded
+        wrong = done.where("kind = 1").join(false, on).select("id", "key", "start").distinct()
         flat = spans.select("id", "key", F.explode(F.arrays_zip("start", "edges", "source", "source_start")).alias("s")).select("id", "key", "s.*")
         right = flat.join(wrong, ["id", "key", "start"], "left_anti")
         done = cut(right.groupBy("id", "key").agg(*(F.collect_list(c).alias(c) for c in ("start", "edges", "source", "source_start"))))

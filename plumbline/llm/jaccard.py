@@ -9,10 +9,11 @@ is exact; only the order of shingles, not the result, depends on statistics.
    documents share one of these.  Documents without a shared shingle in the prefix are done.
 3. Documents with equal sets form one node; nodes with the same size and prefix form one group, and only
    groups send their prefix, a row a shingle, to the join.
-4. First each shingle's groups are paired with the most central of them alone and verified; links make
-   components.  Then all pairs of nodes that share a prefix shingle, may be similar by size and position,
-   and lie in different components still, are verified.  So a group of thousands of near copies costs
-   pairs in proportion to its size, and no link between components is lost.
+4. First each node is paired, in two rounds, with the most central group alone among those of other
+   components that it shares a shingle with, and verified; links make components.  Then all pairs of nodes
+   that share a prefix shingle, may be similar by size and position, and lie in different components still,
+   are verified.  So a group of thousands of near copies costs pairs in proportion to its size, and no
+   link between components is lost.
 5. Components follow from links by the large-star, small-star algorithm, in Spark joins alone.
 
 Defined results: null and empty texts and texts without words have no shingles and link with nothing; with
@@ -39,6 +40,10 @@ _NODES = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64(
 _NODES_DDL = "doc_id bigint, key bigint, n bigint, node binary, unique bigint, prefix array<bigint>, shared array<bigint>"
 
 
+#: Rounds of pairing nodes with centres alone before all open pairs are tried.
+STAR_ROUNDS = 2
+
+
 def _key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
@@ -151,18 +156,17 @@ def components(links: DataFrame) -> DataFrame:
     aggregate and joined back, so that a node with very many neighbours is not one task's work.
     """
     edges = table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = table(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        small = table(small, "small")
-        if edges.exceptAll(small).isEmpty() and small.exceptAll(edges).isEmpty():
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        edges = table(small.select("e.*").where("u != v").distinct(), "edges")
+        last, mark = mark, tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40)), F.sum(F.hash("v", "u").cast("bigint"))).first())
+        if mark == last:
             break
-        edges = small
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -181,6 +185,33 @@ def _verified(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
     return pairs.join(x, "a").join(y, "b").where((num + den) * common >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
+def _open_tokens(posted: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Shingles whose documents lie in more than one component."""
+    parts = labelled.select("group", "component").distinct()
+    spread = posted.select("token", "group").join(parts, "group").groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return spread.where("lo != hi").select("token")
+
+
+def _spokes(posted: DataFrame, groups: DataFrame, member: DataFrame, found: DataFrame, num: int, den: int, own: bool) -> DataFrame:
+    """One pair for each node: with the head of the most central group, in another component, that it shares a
+    shingle with; at first also with the head of its own group."""
+    head = groups.select("group", F.col("head").alias("node")).join(found, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
+    rank = F.struct((F.col("unique") / F.col("n")).alias("r"), "n", "group", "component", "node")
+    listed = posted.select("token", "group", "n", "unique").join(head, "group")
+    best = listed.groupBy("token").agg(F.min(rank).alias("c"))
+    second = listed.join(best.select("token", F.col("c.component").alias("taken")), "token").where("component != taken").groupBy("token").agg(F.min(rank).alias("c2"))
+    centres = best.join(second, "token")
+    labelled = member.join(found, "node", "left").select("node", "group", F.coalesce("component", "node").alias("component"))
+    parts = labelled.select("group", "component").distinct()
+    chosen = F.when(F.col("component") != F.col("c.component"), F.col("c")).otherwise(F.col("c2"))
+    asked = posted.select("token", "group", "n").join(parts, "group").join(centres, "token").withColumn("x", chosen).where(f"{den} * least(n, x.n) >= {num} * greatest(n, x.n)")
+    star = asked.groupBy("group", "component").agg(F.min("x").alias("x")).select("group", "component", F.col("x.node").alias("b"))
+    pairs = labelled.join(star, ["group", "component"]).select(F.col("node").alias("a"), "b")
+    if own:
+        pairs = pairs.unionByName(member.join(groups.where("members > 1").select("group", F.col("head").alias("b")), "group").select(F.col("node").alias("a"), "b"))
+    return pairs.where("a != b").distinct()
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, num: int = 3, den: int = 4) -> DataFrame:
     """Per row of ``documents``: doc_id, key (hash of the text), n_shingles and component_id, the smallest id
     that links reach."""
@@ -197,32 +228,33 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 3, den: int = 4
     # groups: nodes of one size with one prefix
     groups = nodes.groupBy("group").agg(F.min("node").alias("head"), F.count("*").alias("members"))
     heads = nodes.join(groups.select(F.col("head").alias("node"), "members"), "node")
-    posted = heads.select("group", "n", "unique", "members", F.posexplode("prefix").alias("pos", "token"))
-    posted = table(posted.withColumn("pos", F.col("pos") + F.col("unique")), "posted")
-
-    # first the most central group of each shingle with all the others, members with its head
-    rank = F.struct((F.col("unique") / F.col("n")).alias("r"), "n", "group")
-    centre = posted.groupBy("token").agg(F.min(rank).alias("c"), F.count("*").alias("k")).where("k > 1").select("token", F.col("c.group").alias("centre"), F.col("c.n").alias("c_n"))
-    star = posted.join(centre, "token").where(f"group != centre and {den} * least(n, c_n) >= {num} * greatest(n, c_n)").select("group", "centre").distinct()
-    member = nodes.select("node", "group")
-    head = groups.select(F.col("group").alias("centre"), F.col("head").alias("b"))
-    own = member.join(groups.where("members > 1").select("group", F.col("head").alias("b")), "group").select(F.col("node").alias("a"), "b")
-    spokes = member.join(star, "group").join(head, "centre").select(F.col("node").alias("a"), "b")
-    first = table(_verified(spokes.unionByName(own).where("a != b").distinct(), nodes, num, den), "links")
-    found = table(components(first), "components")
-
-    # then whatever lies in different components still
-    labelled = nodes.join(found, "node", "left").select("node", "group", "n", "unique", F.coalesce("component", "node").alias("component"))
-    parts = labelled.select("group", "component").distinct()
-    open_tokens = posted.select("token", "group").join(parts, "group").groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-    rows = table(posted.join(open_tokens, "token").select("token", "group", "pos").join(labelled, "group").select("token", "node", "component", "n", "pos"), "open")
+    posted = heads.select("group", "n", "unique", "prefix", F.posexplode("prefix").alias("pos", "token"))
+    # ``before``: the shared shingles that stand earlier in the prefix
+    posted = posted.select("group", "n", "unique", "token", (F.col("pos") + F.col("unique")).alias("pos"), F.slice("prefix", F.lit(1), F.col("pos")).alias("before"))
+    often = posted.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    posted = table(posted.join(often, "token", "left_semi"), "posted")
+
+    member = nodes.select("node", "group", "n")
+    found, links = member.select("node", F.col("node").alias("component")).limit(0), None
+    for _ in range(STAR_ROUNDS):
+        pairs = _spokes(posted, groups, member, found, num, den, own=links is None)
+        new = table(_verified(pairs, nodes, num, den), "links")
+        if new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        found = table(components(links), "components")
+
+    # then whatever lies in different components still: a pair counts at the first shingle that both prefixes hold
+    labelled = member.join(found, "node", "left").select("node", "group", "n", F.coalesce("component", "node").alias("component"))
+    rows = posted.join(_open_tokens(posted, labelled), "token", "left_semi").select("token", "group", "pos", "before").join(labelled, "group")
+    rows = table(rows.select("token", "node", "component", "n", "pos", "before"), "open")
     x, y = rows.alias("x"), rows.alias("y")
     fits = F.expr(f"{num + den} * (least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)) >= {num} * (x.n + y.n)")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", num, den) & fits)
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    second = table(_verified(rest, nodes, num, den), "links")
-    if not second.isEmpty():
-        found = table(components(first.unionByName(second)), "components")
+    first = ~F.arrays_overlap("x.before", "y.before")
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", num, den) & fits & first)
+    last = table(_verified(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), nodes, num, den), "links")
+    if not last.isEmpty():
+        found = table(components(last if links is None else links.unionByName(last)), "components")
 
     ids = some.select("doc_id", "key", "n", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))

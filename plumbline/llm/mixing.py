@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import table
+
 #: Rows of a bucket, at most, when hashes are even.
 BUCKET_ROWS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,7 +68,8 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 
     ``taken`` are the words that the mix takes, repeats counted; ``copies`` the whole copies in it.
     """
-    return sample(sized(documents), weights, most, seed, unit)
+    # sizes are used three times: texts are read once, for a slim table
+    return sample(table(sized(documents), "sizes"), weights, most, seed, unit)
 
 
 def sample(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7, unit: str = "word", extra: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:

@@ -5,11 +5,35 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from .debruijn import without_repeats
+from .fingerprints import compare_neighbours
 from .jaccard import near_duplicates
+from .langid import identify
+from .linefreq import judge
 from .mixing import mix
 from .ordinal import rate
 from .packing import pack
+from .toxicity import score
+from .urlfilter import judge_urls
+
+#: A dated URL list, as a pipeline would be given: (kind, entry, action, day, seq).
+URL_LIST = [
+    ("domain", "spam-farm.example.org", "add", "2024-01-10", 1),
+    ("domain", "spam-farm.example.org", "remove", "2024-04-01", 2),
+    ("domain", "spam-farm.example.org", "add", "2024-06-15", 3),
+    ("domain", "example.net", "add", "2024-03-01", 4),
+    ("domain", "example.net", "remove", "2024-03-15", 5),
+    ("domain", "tionsh.example.net", "add", "2024-09-01", 6),
+    ("prefix", "blog.tionble.example.com/en", "add", "2024-02-01", 7),
+    ("prefix", "blog.tionble.example.com/en", "remove", "2024-02-01", 8),
+    ("prefix", "blog.tionble.example.com/fr", "add", "2024-05-05", 9),
+    ("prefix", "m.tiontion.example.com/de", "add", "2024-01-01", 10),
+    ("prefix", "m.tiontion.example.com/de", "remove", "2024-12-01", 11),
+    ("domain", "blog.ththth.example.org", "remove", "2024-07-01", 12),
+    ("domain", "blog.ththth.example.org", "add", "2024-10-01", 13),
+]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +52,18 @@ def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"))
 
 
+def op4_temporal_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` has no fetch times: page n counts as fetched n days, modulo 366, into 2024."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(date '2024-01-01', cast(page_id % 366 as int))").alias("fetched"))
+    events = spark.createDataFrame(URL_LIST, "kind string, entry string, action string, day string, seq int").withColumn("day", F.col("day").cast("date"))
+    out = judge_urls(pages, events)
+    return out.withColumn("fetched", F.date_format("fetched", "yyyy-MM-dd"))
+
+
+def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_read(spark, sf_dir, "documents"))
+
+
 def op6_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(_read(spark, sf_dir, "documents"))
 
@@ -37,17 +73,36 @@ def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate(docs, _read(spark, sf_dir, "labels")).drop("text")
 
 
+def op8_marginal_unigram_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op9_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op10_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_neighbours(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_min_bin_slack": op1_min_bin_slack,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_systematic_mix": op3_systematic_mix,
+    "op4_temporal_url_list": op4_temporal_url_list,
+    "op5_line_frequency": op5_line_frequency,
     "op6_debruijn_dedup": op6_debruijn_dedup,
     "op7_ordinal_quality": op7_ordinal_quality,
+    "op8_marginal_unigram_langid": op8_marginal_unigram_langid,
+    "op9_cnn_toxicity": op9_cnn_toxicity,
+    "op10_prefix_fingerprints": op10_prefix_fingerprints,
 }
 
 #: Words as the contracts define them.
 _W = r"'[^\x20\x09-\x0D]+'"
 
+_EVENTS = ", ".join(f"('{k}', '{e}', '{a}', DATE '{d}', {n})" for k, e, a, d, n in URL_LIST)
+
 SQL = {
     "op2_ngram_jaccard": rf"""
 WITH RECURSIVE d AS (
@@ -77,6 +132,34 @@ p AS (SELECT b.*, t.source_size, t.target, sum(size) OVER (PARTITION BY b.source
       FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, least(floor(upto * ratio + u) - floor((upto - size) * ratio + u), 3 * size)::BIGINT AS taken FROM p)
 SELECT doc_id, source, size, source_size, target, CASE WHEN size > 0 THEN taken // size ELSE 0 END::BIGINT AS copies, taken FROM q""",
+    "op4_temporal_url_list": rf"""
+WITH ev(kind, entry, action, day, seq) AS (VALUES {_EVENTS}),
+dl AS (SELECT kind, entry, day, arg_max(action, seq) AS action FROM ev GROUP BY ALL),
+tu AS (SELECT *, lag(action) OVER w AS was FROM dl WINDOW w AS (PARTITION BY kind, entry ORDER BY day)),
+sp AS (SELECT *, lead(day) OVER (PARTITION BY kind, entry ORDER BY day) AS until FROM tu WHERE (was IS NULL AND action = 'add') OR was != action),
+li AS (SELECT kind, entry, day AS since, until FROM sp WHERE action = 'add'),
+pg AS (SELECT page_id, url, DATE '2024-01-01' + (page_id % 366)::INT AS fetched,
+       regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', '') AS host,
+       '/' || lower(array_to_string(list_filter(string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), s -> s != ''), '/')) || '/' AS path FROM pages),
+hit AS (SELECT page_id, count(*) AS n_active, min(kind || ':' || entry) AS entry FROM pg JOIN li
+        ON fetched >= since AND (until IS NULL OR fetched < until) AND host != ''
+        AND CASE WHEN kind = 'domain' THEN host = entry OR ends_with(host, '.' || entry) ELSE starts_with(host || path, entry || '/') END GROUP BY page_id)
+SELECT page_id, url, host, strftime(fetched, '%Y-%m-%d') AS fetched, coalesce(n_active, 0)::BIGINT AS n_active, entry, n_active IS NULL AS allowed FROM pg LEFT JOIN hit USING (page_id)""",
+    "op5_line_frequency": rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_W}) AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+tw AS (SELECT doc_id, g FROM p GROUP BY ALL HAVING count(*) > 1),
+rw AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM p JOIN tw USING (doc_id, g)) GROUP BY doc_id),
+l AS (SELECT *, regexp_extract_all(line, {_W}) AS lw FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d)),
+h AS (SELECT doc_id, source, text, line, array_to_string(lw, ' ').translate('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm, len(lw) AS n FROM l WHERE len(lw) > 0),
+du AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n FROM h GROUP BY doc_id),
+fr AS (SELECT source, norm FROM h GROUP BY ALL HAVING count(DISTINCT text) > 20),
+lo AS (SELECT doc_id, sum(h.n)::BIGINT AS n FROM h JOIN fr ON h.norm = fr.norm AND h.source IS NOT DISTINCT FROM fr.source GROUP BY doc_id),
+s AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+      coalesce(du.n, 0) AS n_dup_lines, coalesce(rw.n, 0)::BIGINT AS n_repeat_words, coalesce(lo.n, 0) AS n_frequent_words
+      FROM d LEFT JOIN du USING (doc_id) LEFT JOIN rw USING (doc_id) LEFT JOIN lo USING (doc_id))
+SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * n_frequent_words <= 50 * n_words AS kept FROM s""",
     "op6_debruijn_dedup": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_W}) AS w FROM documents),
 p AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),

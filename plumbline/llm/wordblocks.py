@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -76,12 +76,16 @@ def blocks(data: np.ndarray, where: np.ndarray, size: int = BLOCK_BYTES) -> Iter
 
 def words(data: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte range of every word, and the index of each text's first word (one more than texts)."""
-    inside = ~SPACE[data]
+    return runs(~SPACE[data], where)
+
+
+def runs(inside: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Range of every run of ``inside`` within a text, and the index of each text's first (one more than texts)."""
     begin, end = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]
     seams = np.unique(where[1:-1])
-    seams = seams[(seams > 0) & (seams < len(data))]
+    seams = seams[(seams > 0) & (seams < len(inside))]
     begin[seams] |= inside[seams]
     end[seams - 1] |= inside[seams - 1]
     starts = np.flatnonzero(begin)
