@@ -228,9 +228,8 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 3, den: int = 4
     # groups: nodes of one size with one prefix
     groups = nodes.groupBy("group").agg(F.min("node").alias("head"), F.count("*").alias("members"))
     heads = nodes.join(groups.select(F.col("head").alias("node"), "members"), "node")
-    posted = heads.select("group", "n", "unique", "prefix", F.posexplode("prefix").alias("pos", "token"))
-    # ``before``: the shared shingles that stand earlier in the prefix
-    posted = posted.select("group", "n", "unique", "token", (F.col("pos") + F.col("unique")).alias("pos"), F.slice("prefix", F.lit(1), F.col("pos")).alias("before"))
+    posted = heads.select("group", "n", "unique", F.posexplode("prefix").alias("pos", "token"))
+    posted = posted.select("group", "n", "unique", "token", (F.col("pos") + F.col("unique")).alias("pos"))
     often = posted.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     posted = table(posted.join(often, "token", "left_semi"), "posted")
 
@@ -246,7 +245,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 3, den: int = 4
 
     # then whatever lies in different components still: a pair counts at the first shingle that both prefixes hold
     labelled = member.join(found, "node", "left").select("node", "group", "n", F.coalesce("component", "node").alias("component"))
-    rows = posted.join(_open_tokens(posted, labelled), "token", "left_semi").select("token", "group", "pos", "before").join(labelled, "group")
+    rows = posted.join(_open_tokens(posted, labelled), "token", "left_semi").join(heads.select("group", "prefix"), "group")
+    # ``before``: the shared shingles that stand earlier in the prefix
+    rows = rows.select("token", "group", "pos", F.slice("prefix", F.lit(1), (F.col("pos") - F.col("unique")).cast("int")).alias("before")).join(labelled, "group")
     rows = table(rows.select("token", "node", "component", "n", "pos", "before"), "open")
     x, y = rows.alias("x"), rows.alias("y")
     fits = F.expr(f"{num + den} * (least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)) >= {num} * (x.n + y.n)")

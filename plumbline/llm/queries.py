@@ -140,7 +140,7 @@ sp AS (SELECT *, lead(day) OVER (PARTITION BY kind, entry ORDER BY day) AS until
 li AS (SELECT kind, entry, day AS since, until FROM sp WHERE action = 'add'),
 pg AS (SELECT page_id, url, DATE '2024-01-01' + (page_id % 366)::INT AS fetched,
        regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', '') AS host,
-       '/' || lower(array_to_string(list_filter(string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), s -> s != ''), '/')) || '/' AS path FROM pages),
+       '/' || lower(array_to_string(list_filter(string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s != ''), '/')) || '/' AS path FROM pages),
 hit AS (SELECT page_id, count(*) AS n_active, min(kind || ':' || entry) AS entry FROM pg JOIN li
         ON fetched >= since AND (until IS NULL OR fetched < until) AND host != ''
         AND CASE WHEN kind = 'domain' THEN host = entry OR ends_with(host, '.' || entry) ELSE starts_with(host || path, entry || '/') END GROUP BY page_id)
