@@ -277,8 +277,8 @@ for _name, _sql in {
 }.items():
     bound(f"score_{_name}", f"WITH {FLAT} SELECT row_id, {_sql} AS {_name} FROM y GROUP BY row_id")(scored(_name))
 
-bound("score_dealbreaker_gate", f"WITH {FLAT} SELECT row_id, CASE WHEN any_value(surface) = 'none' THEN NULL ELSE least(CASE WHEN bool_or(host = 'tionsh.example.net') THEN 0.0 ELSE 1.0 END, CASE WHEN row_id % 8 <= 5 THEN 1.0 ELSE 0.0 END) END::DOUBLE AS dealbreaker_gate FROM y GROUP BY row_id")(scored("dealbreaker_gate"))
-bound("score_domain_entropy", f"WITH {FLAT}, c AS (SELECT row_id, any_value(surface) AS surface, host, count(*) AS c FROM y GROUP BY row_id, host), n AS (SELECT row_id, any_value(surface) AS surface, sum(c)::DOUBLE AS n, list(c) AS cs FROM c GROUP BY row_id) SELECT row_id, CASE WHEN surface != 'none' AND n >= 2 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_sum(list_transform(cs, k -> -(k / n) * ln(k / n))) / ln(n))) END AS domain_entropy FROM n")(scored("domain_entropy"))
+bound("score_dealbreaker_gate", f"WITH {FLAT} SELECT row_id, CASE WHEN any_value(surface) = 'none' THEN NULL ELSE least(CASE WHEN bool_or(host = 'tionsh.example.net' OR ends_with(host, '.tionsh.example.net')) THEN 0.0 ELSE 1.0 END, CASE WHEN row_id % 8 <= 5 THEN 1.0 ELSE 0.0 END) END::DOUBLE AS dealbreaker_gate FROM y GROUP BY row_id")(scored("dealbreaker_gate"))
+bound("score_domain_entropy", f"WITH {FLAT}, c AS (SELECT row_id, any_value(surface) AS surface, host, count(*) AS c FROM y GROUP BY row_id, host), n AS (SELECT row_id, any_value(surface) AS surface, sum(c)::DOUBLE AS n, list(c) AS cs FROM c GROUP BY row_id) SELECT row_id, CASE WHEN surface != 'none' AND n >= 2 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_sum(list_transform(cs, lambda k: -(k / n) * ln(k / n))) / ln(n))) END AS domain_entropy FROM n")(scored("domain_entropy"))
 bound("score_token_discounted_gain", f"WITH {FLAT}, s AS (SELECT *, (step + 1) * 1000.0::DOUBLE / count(*) OVER (PARTITION BY row_id, step) AS share FROM y), r AS (SELECT *, sum(share) OVER (PARTITION BY row_id ORDER BY step, rank) AS read FROM s) SELECT row_id, CASE WHEN any_value(surface) = 'full' THEN coalesce(exp(-min(read) FILTER (gold) / 4000.0::DOUBLE), 0.0) END AS token_discounted_gain FROM r GROUP BY row_id")(scored("token_discounted_gain"))
 bound("score_compression_redundancy")(scored("compression_redundancy"))
 
@@ -303,7 +303,7 @@ def q_grain(spark, d):
     return records.result_grain(trajectories(spark, d)).select("row_id", "rank", "url", "host", "snippet_hash")
 
 
-@bound("domain_concentration", f"WITH {FLAT}, c AS (SELECT step, host, count(*) AS n FROM y GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY n DESC, host) AS at FROM c) SELECT step, count(*) AS domains, sum(n)::BIGINT AS results, sum(n) FILTER (at = 1) / sum(n) AS top1, sum(n) FILTER (at <= 5) / sum(n) AS top5, sum(n) FILTER (n > 1) / sum(n) AS repeated FROM p GROUP BY 1")
+@bound("domain_concentration", f"WITH {FLAT}, c AS (SELECT step, host, count(*) AS n FROM y GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY n DESC, host) AS pl FROM c) SELECT step, count(*) AS domains, sum(n)::BIGINT AS results, sum(n) FILTER (pl = 1) / sum(n) AS top1, sum(n) FILTER (pl <= 5) / sum(n) AS top5, sum(n) FILTER (n > 1) / sum(n) AS repeated FROM p GROUP BY 1")
 def q_concentration(spark, d):
     p = read(spark, d, "pages").select((F.floor(F.col("page_id") / 50) % 3).alias("step"), T.host(F.col("url")).alias("host"))
     return records.concentration(p, ["step"], "host")
@@ -392,15 +392,15 @@ def q_promotions(spark, d):
 def observations(spark, d) -> DataFrame:
     return read(spark, d, "lineitem").select(
         F.concat(F.lit("P"), "l_partkey").alias("entity_id"), F.concat(F.lit("Part "), "l_partkey").alias("entity_name"), F.lit("part").alias("entity_type"), F.lit("ceo_of").alias("attribute"),
-        F.when(F.col("l_linenumber") > 4, F.lit("old")).alias("old_value"), F.col("l_returnflag").alias("new_value"), F.date_trunc("year", F.col("l_shipdate").cast("timestamp")).alias("effective_ts"),
+        F.when((F.col("l_linenumber") > 4) & (F.col("l_partkey") % 3 == 0), F.lit("old")).alias("old_value"), F.col("l_returnflag").alias("new_value"), F.when(F.col("l_partkey") % 2 == 0, F.lit("1995-01-01").cast("timestamp")).otherwise(F.date_trunc("year", F.col("l_shipdate").cast("timestamp"))).alias("effective_ts"),
         F.col("l_shipdate").cast("timestamp").alias("observed_ts"), F.concat(F.lit("https://s"), "l_suppkey", F.lit(".example.org/")).alias("source_url"), F.lit("x").alias("source_type"),
         F.concat(F.lit("r"), F.col("l_suppkey") % 5).alias("resolver_id"), F.lit(None).cast("string").alias("attester_id"), F.concat(F.lit("a"), F.col("l_suppkey") % 3).alias("authority_family"),
         F.lit("s").alias("compliance_source_id"), F.lit(None).cast("array<string>").alias("aliases"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"))
 
 
 FACTS = """f AS (SELECT 'p' || l_partkey AS k, lower(l_returnflag) AS v, count(DISTINCT l_suppkey % 5) AS r, count(DISTINCT l_suppkey % 3) AS a,
- count(DISTINCT year(l_shipdate)) AS t, count(DISTINCT l_linenumber > 4) AS op, count(*) AS n FROM lineitem GROUP BY 1, 2),
- j AS (SELECT *, list_filter([CASE WHEN r < 2 THEN 'insufficient_resolvers' END, CASE WHEN a < 2 THEN 'insufficient_attesters' END, CASE WHEN op > 1 THEN 'old_value_disagreement' END, CASE WHEN t > 1 THEN 'effective_ts_disagreement' END], x -> x IS NOT NULL) AS reasons FROM f)"""
+ count(DISTINCT CASE WHEN l_partkey % 2 = 0 THEN 1995 ELSE year(l_shipdate) END) AS t, count(DISTINCT (l_linenumber > 4 AND l_partkey % 3 = 0)) AS op, count(*) AS n FROM lineitem GROUP BY 1, 2),
+ j AS (SELECT *, list_filter([CASE WHEN r < 2 THEN 'insufficient_resolvers' END, CASE WHEN a < 2 THEN 'insufficient_attesters' END, CASE WHEN op > 1 THEN 'old_value_disagreement' END, CASE WHEN t > 1 THEN 'effective_ts_disagreement' END], lambda x: x IS NOT NULL) AS reasons FROM f)"""
 
 
 @bound("fact_rows", f"WITH {FACTS} SELECT upper(k) AS entity_id, 'Who is the CEO of Part ' || substr(k, 2) || '?' AS question, v AS expected, r::INT AS resolvers, a::INT AS attesters FROM j WHERE len(reasons) = 0")
@@ -420,7 +420,7 @@ def q_reasons(spark, d):
     return facts.reason_histogram(facts.build_rows(observations(spark, d), "freeze", "dev")[1])
 
 
-@bound("trap_rows", "WITH t AS (SELECT o_custkey AS trap_id, count(DISTINCT o_orderpriority) AS r, arg_min(o_orderdate, (o_orderdate, o_orderkey)) AS at, count(DISTINCT o_orderstatus) AS q FROM orders GROUP BY 1), j AS (SELECT trap_id, list_filter([CASE WHEN r < 2 THEN 'insufficient_resolvers' END, CASE WHEN r < 2 THEN 'insufficient_attesters' END, CASE WHEN q != 1 THEN 'question_disagreement' END, CASE WHEN at <= TIMESTAMP '1996-01-01' + INTERVAL 7 DAY THEN 'resolves_inside_safety_window' END], x -> x IS NOT NULL) AS reasons FROM t) SELECT trap_id, array_to_string(reasons, ',') AS reasons FROM j WHERE len(reasons) > 0")
+@bound("trap_rows", "WITH t AS (SELECT o_custkey AS trap_id, count(DISTINCT o_orderpriority) AS r, arg_min(o_orderdate, (o_orderdate, o_orderkey)) AS due, count(DISTINCT o_orderstatus) AS q FROM orders GROUP BY 1), j AS (SELECT trap_id, list_filter([CASE WHEN r < 2 THEN 'insufficient_resolvers' END, CASE WHEN r < 2 THEN 'insufficient_attesters' END, CASE WHEN q != 1 THEN 'question_disagreement' END, CASE WHEN due <= TIMESTAMP '1996-01-01' + INTERVAL 7 DAY THEN 'resolves_inside_safety_window' END], lambda x: x IS NOT NULL) AS reasons FROM t) SELECT trap_id, array_to_string(reasons, ',') AS reasons FROM j WHERE len(reasons) > 0")
 def q_traps(spark, d):
     o = read(spark, d, "orders").select(F.col("o_custkey").alias("trap_id"), F.col("o_orderstatus").alias("question"), F.lit("x").alias("attribute"), F.col("o_orderdate").cast("timestamp").alias("observed_ts"), F.col("o_orderpriority").alias("resolver_id"), F.lit(None).cast("string").alias("attester_id"), F.col("o_orderpriority").alias("authority_family"), F.col("o_orderkey").alias("line_no"))
     first = o.groupBy("trap_id").agg(F.min("observed_ts").alias("scheduled_resolution_ts"))
@@ -428,7 +428,7 @@ def q_traps(spark, d):
     return rejected.select("trap_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@bound("claim_changes", "WITH s AS (SELECT l_partkey, list_sort(list(DISTINCT l_returnflag) FILTER (l_linenumber <= 2)) AS a, list_sort(list(DISTINCT l_returnflag) FILTER (l_linenumber > 2)) AS b FROM lineitem GROUP BY 1) SELECT l_partkey, list_filter(b, x -> NOT list_contains(a, x))[1] AS added, list_filter(a, x -> NOT list_contains(b, x))[1] AS removed FROM s WHERE a IS NOT NULL AND b IS NOT NULL AND len(list_filter(b, x -> NOT list_contains(a, x))) = 1 AND len(list_filter(a, x -> NOT list_contains(b, x))) <= 1")
+@bound("claim_changes", "WITH s AS (SELECT l_partkey, list_sort(list(DISTINCT l_returnflag) FILTER (l_linenumber <= 2)) AS a, list_sort(list(DISTINCT l_returnflag) FILTER (l_linenumber > 2)) AS b FROM lineitem GROUP BY 1) SELECT l_partkey, list_filter(b, lambda x: NOT list_contains(a, x))[1] AS added, list_filter(a, lambda x: NOT list_contains(b, x))[1] AS removed FROM s WHERE a IS NOT NULL AND b IS NOT NULL AND len(list_filter(b, lambda x: NOT list_contains(a, x))) = 1 AND len(list_filter(a, lambda x: NOT list_contains(b, x))) <= 1")
 def q_claims(spark, d):
     li = read(spark, d, "lineitem").groupBy("l_partkey").agg(F.collect_set(F.when(F.col("l_linenumber") <= 2, F.col("l_returnflag"))).alias("a"), F.collect_set(F.when(F.col("l_linenumber") > 2, F.col("l_returnflag"))).alias("b"))
     return li.where("size(a) > 0 and size(b) > 0").select("l_partkey", facts.claim_changes(F.col("a"), F.col("b")).alias("c")).where("c is not null").select("l_partkey", "c.added", "c.removed")
