@@ -54,7 +54,7 @@ def _none_of() -> Column:
 
 def golds() -> Column:
     """Trimmed acceptable answers without blanks."""
-    return F.filter(F.transform(F.coalesce("expected", F.array().cast("array<string>")), F.trim), lambda g: g != "")
+    return F.filter(F.transform(F.coalesce("expected", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda g: g != "")
 
 
 def curated() -> Column:
@@ -185,8 +185,8 @@ def snippet_text() -> Column:
 
 def compression_redundancy() -> Column:
     """Gzip ratio, rescaled to 0..1; null below 200 bytes."""
-    ratio = gzip_ratio()(snippet_text())
-    return F.when(surface().isin(*SNIPPET_SURFACES), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (ratio - 0.05) / 0.55)))
+    ratio = gzip_ratio()(snippet_text())  # NaN where there is too little text
+    return F.when(surface().isin(*SNIPPET_SURFACES) & ratio.isNotNull() & ~F.isnan(ratio), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (ratio - 0.05) / 0.55)))
 
 
 def domain_entropy() -> Column:
@@ -248,7 +248,7 @@ def score(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
     out = rows
     if {"qa_answer_match", "gated_answer_match"} & set(names):
         # one folding pass over golds and answer together
-        marked = F.concat(golds(), F.transform(curated(), F.trim))
+        marked = F.concat(golds(), F.transform(curated(), lambda x: F.trim(x)))
         out = out.withColumn("__marked", fold(F.concat_ws("\u0001", F.concat(F.array(answer()), marked))))
         parts = F.split("__marked", "\u0001")
         out = out.withColumn("folded_answer", F.get(parts, F.lit(0))).withColumn("folded_golds", F.array_distinct(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))))

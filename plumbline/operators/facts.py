@@ -91,7 +91,7 @@ def build_rows(events: DataFrame, freeze_id: str, split: str, as_of: Column | No
         kept = kept.withColumn("answer_bearing_domains", F.lit(None).cast("array<string>"))
     iso = F.date_format(e("effective_ts"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     other = F.filter(F.col("spellings"), lambda s: s != e("new_value"))
-    alias = F.array_sort(F.array_distinct(F.concat(F.filter(F.transform("aliases", F.trim), lambda a: a != ""), other)))
+    alias = F.array_sort(F.array_distinct(F.concat(F.filter(F.transform("aliases", lambda x: F.trim(x)), lambda a: a != ""), other)))
     rows = kept.select(
         T.json_id(F.lit(freeze_id), e("entity_id"), e("attribute"), F.col("k_value"), iso).alias("id"),
         T.question_text(e("attribute"), e("entity_name"), templates).alias("question"),

@@ -349,9 +349,9 @@ def vb_binomial(rows: DataFrame, y: str, names: list[str], cluster: str, fixed_s
     slim = rows.select(F.col(cluster).cast("string").alias("g"), F.col(f"`{y}`").cast("double").alias("y"), *[c.alias(f"x{i}") for i, c in enumerate(_x(names))])
     mean, cov, tau2 = np.zeros(p), np.eye(p) * fixed_sd**2, 1.0
     schema = ", ".join(f"c{i} double" for i in range(p * p + p + 2))
-    for _ in range(rounds):
 
-        def one(frame: pd.DataFrame, mean=mean, cov=cov, tau2=tau2) -> pd.DataFrame:
+    def step(mean: np.ndarray, cov: np.ndarray, tau2: float):
+        def one(frame: pd.DataFrame) -> pd.DataFrame:
             x, t = frame[[f"x{i}" for i in range(p)]].to_numpy(float), frame["y"].to_numpy(float)
             eta, spread, m, v = x @ mean, np.einsum("ip,pq,iq->i", x, cov, x), 0.0, tau2
             for _ in range(5):
@@ -363,7 +363,10 @@ def vb_binomial(rows: DataFrame, y: str, names: list[str], cluster: str, fixed_s
             b = x.T @ (t - 0.5 - 2 * lam * m)
             return pd.DataFrame([[*a.ravel(), *b, m * m + v, 1.0]])
 
-        r = slim.groupBy("g").applyInPandas(one, schema).groupBy().sum().first()
+        return one
+
+    for _ in range(rounds):
+        r = slim.groupBy("g").applyInPandas(step(mean, cov, tau2), schema).groupBy().sum().first()
         a, b = _matrix(r, p, p), _matrix(r, p, 1, p * p).ravel()
         cov = np.linalg.inv(a + np.eye(p) / fixed_sd**2)
         new = cov @ b

@@ -267,3 +267,31 @@ def audit_release(rows: DataFrame, unique: str, not_null: list[str], free_text:
     out = found.select(F.explode(F.concat(each, F.array(*banned)) if banned else each).alias("p")).select("p.*").where("n > 0")
     cells = rows.groupBy(*cell).agg(F.count("*").alias("c")).agg((F.max("c") - F.min("c")).alias("n")).where("n > 0").select(F.lit("unbalanced cells").alias("problem"), "n")
     return out.unionByName(cells)
+
+
+# --- projections --------------------------------------------------------------------------------------------
+def compact_record(events: DataFrame, task_metrics: str = "task_metrics") -> DataFrame:
+    """Export records of events: articles out of the metadata, three keys of the output, the task's metrics over the
+    root's own (P7).  ``metadata`` and ``output`` are structs."""
+    empty = F.create_map().cast("map<string,double>")
+    own, task = F.coalesce("metrics", empty), F.coalesce(task_metrics, empty)
+    merged = F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(task, k)), task)
+    kept = [c for c in ("final_answer", "trajectory", "used_searches") if c in events.schema["output"].dataType.names]
+    out = events.withColumn("metrics", merged).withColumn("output", F.struct(*[F.col(f"output.{c}").alias(c) for c in kept]))
+    if "articles" in events.schema["metadata"].dataType.names:
+        out = out.withColumn("metadata", F.col("metadata").dropFields("articles"))
+    return out.drop(task_metrics)
+
+
+def release_table(rows: DataFrame, drop: list[str] | None = None) -> DataFrame:
+    """What may be published of variable rows: a hashed row id, no texts or span ids, latency from start and end where
+    it is missing (P8)."""
+    gone = set(drop or BANNED)
+    latency = [F.coalesce("latency_s", F.col("end") - F.col("start")).alias("latency_s")] if {"latency_s", "start", "end"} <= set(rows.columns) else []
+    kept = [c for c in rows.columns if c not in gone and not (latency and c in ("latency_s", "start", "end"))]
+    return rows.select(T.row_id(F.col("task_key"), F.col("condition"), F.col("dataset_row_id")).alias("row_id"), *kept, *latency)
+
+
+def without_incomplete(events: DataFrame, roots: DataFrame) -> DataFrame:
+    """Events of complete roots alone, before a rerun (X11)."""
+    return events.join(roots.select("root_span_id").distinct(), "root_span_id", "left_semi")

@@ -22,7 +22,47 @@ SQL: dict[str, str] = {}
 
 
 #: Result columns of floating point, which engines sum in different orders: both sides round them to six places.
-FLOATS: dict[str, list[str]] = {}
+FLOATS: dict[str, list[str]] = {
+    "trial_aggregation": ["score", "searches", "cost"],
+    "condition_summary": ["score_mean", "cost_mean", "score_p95"],
+    "nearest_rank_p95": ["p95"],
+    "paired_differences": ["diff"],
+    "paired_effects": ["effect", "category_balanced"],
+    "reversed_effects": ["effect"],
+    "category_effects": ["effect"],
+    "bootstrap_interval": ["ci_low", "ci_high"],
+    "bootstrap_floor_interval": ["ci_low", "ci_high"],
+    "pareto_frontier": ["score", "cost"],
+    "difference_in_differences": ["effect"],
+    "mediator_deltas": ["delta"],
+    "model_arm_pivot": ["F", "O", "P"],
+    "summary_grouping_sets": ["score"],
+    "latency_quartiles": ["q"],
+    "holm": ["p", "holm_p"],
+    "benjamini_hochberg": ["p", "p_bh"],
+    "z_scores": ["s_acctbal", "z_s_acctbal"],
+    "score_leakage_guard": ["leakage_guard"],
+    "score_budget_economy": ["budget_economy"],
+    "score_temporal_grounding": ["temporal_grounding"],
+    "score_snippet_sufficiency": ["snippet_sufficiency"],
+    "score_evidence_precision": ["evidence_precision"],
+    "score_dealbreaker_gate": ["dealbreaker_gate"],
+    "score_domain_entropy": ["domain_entropy"],
+    "score_token_discounted_gain": ["token_discounted_gain"],
+    "median_publication_lag": ["lag"],
+    "domain_concentration": ["top1", "top5", "repeated"],
+    "error_gate": ["rate"],
+    "search_histogram": ["searches", "accuracy"],
+    "cost_table": ["median_cost", "p95_cost", "max_cost", "cost_per_correct"],
+    "router_simulation": ["score", "cost"],
+    "repeat_variance": ["deviation"],
+    "model_costs": ["model_usd"],
+    "ols_slope": ["intercept", "slope"],
+}
+
+
+def q(column: str) -> str:
+    return f'"{column}"'
 
 
 def bound(name: str, sql: str | None = None):
@@ -35,7 +75,7 @@ def bound(name: str, sql: str | None = None):
 
         QUERIES[name] = query
         if sql:
-            SQL[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in floats)}) FROM ({sql})" if floats else sql
+            SQL[name] = f"SELECT * REPLACE ({', '.join(f'round({q(c)}, 6) AS {q(c)}' for c in floats)}) FROM ({sql})" if floats else sql
         return f
 
     return add

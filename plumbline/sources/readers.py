@@ -23,8 +23,9 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def checked_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Sound rows, and broken lines with their file; blank lines are skipped."""
-    rows = spark.read.schema(schema + ", __bad string").option("columnNameOfCorruptRecord", "__bad").json(path).withColumn("file", F.col("_metadata.file_path"))
-    return rows.where("__bad is null").drop("__bad", "file"), rows.where("__bad is not null and trim(__bad) != ''").select("file", F.col("__bad").alias("line"))
+    raw = spark.read.text(path).withColumn("file", F.col("_metadata.file_path")).where("trim(value) != ''")
+    rows = raw.withColumn("r", F.from_json("value", schema + ", __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))
+    return rows.where("r.__bad is null").select("r.*").drop("__bad"), rows.where("r.__bad is not null").select("file", F.col("value").alias("line"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -77,7 +78,7 @@ def parallel_arrays(docs: DataFrame, block: str, fields: list[str]) -> DataFrame
 
 def item_filings(rows: DataFrame, form: str, item: str, since: str, until: str) -> DataFrame:
     """Filings of a form with an exact item code, filed within two days inclusive."""
-    codes = F.transform(F.split("items", ","), F.trim)
+    codes = F.transform(F.split("items", ","), lambda x: F.trim(x))
     return rows.where((F.col("form") == form) & F.array_contains(codes, item) & F.col("filing_date").between(F.lit(since).cast("date"), F.lit(until).cast("date")))
 
 
