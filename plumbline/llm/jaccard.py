@@ -250,8 +250,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 3, den: int = 4
     rows = rows.select("token", "group", "pos", F.slice("prefix", F.lit(1), (F.col("pos") - F.col("unique")).cast("int")).alias("before")).join(labelled, "group")
     rows = table(rows.select("token", "node", "component", "n", "pos", "before"), "open")
     x, y = rows.alias("x"), rows.alias("y")
-    fits = F.expr(f"{num + den} * (least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)) >= {num} * (x.n + y.n)")
     first = ~F.arrays_overlap("x.before", "y.before")
+    # nothing before the first common shingle is common, so what follows bounds the overlap
+    fits = F.expr(f"{num + den} * least(x.n - x.pos, y.n - y.pos) >= {num} * (x.n + y.n)")
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", num, den) & fits & first)
     last = table(_verified(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), nodes, num, den), "links")
     if not last.isEmpty():
