@@ -127,13 +127,8 @@ def likeness(a: str, b: str) -> float:
     return len(twice) / distinct
 
 
-def _strings(part: np.ndarray, at: np.ndarray) -> list[str]:
-    raw = part.tobytes()
-    return [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-
-
-_OWN = pa.schema([("range", pa.int32()), ("extra", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("text", pa.string()), ("print", pa.string())])
-_OWN_DDL = "range int, extra int, id bigint, key bigint, text string, print string"
+_OWN = pa.schema([("range", pa.int32()), ("extra", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("text", pa.string())])
+_OWN_DDL = "range int, extra int, id bigint, key bigint, text string"
 
 
 def _ranges(ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -142,25 +137,18 @@ def _ranges(ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def _own(cuts: np.ndarray, heads: dict[int, int]):
-    """Each document with its fingerprint and range; a range's first also at the end of the range before."""
+    """Each document with its range; a range's first also at the end of the range before."""
     filled = sorted(heads)
     before = {r: filled[k - 1] for k, r in enumerate(filled)}
 
     def run(batches):
         for batch in batches:
-            data, where = W.utf8(batch.column("text"))
-            for lo, hi, part, at in W.blocks(data, where, BLOCK):
-                texts = _strings(part, at)
-                points, begin = _points(texts)
-                names, _ = fingerprints(PrefixHashes(points), begin)
-                rows = batch.slice(lo, hi - lo)
-                ids = np.asarray(rows.column("id"))
-                of = _ranges(ids, cuts)
-                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.zeros(hi - lo, np.int32)), rows.column("id"), rows.column("key"), pa.array(texts), pa.array(names)], schema=_OWN)
-                again = [n for n in range(hi - lo) if heads[int(of[n])] == ids[n]]
-                if again:
-                    take = pa.array(again)
-                    yield pa.RecordBatch.from_arrays([pa.array([before[int(of[n])] for n in again], pa.int32()), pa.array(np.ones(len(again), np.int32)), rows.column("id").take(take), rows.column("key").take(take), pa.array([texts[n] for n in again]), pa.array([names[n] for n in again])], schema=_OWN)
+            ids = np.asarray(batch.column("id"))
+            of = _ranges(ids, cuts)
+            again = np.flatnonzero([heads[r] == i for r, i in zip(of.tolist(), ids.tolist(), strict=True)])
+            for extra, rows, ranges in ((0, batch, of), (1, batch.take(pa.array(again)), np.array([before[r] for r in of[again].tolist()], np.int32))):
+                if len(ranges):
+                    yield pa.RecordBatch.from_arrays([pa.array(ranges), pa.array(np.full(len(ranges), extra, np.int32)), rows.column("id"), rows.column("key"), rows.column("text").cast(pa.string())], schema=_OWN)
 
     return run
 
@@ -172,13 +160,18 @@ def _beside(batches):
     def compared(pairs):
         texts = [p[0][2] for p in pairs]
         edited = [t[: len(t) - len(t) // 2] + n[2][: len(t) // 2] for t, (_, n) in zip(texts, pairs, strict=True)]
-        points, where = _points(texts + edited)
-        hashes = PrefixHashes(points)
         k = len(pairs)
-        names, _ = fingerprints(hashes, where[k:])
-        limit = np.minimum(np.diff(where)[:k], np.diff(where)[k:])
+        # the next document is mostly the one of the next pair; the others are fingerprinted besides
+        ends = [n for n in range(k) if n + 1 == k or pairs[n][1] is not pairs[n + 1][0]]
+        points, where = _points(texts + edited + [pairs[n][1][2] for n in ends])
+        hashes = PrefixHashes(points)
+        names, _ = fingerprints(hashes, where)
+        limit = np.minimum(np.diff(where)[:k], np.diff(where)[k : 2 * k])
         common = hashes.extension(where[:k], where[k : 2 * k], limit)
-        own = [p[0][3] for p in pairs]
+        own, following = names[:k], names[1 : k + 1]
+        for n, name in zip(ends, names[2 * k :], strict=True):
+            following[n] = name
+        names = names[k : 2 * k]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([p[0][1] if p[0][1] != NO_ID else None for p in pairs], pa.int64()),
@@ -187,7 +180,7 @@ def _beside(batches):
                 pa.array(own),
                 pa.array(names),
                 pa.array([likeness(a, b) for a, b in zip(own, names, strict=True)]),
-                pa.array([likeness(a, p[1][3]) for a, p in zip(own, pairs, strict=True)]),
+                pa.array([likeness(a, b) for a, b in zip(own, following, strict=True)]),
                 pa.array(common),
             ],
             schema=schema,
@@ -195,9 +188,9 @@ def _beside(batches):
 
     last, pairs, size = None, [], 0
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("range", "id", "text", "print", "extra"))
+        columns = (batch.column(c).to_pylist() for c in ("range", "id", "text", "extra"))
         for row in zip(*columns, strict=True):
-            if last is not None and last[0] == row[0] and not last[4]:
+            if last is not None and last[0] == row[0] and not last[3]:
                 pairs.append((last, row))
                 size += len(last[2])
                 if size >= BLOCK // 2:
