@@ -228,9 +228,10 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 3, den: int = 4
     # groups: nodes of one size with one prefix
     groups = nodes.groupBy("group").agg(F.min("node").alias("head"), F.count("*").alias("members"))
     heads = nodes.join(groups.select(F.col("head").alias("node"), "members"), "node")
-    posted = heads.select("group", "n", "unique", F.posexplode("prefix").alias("pos", "token"))
+    posted = heads.select("group", "n", "unique", "members", F.posexplode("prefix").alias("pos", "token"))
+    # a shingle of one group alone can only link its own members, whose first common one is the prefix's first
+    often = posted.groupBy("token").agg(F.count("*").alias("k"), F.max(F.expr("pos = 0 and members > 1")).alias("own")).where("k > 1 or own").select("token")
     posted = posted.select("group", "n", "unique", "token", (F.col("pos") + F.col("unique")).alias("pos"))
-    often = posted.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     posted = table(posted.join(often, "token", "left_semi"), "posted")
 
     member = nodes.select("node", "group", "n")

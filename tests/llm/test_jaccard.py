@@ -72,3 +72,18 @@ def test_matches_brute_force(spark, name):
     df = spark.createDataFrame([(d, t, 1, "clash", "clash") for d, t in rows], SCHEMA)
     got = sorted((tuple(r) for r in near_duplicates(df).select("doc_id", "n_shingles", "component_id").collect()), key=str)
     assert got == expected(rows)
+
+
+def test_links_between_members_of_one_group(spark):
+    """Texts a, b and c have one size and prefix, and no other text has its shingles; a and b alone are similar."""
+    rows, want = [], {}
+    for f in range(8):
+        words = lambda name, n: [f"{f}{name}{k}" for k in range(n)]  # noqa: B023, E731
+        rare, most = words("rare", 11), words("most", 24)
+        rows += [(100 * f + 1, rare + most + words("a", 5)), (100 * f + 2, rare + most + words("b", 5)), (100 * f + 3, rare + words("c", 29))]
+        # long texts without links, so that all but the rare words are frequent
+        rows += [(100 * f + n, most + words("a", 5) + words("b", 5) + words("c", 29) + words(f"own{n}x", 60)) for n in range(4, 8)]
+        want |= {100 * f + n: 100 * f + (1 if n == 2 else n) for n in range(1, 8)}
+    df = spark.createDataFrame([(d, " ".join(t), 1, "clash", "clash") for d, t in rows], SCHEMA)
+    got = {r.doc_id: r.component_id for r in near_duplicates(df, k=1).collect()}
+    assert got == want
