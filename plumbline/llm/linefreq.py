@@ -2,8 +2,8 @@
 
 A line is what lies between newlines and has a word; normalised, it is its words with A-Z lower-cased, as a hash.
 For each host the distinct texts that hold a line are counted (so that mere copies of a document do not make
-its lines frequent).  Lines in more than ``limit`` texts of their host are removed, and a document that would
-lose more than ``most_lost`` percent of its words is depleted and rejected.
+its lines frequent).  Lines in more than ``limit`` texts of their host are frequent, and ``cleaned`` removes them; a document
+that would lose more than ``most_lost`` percent of its words is depleted and rejected.
 
 Texts are read once; then only hashes move.  Counts are summed before they are shuffled, and lines that are not
 above the limit never come back, so a line that a third of a host's documents share costs a row for each.
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordblocks as W
@@ -45,6 +45,21 @@ def _again(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return twice, before
 
 
+def _lines(part: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each line that has a word: its text, its range without the newline, its words, its hash as normalised."""
+    breaks = np.union1d(np.flatnonzero(part == 10) + 1, at[:-1])
+    breaks = breaks[breaks <= len(part)]
+    line_end = np.append(breaks[1:], len(part))
+    line_doc = np.searchsorted(at, breaks, "right") - 1
+    line_end = np.where((line_end > breaks) & (line_end <= len(part)) & (part[np.maximum(line_end, 1) - 1] == 10) if len(part) else False, line_end - 1, line_end)
+    line_first = np.searchsorted(starts, np.append(breaks, len(part)))
+    has = np.diff(line_first) > 0
+    count = np.diff(line_first)[has]
+    lower = W.span_hashes(W.LOWER[part], starts, ends)
+    normal = W.run_hashes(lower, line_first[:-1][has], count).view(np.int64)
+    return line_doc[has], breaks[has], line_end[has], count, normal
+
+
 def _stats(window: int):
     def run(batches):
         for batch in batches:
@@ -63,20 +78,11 @@ def _stats(window: int):
                 np.add.at(cover, word + window, -1)
                 repeat = _per_text(np.cumsum(cover)[:-1] > 0, first)
                 # lines: their raw bytes decide repetition in the text, their words frequency across texts
-                breaks = np.union1d(np.flatnonzero(part == 10) + 1, at[:-1])
-                breaks = breaks[breaks <= len(part)]
-                line_end = np.append(breaks[1:], len(part))
-                line_doc = np.searchsorted(at, breaks, "right") - 1
-                line_end = np.where((line_end > breaks) & (line_end <= len(part)) & (part[np.maximum(line_end, 1) - 1] == 10) if len(part) else False, line_end - 1, line_end)
-                line_first = np.searchsorted(starts, np.append(breaks, len(part)))
-                has = np.diff(line_first) > 0
-                raw = W.span_hashes(part, breaks[has], line_end[has])
-                _, before = _again(line_doc[has], raw)
-                dup = np.bincount(line_doc[has], before, hi - lo).astype(np.int64)
-                count = np.diff(line_first)[has]
-                lower = W.span_hashes(W.LOWER[part], starts, ends)
-                normal = W.run_hashes(lower, line_first[:-1][has], count).view(np.int64)
-                bounds = pa.array(np.searchsorted(line_doc[has], np.arange(hi - lo + 1)).astype(np.int32))
+                line_doc, line_start, line_end, count, normal = _lines(part, at, starts, ends)
+                raw = W.span_hashes(part, line_start, line_end)
+                _, before = _again(line_doc, raw)
+                dup = np.bincount(line_doc, before, hi - lo).astype(np.int64)
+                bounds = pa.array(np.searchsorted(line_doc, np.arange(hi - lo + 1)).astype(np.int32))
                 rows = batch.slice(lo, hi - lo)
                 points = (part & 0xC0) != 0x80
                 stats = np.diff(first), _per_text(points & inside, at), _per_text(SYMBOLS[part], at), dup, repeat
@@ -85,18 +91,67 @@ def _stats(window: int):
     return run
 
 
-def judge(documents: DataFrame, host: str = "source", limit: int = 20, most_lost: int = 50, window: int = 5) -> DataFrame:
-    """Per row of ``documents``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    n_frequent_words (in lines above the limit) and kept."""
+def _cut(names: list[str]):
+    """Texts without the lines whose hashes are in ``__gone``; what is left of the columns are ``names``."""
+
+    def run(batches):
+        for batch in batches:
+            data, where = W.utf8(batch.column("text"))
+            gone = batch.column("__gone").to_pylist()
+            out = batch.column("text").to_pylist()
+            for lo, hi, part, at in W.blocks(data, where, 2 << 20):
+                if not any(gone[lo:hi]):
+                    continue
+                starts, ends, _ = W.words(part, at)
+                line_doc, line_start, _, _, normal = _lines(part, at, starts, ends)
+                breaks = np.concatenate([[0], np.cumsum(part == 10)])
+                bounds = np.searchsorted(line_doc, np.arange(hi - lo + 1))
+                for n in range(hi - lo):
+                    if gone[lo + n]:
+                        own = slice(bounds[n], bounds[n + 1])
+                        drop = np.isin(normal[own], np.array(gone[lo + n], np.int64))
+                        drop = set((breaks[line_start[own][drop]] - breaks[at[n]]).tolist())
+                        lines = out[lo + n].split("\n")
+                        out[lo + n] = "\n".join(x for k, x in enumerate(lines) if k not in drop)
+            columns = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def _keyed(host: str) -> tuple[Column, Column]:
+    """A row's host, null apart from all names, and the hash of its text."""
+    return F.concat_ws("", F.when(F.col(host).isNotNull(), "="), F.col(host).cast("string")), F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _judged(documents: DataFrame, host: str, limit: int, most_lost: int, window: int) -> DataFrame:
+    """The columns of ``judge``, with host, key and gone, the hashes of the lines above the limit."""
     prepare(documents.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.concat_ws("", F.when(F.col(host).isNotNull(), "="), F.col(host).cast("string")).alias("host"), text.alias("text"), F.xxhash64(text).alias("key"))
+    name, key = _keyed(host)
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), name.alias("host"), F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
     stats = table(docs.mapInArrow(_stats(window), _STATS_DDL).withColumn("row", F.monotonically_increasing_id()), "stats")
     held = stats.select("host", "key", F.explode(F.array_distinct("lines")).alias("line"))
     frequent = held.groupBy("host", "line", "key").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("texts")).where(F.col("texts") > limit)
     each = stats.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
-    lost = each.join(frequent.select("host", "line"), ["host", "line"]).groupBy("row").agg(F.sum("words").alias("lost"))
+    lost = each.join(frequent.select("host", "line"), ["host", "line"]).groupBy("row").agg(F.sum("words").alias("lost"), F.collect_set("line").alias("gone"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     judged = stats.join(lost, "row", "left").withColumn("n_frequent_words", F.coalesce("lost", F.lit(0)).cast("bigint")).withColumn("base_failed", failed)
-    kept = ~F.col("base_failed") & (100 * F.col("n_frequent_words") <= most_lost * F.col("n_words"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_frequent_words", kept.alias("kept"))
+    return judged.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_frequent_words") <= most_lost * F.col("n_words")))
+
+
+def judge(documents: DataFrame, host: str = "source", limit: int = 20, most_lost: int = 50, window: int = 5) -> DataFrame:
+    """Per row of ``documents``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    n_frequent_words (in lines above the limit) and kept."""
+    return _judged(documents, host, limit, most_lost, window).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_frequent_words", "kept")
+
+
+def cleaned(documents: DataFrame, host: str = "source", limit: int = 20, most_lost: int = 50, window: int = 5) -> DataFrame:
+    """The documents that ``judge`` keeps, with lines above the limit removed from text and n_chars (where there is
+    one) set to its length.  Other lines, those without words too, stay as they are."""
+    name, key = _keyed(host)
+    fate = _judged(documents, host, limit, most_lost, window).where("kept").select(F.col("host").alias("__host"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
+    kept = documents.withColumn("__host", name).withColumn("__key", key).join(fate.dropDuplicates(["__host", "__key"]), ["__host", "__key"])
+    out = kept.select(*documents.columns, "__gone").mapInArrow(_cut(documents.columns), documents.schema)
+    if "n_chars" in documents.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+    return out

@@ -1,7 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
-from plumbline.llm.linefreq import judge
+from plumbline.llm.linefreq import cleaned, judge
 
 SCHEMA = "doc_id bigint, text string, source string, host string, lines string, key string"
 
@@ -38,3 +38,21 @@ def test_matches_brute_force(spark):
 
 def test_empty(spark):
     assert judge(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_frequent_lines_are_cut(spark):
+    body = lambda n: " ".join(f"wörd{n}x{k}" for k in range(30))
+    rows = [(n, f"Menu  Home\n{body(n)}\n\nMENU home\nend{n % 3}\r", f"s{n % 2}") for n in range(20)]
+    rows += [(100 + n, "\n".join(["Menu home about us now", "other line of the site here", f"x{n}"]), "s1") for n in range(12)]
+    rows += [(50, None, "s0"), (51, "menu home\n" + body(50), None), (52, body(51) + "\nmenu home", "s0"), (None, body(1), "s0"), (3, body(2) + "\n", "s0"), (3, body(2) + "\n", "s0")]
+    norm = lambda line: " ".join(line.lower().split())
+    texts = defaultdict(set)
+    for _, text, host in rows:
+        for line in (text or "").split("\n"):
+            texts[host, norm(line)].add(text)
+    kept = {e[0]: e[-1] for e in expected(rows[:-2], 5)} | {3: True}
+    want = [(i, "\n".join(x for x in (t or "").split("\n") if not norm(x) or len(texts[h, norm(x)]) <= 5), h) for i, t, h in rows if kept[i]]
+    df = spark.createDataFrame([(a, b, c, 1) for a, b, c in rows], "doc_id bigint, text string, source string, n_chars bigint")
+    out = cleaned(df, limit=5).collect()
+    assert sorted((tuple(r)[:3] for r in out), key=str) == sorted(want, key=str)
+    assert out and all(r.n_chars == len(r.text) for r in out) and not any("home" in r.text.lower() for r in out if r.source)
