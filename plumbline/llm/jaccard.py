@@ -213,8 +213,8 @@ def _spokes(posted: DataFrame, groups: DataFrame, member: DataFrame, found: Data
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, num: int = 3, den: int = 4) -> DataFrame:
-    """Per row of ``documents``: doc_id, key (hash of the text), n_shingles and component_id, the smallest id
-    that links reach."""
+    """Per row of ``documents``: doc_id, key (hash of the text), n_shingles, component_id, the smallest id
+    that links reach, and component, its node hash (null where nothing can link)."""
     prepare(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", _key().alias("key"))
     moved = docs.mapInArrow(_sets_of(k), _MOVED_DDL)
@@ -261,20 +261,20 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 3, den: int = 4
 
     ids = some.select("doc_id", "key", "n", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = ids.join(least, "component").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id")
-    return alone.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")).unionByName(linked)
+    linked = ids.join(least, "component").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "component")
+    return alone.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component")).unionByName(linked)
 
 
 def deduplicated(documents: DataFrame, k: int = 5, num: int = 3, den: int = 4) -> DataFrame:
     """``documents`` with one row of each component, that of the smallest id (and text hash) in it; rows without
     an id or without words are kept."""
     found = table(near_duplicates(documents, k, num, den), "found")
-    linked = found.where("doc_id is not null and n_shingles > 0")
-    keep = linked.where("doc_id = component_id").groupBy("component_id").agg(F.min("key").alias("k"), F.count("*").alias("rows"))
+    linked = found.where("doc_id is not null and component is not null")
+    keep = linked.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("k"))
     one = F.col("doc_id").cast("bigint")
     marked = documents.withColumn("__id", one).withColumn("__key", _key())
-    keep = keep.select(F.col("component_id").alias("__id"), F.col("k").alias("__key"), "rows")
-    gone = linked.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct().join(keep.select("__id", "__key"), ["__id", "__key"], "left_anti")
+    keep = keep.select(F.col("k.doc_id").alias("__id"), F.col("k.key").alias("__key"))
+    gone = linked.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct().join(keep, ["__id", "__key"], "left_anti")
     left = marked.join(gone, ["__id", "__key"], "left_anti")
     # rows that are equal in id and text: the first of them
     twice = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))

@@ -4,7 +4,7 @@ from itertools import combinations
 
 import pytest
 
-from plumbline.llm.jaccard import near_duplicates
+from plumbline.llm.jaccard import deduplicated, near_duplicates
 
 SCHEMA = "doc_id bigint, text string, n bigint, node string, component string"
 
@@ -87,3 +87,11 @@ def test_links_between_members_of_one_group(spark):
     df = spark.createDataFrame([(d, " ".join(t), 1, "clash", "clash") for d, t in rows], SCHEMA)
     got = {r.doc_id: r.component_id for r in near_duplicates(df, k=1).collect()}
     assert got == want
+
+
+def test_components_that_share_an_id_keep_a_row_each(spark):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    rows = [(1, text("a")), (2, text("a")), (1, text("b")), (3, text("b")), (5, text("c")), (5, text("d"))]
+    df = spark.createDataFrame([(d, t, 1, "clash", "clash") for d, t in rows], SCHEMA)
+    got = sorted((r.doc_id, r.text) for r in deduplicated(df).collect())
+    assert got == [(1, text("a")), (1, text("b")), (5, text("c")), (5, text("d"))]
