@@ -278,11 +278,13 @@ def q_subset(spark, d):
 
 
 # --- trajectories -------------------------------------------------------------------------------------------
-def trajectories(spark, d) -> DataFrame:
-    """Pages as results: row = page mod 50, step = (page div 50) mod 3."""
+def trajectories(spark, d, whole: bool = False) -> DataFrame:
+    """Pages as results: row = page mod 50, step = (page div 50) mod 3, snippets of 200 characters, as ``FLAT`` has them;
+    ``whole``: row = page div 150, and the whole text of a page."""
+    text, n = F.regexp_replace("html", "<[^>]*>", " "), F.col("page_id")
     p = read(spark, d, "pages").select(
-        (F.col("page_id") % 50).alias("row_id"), (F.floor(F.col("page_id") / 50) % 3).alias("step"), "page_id", "url",
-        F.substring(F.regexp_replace("html", "<[^>]*>", " "), 1, 200).alias("snippet"),
+        (F.floor(n / 150) if whole else n % 50).alias("row_id"), (F.floor(F.col("page_id") / 50) % 3).alias("step"), "page_id", "url",
+        (text if whole else F.substring(text, 1, 200)).alias("snippet"),
     )
     inner = p.groupBy("row_id", "step").agg(F.array_sort(F.collect_list(F.struct("page_id", "url", "snippet"))).alias("r"))
     result = lambda x, i: F.struct(
@@ -320,7 +322,7 @@ for _name, _sql in {
 bound("score_dealbreaker_gate", f"WITH {FLAT} SELECT row_id, CASE WHEN any_value(surface) = 'none' THEN NULL ELSE least(CASE WHEN bool_or(host = 'tionsh.example.net' OR ends_with(host, '.tionsh.example.net')) THEN 0.0 ELSE 1.0 END, CASE WHEN row_id % 8 <= 5 THEN 1.0 ELSE 0.0 END) END::DOUBLE AS dealbreaker_gate FROM y GROUP BY row_id")(scored("dealbreaker_gate"))
 bound("score_domain_entropy", f"WITH {FLAT}, c AS (SELECT row_id, any_value(surface) AS surface, host, count(*) AS c FROM y GROUP BY row_id, host), n AS (SELECT row_id, any_value(surface) AS surface, sum(c)::DOUBLE AS n, list(c) AS cs FROM c GROUP BY row_id) SELECT row_id, CASE WHEN surface != 'none' AND n >= 2 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_sum(list_transform(cs, lambda k: -(k / n) * ln(k / n))) / ln(n))) END AS domain_entropy FROM n")(scored("domain_entropy"))
 bound("score_token_discounted_gain", f"WITH {FLAT}, s AS (SELECT *, (step + 1) * 1000.0::DOUBLE / count(*) OVER (PARTITION BY row_id, step) AS share FROM y), r AS (SELECT *, sum(share) OVER (PARTITION BY row_id ORDER BY step, rank) AS read FROM s) SELECT row_id, CASE WHEN any_value(surface) = 'full' THEN coalesce(exp(-min(read) FILTER (gold) / 4000.0::DOUBLE), 0.0) END AS token_discounted_gain FROM r GROUP BY row_id")(scored("token_discounted_gain"))
-bound("score_compression_redundancy")(scored("compression_redundancy"))
+bound("score_compression_redundancy")(lambda spark, d: S.score(trajectories(spark, d, whole=True), ["compression_redundancy"]).select("row_id", "compression_redundancy"))
 
 
 @bound("best_gold_rank", f"WITH {FLAT} SELECT row_id, min(rank) FILTER (gold) AS rank, arg_min(step + 1, rank * 100 + step) FILTER (gold) AS round FROM y GROUP BY row_id")
