@@ -173,7 +173,7 @@ def q_bootstrap_floor(spark, d):
 
 @bound("cluster_bootstrap")
 def q_cluster_bootstrap(spark, d):
-    return paired.cluster_bootstrap(event_rows(spark, d), ["condition"], "score", "task_key", rounds=1000)
+    return paired.cluster_bootstrap(event_rows(spark, d), ["condition"], "score", "task_key")
 
 
 @bound("pareto_frontier", f"WITH {TRIALS}, s AS (SELECT condition, avg(score) AS score, avg(cost) AS cost FROM t GROUP BY 1) SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.cost <= s.cost AND o.score >= s.score AND (o.cost < s.cost OR o.score > s.score))")

@@ -1,6 +1,7 @@
 import random
 
-from plumbline.plans.bindings import QUERIES
+from plumbline.operators import paired
+from plumbline.plans.bindings import QUERIES, event_rows
 
 
 def pages(spark, path, rows):
@@ -15,3 +16,9 @@ def test_compression_reads_whole_pages(spark, tmp_path):
     got = {r.row_id: r.compression_redundancy for r in QUERIES["score_compression_redundancy"](spark, pages(spark, tmp_path, rows)).collect()}
     # what follows character 200 tells them apart, and 150 pages make a row; row 0 shows no snippets
     assert set(got) == {0, 1, 2} and got[0] is None and abs(got[1] - got[2]) > 0.5
+
+
+def test_cluster_bootstrap_has_the_operators_rounds(spark):
+    d = "/root/testdata/sf0.001"
+    want = paired.cluster_bootstrap(event_rows(spark, d), ["condition"], "score", "task_key").collect()
+    assert sorted(QUERIES["cluster_bootstrap"](spark, d).collect()) == sorted(want)
