@@ -22,3 +22,9 @@ def test_cluster_bootstrap_has_the_operators_rounds(spark):
     d = "/root/testdata/sf0.001"
     want = paired.cluster_bootstrap(event_rows(spark, d), ["condition"], "score", "task_key").collect()
     assert sorted(QUERIES["cluster_bootstrap"](spark, d).collect()) == sorted(want)
+
+
+def test_release_audit_shows_long_texts(spark, tmp_path):
+    d = pages(spark, tmp_path, [(1, "https://h.example/" + "x" * 150, ""), (2, "https://h.example/", "")])
+    got = {r.problem: r.n for r in QUERIES["release_audit"](spark, d).collect()}
+    assert got == {"url in url": 2, "long text in url": 1}
