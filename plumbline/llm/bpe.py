@@ -1,8 +1,10 @@
 """Ids of a fixed byte-level BPE vocabulary for whole columns of texts.
 
 Every text is cut into the vocabulary's pre-tokens with array operations, each distinct pre-token of a block is
-encoded once, and the ids are gathered.  Texts with an apostrophe, whose contractions the array form leaves
-out, take the tokenizer's own path.  The result equals the tokenizer's own for every text.
+looked up by its bytes or encoded, and the ids are gathered.  Hashes only bring equal pre-tokens of a
+block together; that they are equal is checked byte by byte.  Texts with an apostrophe, whose contractions the
+array form leaves out, or with the string of a special token are encoded whole.  Ids come from ``tiktoken`` on the ranks
+that the ``tokenizers`` file holds; tests compare them with those of ``tokenizers``.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Fixed: the characters with the Unicode property White_Space.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LETTER, NUMBER, BLANK = 1, 2, 3
-KEPT = 1_000_000
+#: Pre-tokens that a worker remembers, and the bytes of one that it may remember.
+KEPT, KEPT_BYTES = 100_000, 32
 
 _LOADED: dict[str, ByteBpe] = {}
 
@@ -58,15 +61,12 @@ class ByteBpe:
         special = {t["content"] for t in model.get("added_tokens", [])}
         ranks = {bytes(symbol[c] for c in k): v for k, v in model["model"]["vocab"].items() if k not in special}
         self.special = sorted(special)
-        self.own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in model.get("added_tokens", [])})
+        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in model.get("added_tokens", [])})
         self.size_of = np.zeros(max(ranks.values()) + 2, np.int64)
         for k, v in ranks.items():
             self.size_of[v] = len(k)
         self.kinds = character_kinds()
-        self.known = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.known: dict[bytes, bytes] = {}
 
     @staticmethod
     def load(path: str) -> ByteBpe:
@@ -75,83 +75,91 @@ class ByteBpe:
             _LOADED[path] = ByteBpe(path)
         return _LOADED[path]
 
-    def _odd(self, text: str) -> bool:
-        return "'" in text or any(s in text for s in self.special)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and where each text's begin."""
-        odd = [n for n, t in enumerate(texts) if self._odd(t)]
-        own = {n: np.asarray(self.own.encode(texts[n], allowed_special="all"), np.int32) for n in odd}
-        ids, begin = self._encode_plain(["" if n in own else t for n, t in enumerate(texts)])
-        if own:
-            parts = [own.get(n, ids[begin[n] : begin[n + 1]]) for n in range(len(texts))]
+    def _odd(self, raw: bytes, data: np.ndarray, where: np.ndarray) -> list[int]:
+        """Texts with an apostrophe or the string of a special token."""
+        at = [np.flatnonzero(data == ord("'"))]
+        for name in self.special:
+            found, own = raw.find(name.encode()), []
+            while found >= 0:
+                own.append(found)
+                found = raw.find(name.encode(), found + 1)
+            at.append(np.array(own, np.int64))
+        return np.unique(np.searchsorted(where, np.concatenate(at), "right") - 1).tolist()
+
+    def encode(self, data: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From UTF-8 bytes and where each text begins (one more than texts): all ids in a row, and where each text's
+        begin.  Bytes that are no UTF-8 count as the replacement character."""
+        raw = data.tobytes()
+        try:
+            raw.decode()
+        except UnicodeDecodeError:
+            texts = [t.encode() for t in W.strings(data, where)]
+            raw, where = b"".join(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+            data = np.frombuffer(raw, np.uint8)
+        odd = self._odd(raw, data, where)
+        whole = {n: np.asarray(self.encoding.encode(raw[where[n] : where[n + 1]].decode(), allowed_special="all"), np.int32) for n in odd}
+        if odd:
+            size = np.diff(where)
+            size[odd] = 0
+            data = data[W.gathered(where[:-1], size)]
+            raw, where = data.tobytes(), np.concatenate([[0], np.cumsum(size)])
+        ids, begin = self._encode_plain(raw, data, where)
+        if odd:
+            parts = [whole.get(n, ids[begin[n] : begin[n + 1]]) for n in range(len(where) - 1)]
             ids, begin = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return ids, begin
 
-    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        whole = "".join(texts)
-        where = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
-        n = len(whole)
-        if not n:
-            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = self.kinds[points]
-        new = np.ones(n + 1, bool)
-        new[1:-1] = kind[1:] != kind[:-1]
+    def _encode_plain(self, raw: bytes, data: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not raw:
+            return np.zeros(0, np.int32), np.zeros(len(where), np.int64)
+        points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+        byte = np.flatnonzero((data & 0xC0) != 0x80)  # of each character
+        starts = byte[self._pre_tokens(points, np.searchsorted(byte, where))]
+        ends = np.append(starts[1:], len(raw))
+        code, distinct = pd.factorize(W.span_hashes(data, starts, ends))
+        first = np.empty(len(distinct), np.int64)
+        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+        lead = first[code]
+        differ = np.flatnonzero(~W.same_spans(data, starts, ends, starts[lead], ends[lead]))
+        if len(differ):  # hashes that collide: each of these pre-tokens counts as a distinct one
+            code[differ] = len(first) + np.arange(len(differ))
+            first = np.append(first, differ)
+        flat, count = self._ids_of([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        at, size = np.cumsum(count) - count, count[code]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return flat[W.gathered(at[code], size)], upto[np.searchsorted(starts, where)]
+
+    def _pre_tokens(self, points: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Where each pre-token begins."""
+        n, kind = len(points), self.kinds[points]
         text_start = np.zeros(n + 1, bool)
         text_start[where] = True
-        new |= text_start
+        new = text_start.copy()
+        new[1:-1] |= kind[1:] != kind[:-1]
         # whether the next character belongs to the same text and is not blank
         solid_next = np.zeros(n, bool)
         solid_next[:-1] = (kind[1:] != BLANK) & ~text_start[1:-1]
-        blank = kind == BLANK
-        space = points == 0x20
+        blank, space = kind == BLANK, points == 0x20
         after_space = np.zeros(n, bool)
         after_space[1:] = space[:-1] & ~text_start[1:-1]
-        start = new[:-1] & (blank | ~after_space) | blank & solid_next
-        starts = np.flatnonzero(start)
-        ends = np.append(starts[1:], n)
-        hashes = W.span_hashes(points, starts, ends)
-        code, distinct = pd.factorize(hashes)
-        first = np.empty(len(distinct), np.int64)
-        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-        at, count, ids = self._ids_of(distinct, whole, starts[first], ends[first])
-        size = count[code]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        out = ids[np.arange(upto[-1]) + np.repeat(at[code] - upto[:-1], size)]
-        return out, upto[np.searchsorted(starts, where)]
-
-    def _ids_of(self, hashes: np.ndarray, whole: str, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where each distinct pre-token's ids begin, how many they are, and the ids."""
-        where = np.searchsorted(self.known, hashes)
-        where[where == len(self.known)] = 0
-        hit = self.known[where] == hashes if len(self.known) else np.zeros(len(hashes), bool)
-        at, count = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-        at[hit], count[hit] = self.at[where[hit]], self.count[where[hit]]
-        missing = np.flatnonzero(~hit)
-        texts = [whole[a:b] for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)]
+        return np.flatnonzero(new[:-1] & (blank | ~after_space) | blank & solid_next)
+
+    def _ids_of(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pre-tokens in a row, and how many each has."""
+        known = self.known
+        got = list(map(known.get, tokens))
+        missing = [n for n, x in enumerate(got) if x is None]
         # pre-tokens that begin with their space can be encoded as one text, as they split again alike
-        joint = np.array([len(t) > 1 and t[0] == " " and not t[1].isspace() for t in texts], bool)
-        new_ids, new_count = [self.ids], np.zeros(len(texts), np.int64)
-        spaced = [t for t, j in zip(texts, joint, strict=True) if j]
-        got = np.asarray(self.own.encode_ordinary("".join(spaced)), np.int64)
-        bound = np.cumsum([len(t.encode("utf-8", "surrogatepass")) for t in spaced], dtype=np.int64)
-        cut = np.searchsorted(np.cumsum(self.size_of[got]), bound, "left") + 1
-        new_count[joint] = np.diff(cut, prepend=0)
-        new_ids.append(got.astype(np.int32))
-        order = [np.flatnonzero(joint)]
-        for n in np.flatnonzero(~joint):
-            one = np.asarray(self.own.encode_ordinary(texts[n]), np.int32)
-            new_count[n] = len(one)
-            new_ids.append(one)
-        order = np.concatenate([*order, np.flatnonzero(~joint)])
-        ids = np.concatenate(new_ids)
-        begin = np.empty(len(texts), np.int64)
-        begin[order] = len(self.ids) + np.concatenate([[0], np.cumsum(new_count[order])])[:-1]
-        at[missing], count[missing] = begin, new_count
-        if len(self.known) + len(missing) <= KEPT:
-            known = np.concatenate([self.known, hashes[missing]])
-            by = np.argsort(known)
-            self.known, self.at, self.count = known[by], np.concatenate([self.at, begin])[by], np.concatenate([self.count, new_count])[by]
-            self.ids = ids
-        return at, count, ids
+        spaced = [n for n in missing if tokens[n][0] == 32 and not tokens[n].decode().isspace()]
+        ids = np.asarray(self.encoding.encode_ordinary(b"".join(tokens[n] for n in spaced).decode()), np.int32)
+        bound = np.cumsum([len(tokens[n]) for n in spaced], dtype=np.int64)
+        cut = 4 * (np.searchsorted(np.cumsum(self.size_of[ids]), bound, "left") + 1)
+        raw, lo = ids.tobytes(), 0
+        for n, hi in zip(spaced, cut.tolist(), strict=True):
+            got[n], lo = raw[lo:hi], hi
+        for n in missing:
+            if got[n] is None:
+                got[n] = np.asarray(self.encoding.encode_ordinary(tokens[n].decode()), np.int32).tobytes()
+            if len(known) < KEPT and len(tokens[n]) <= KEPT_BYTES:
+                known[tokens[n]] = got[n]
+        return np.frombuffer(b"".join(got), np.int32), np.array(list(map(len, got)), np.int64) // 4

@@ -9,8 +9,8 @@ of powers of two, which need no padding.
 
 The plan says for each range of ranks within a length which sequences and offsets it gets.  Ranks come from
 counts by (length, hash bucket), prefix-summed, and a numbering within each of these; so a length that a third
-of all documents share is spread over all buckets.  Texts are read once, and never shuffled, but for the few
-documents whose rests the plan cuts.
+of all documents share is spread over all buckets.  Texts are not shuffled.  Documents whose rests the plan cuts are
+tokenized again, for the hashes of the parts; where these are more than ``FEW``, their texts alone are shuffled.
 
 Defined results: null text is the empty text, which is the final id alone; rows that repeat an id are packed as
 documents of their own; an empty table gives an empty result; an id of null stays null.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import wordblocks as W
 from .bpe import ByteBpe
+from .frames import FEW, few
 from .scratch import prepare, table
 
 CAPACITY = 2048
@@ -43,8 +44,7 @@ def _token_ids(column, path: str, end_id: int):
     bpe = ByteBpe.load(path)
     data, where = W.utf8(column)
     for lo, hi, part, at in W.blocks(data, where):
-        raw = part.tobytes()
-        ids, begin = bpe.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+        ids, begin = bpe.encode(part, at)
         yield lo, hi, np.insert(ids, begin[1:], end_id).astype("<i4"), begin + np.arange(len(begin))
 
 
@@ -221,8 +221,11 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
         placed = table(placed, "placed")
         cut = placed.where("crc is null").select("doc_id", "key", "start", "length")
         wanted = cut.distinct().groupBy(F.coalesce("doc_id", F.lit(-1)).alias("id"), "key").agg(F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths"))
-        once = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "key", "text").join(wanted, ["id", "key"]).dropDuplicates(["id", "key"])
-        found = once.select("id", "key", "text", "starts", "lengths").mapInArrow(_crcs(tokenizer, end_id), "id bigint, key bigint, start bigint, length bigint, cut_crc bigint")
+        wanted = table(wanted, "wanted")  # a document has a cut rest or none, so the lists are short
+        if few(wanted, FEW):
+            wanted = F.broadcast(wanted)
+        texts = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "key", "text").join(wanted, ["id", "key"])
+        found = texts.select("id", "key", "text", "starts", "lengths").mapInArrow(_crcs(tokenizer, end_id), "id bigint, key bigint, start bigint, length bigint, cut_crc bigint").distinct()
         filled = placed.where("crc is null").withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(found, ["id", "key", "start", "length"]).select(*[F.col("cut_crc").alias("crc") if c == "crc" else F.col(c) for c in placed.columns])
         placed = placed.where("crc is not null").unionByName(filled)
     return placed.select("doc_id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

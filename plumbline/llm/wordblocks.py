@@ -1,7 +1,11 @@
 """Words, word hashes and n-gram hashes of whole Arrow columns, without a Python loop over words.
 
-Texts stay in Arrow's UTF-8 buffer.  All hashing is modulo 2**64 with an odd base, so hashes of any
-span come from differences of one prefix array; a final mixing step spreads the bits.
+Texts stay in Arrow's UTF-8 buffer.  A hash folds the 64-bit lanes of a run pairwise, level by level, through a
+mixing step that is not linear in them; so no structure of a text makes hashes meet (as words of the Thue-Morse
+kind do for every polynomial modulo 2**64), and two different runs have equal hashes by chance alone, once in 2**64
+pairs.  Where equality decides a result within a block, ``same_spans`` compares the bytes themselves.
+
+Nothing is kept between blocks, and a block takes some ten arrays of eight bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -13,44 +17,52 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_GRAM = 0xD1342543DE82EF95 | 1
-#: For checks of what the hashes above have found equal.
-_BASE_CHECK = 0xA0761D6478BD642F | 1
-_GRAM_CHECK = 0xE7037ED1A0B428DB | 1
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**j and base**-j modulo 2**64 for j < n, kept between calls."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        up, down = np.full(size, U(base)), np.full(size, U(pow(base, -1, 1 << 64)))
-        up[0] = down[0] = U(1)
-        have = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
-        if size <= 4 * BLOCK_BYTES:  # a single huge text is not worth keeping a table for
-            _POWERS[base] = have
-    return have[0][:n], have[1][:n]
+_LEFT, _LENGTH = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
+#: Keeps the first n bytes of a lane.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = x ^ (x >> U(30))
-    x = x * U(0xBF58476D1CE4E5B9)
+    x *= U(0xBF58476D1CE4E5B9)
     x ^= x >> U(27)
     x *= U(0x94D049BB133111EB)
     x ^= x >> U(31)
     return x
 
 
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of two neighbouring runs from theirs."""
+    return mix(left * _LEFT + right)
+
+
+def fold(values: np.ndarray, count: np.ndarray, length: np.ndarray | None = None) -> np.ndarray:
+    """One hash of each run of ``values``, which lie run after run, ``count`` in each; ``length`` goes in as well."""
+    out, live, size = np.zeros(len(count), U), np.flatnonzero(count), count[count > 0]
+    while len(live):
+        begin = np.cumsum(size) - size
+        one = size == 1
+        out[live[one]] = values[begin[one]]
+        live, size, begin = live[~one], size[~one], begin[~one]
+        if len(live):
+            half = (size + 1) // 2
+            run = np.repeat(np.arange(len(size)), half)
+            left = begin[run] + 2 * (np.arange(len(run)) - (np.cumsum(half) - half)[run])
+            paired = left + 1 < (begin + size)[run]
+            values, right = values[left], values[left[paired] + 1]
+            values[paired] = joined(values[paired], right)
+            size = half
+    return mix(out + (count if length is None else length).astype(U) * _LENGTH)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and where each text begins (one more than texts); null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -92,13 +104,43 @@ def runs(inside: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, where)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, check: bool = False) -> np.ndarray:
-    """A 64-bit hash of each byte range; with ``check`` another one."""
-    n = len(data)
-    up, down = powers(_BASE_CHECK if check else _BASE, n + 1)
-    prefix = np.zeros(n + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up[:n], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U))
+def gathered(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1 and so on, ``count`` of each."""
+    return np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
+
+
+def lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each range as 64-bit lanes, zeros after the last, and how many lanes each has."""
+    size = ends - starts
+    count = (size + 7) >> 3
+    held = np.zeros(len(data) + 8, np.uint8)
+    held[: len(data)] = data
+    every = np.ndarray(len(data) + 1, "<u8", held, strides=(1,))
+    if len(count) and count.min() == count.max() == 1:
+        return every[starts] & _MASKS[size], count
+    run = np.repeat(np.arange(len(size)), count)
+    off = 8 * (np.arange(len(run)) - (np.cumsum(count) - count)[run])
+    return every[starts[run] + off] & _MASKS[np.minimum(size[run] - off, 8)], count
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each range of ``data``; another one for another seed."""
+    if data.itemsize > 1:
+        width = data.itemsize
+        data, starts, ends = np.ascontiguousarray(data).view(np.uint8), starts * width, ends * width
+    values, count = lanes(data, starts, ends)
+    return fold(mix(values + U(seed)), count, ends - starts)
+
+
+def same_spans(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each range [a, a_end) are those of [b, b_end)."""
+    same = a_end - a == b_end - b
+    rows = np.flatnonzero(same & (a_end > a) & (a != b))
+    if len(rows):
+        x, count = lanes(data, a[rows], a_end[rows])
+        y, _ = lanes(data, b[rows], b_end[rows])
+        same[np.repeat(rows, count)[x != y]] = False
+    return same
 
 
 def gram_hashes(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +149,18 @@ def gram_hashes(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarr
     begin = np.concatenate([[0], np.cumsum(count)])
     if len(hashes) < k or not begin[-1]:
         return np.zeros(0, U), begin
-    n = len(hashes)
-    up, down = powers(_GRAM, n + 1)
-    prefix = np.zeros(n + 1, U)
-    np.cumsum(hashes * up[:n], out=prefix[1:])
-    all_grams = (prefix[k:] - prefix[:-k]) * down[: n - k + 1]
-    at = np.arange(begin[-1]) + np.repeat(first[:-1] - begin[:-1], count)
-    return mix(all_grams[at] + U(k)), begin
+    # runs of 1, 2, 4, ... words; those that k is the sum of, from the last on, make the run of k
+    power, size, whole, have = hashes, 1, None, 0
+    while True:
+        if k & size:
+            n = len(hashes) - have - size + 1
+            whole = power[:n] if whole is None else joined(power[:n], whole[size : size + n])
+            have += size
+        size *= 2
+        if size > k:
+            break
+        power = joined(power[: len(power) - size // 2], power[size // 2 :])
+    return mix(whole[gathered(first[:-1], count)] + U(k)), begin
 
 
 def owner(first: np.ndarray) -> np.ndarray:
@@ -121,20 +168,21 @@ def owner(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def run_hashes(hashes: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of ``count`` word hashes from ``begin`` on, independent of ``gram_hashes``."""
-    n = len(hashes)
-    up, down = powers(_GRAM_CHECK, n + 1)
-    prefix = np.zeros(n + 1, U)
-    np.cumsum(hashes * up[:n], out=prefix[1:])
-    return mix((prefix[begin + count] - prefix[begin]) * down[begin] + count.astype(U))
+def run_hashes(values: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of ``count`` word hashes from ``begin`` on."""
+    return fold(values[gathered(begin, count)], count)
+
+
+def strings(data: np.ndarray, where: np.ndarray) -> list[str]:
+    raw = data.tobytes()
+    return [raw[a:b].decode("utf-8", "replace") for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)]
 
 
 def rejoined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, keep: np.ndarray) -> list[bytes]:
     """Each text's kept words, joined by one space."""
     starts, size = starts[keep], (ends - starts)[keep] + 1
     at = np.concatenate([[0], np.cumsum(size)])
-    source = np.arange(at[-1]) + np.repeat(starts - at[:-1], size)
+    source = gathered(starts, size)
     source[at[1:] - 1] = 0
     out = data[source] if len(source) else np.zeros(0, np.uint8)
     out[at[1:] - 1] = 0x20

@@ -2,13 +2,17 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from plumbline.llm import wordblocks as W
 from plumbline.llm.bpe import ByteBpe
 from plumbline.llm.packing import Plan, best_fill, pack
 
+from tests_llm_util import THUE_MORSE
+
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", "a", "  two  spaces ", "it's I'll 'tis don''t", "\n\n x\n y \t\tz\r\n", "naïve Ünïcode 漢字 かな 123abc４５", "a\xa0b  c\x85d 　", "!!?? ## $$a$$ -- 'x", "é \U0001f600\U0001f600 ‍ x", " lead", "trail \n", "x" * 3000, "\x00\x1c \x1d\x1e", "٣٤ ½ ² Ⅷ", "<|endoftext|> a"]
 
@@ -16,12 +20,12 @@ ODD = ["", "a", "  two  spaces ", "it's I'll 'tis don''t", "\n\n x\n y \t\tz\r\n
 def test_ids_equal_the_tokenizer():
     rng = random.Random(3)
     alphabet = "abcXYZ  \n\t'.,!#é漢½²٣\xa0 ​\x85"
-    texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(3000)]
+    texts = ODD + THUE_MORSE + [" ".join(THUE_MORSE)] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(3000)]
     whole = Tokenizer.from_file(PATH)
     want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
     bpe = ByteBpe.load(PATH)
     for lo in range(0, len(texts), 500):
-        ids, begin = bpe.encode(texts[lo : lo + 500])
+        ids, begin = bpe.encode(*W.utf8(pa.array(texts[lo : lo + 500])))
         for n, expect in enumerate(want[lo : lo + 500]):
             assert ids[begin[n] : begin[n + 1]].tolist() == expect, texts[lo + n]
 
@@ -59,7 +63,7 @@ def test_plan_uses_every_piece_once(counts):
 
 def test_pack(spark):
     rng = random.Random(2)
-    texts = ODD + [None, "word " * 5000] + ["same text " * 700] * 30 + [" ".join(rng.choice(["alpha", "beta", "γ", "12"]) for _ in range(rng.randint(0, 4000))) for _ in range(40)]
+    texts = ODD + THUE_MORSE + [None, "word " * 5000] + ["same text " * 700] * 30 + [" ".join(rng.choice(["alpha", "beta", "γ", "12"]) for _ in range(rng.randint(0, 4000))) for _ in range(40)]
     rows = [(n, t) for n, t in enumerate(texts)] + [(3, ODD[3]), (None, "no id"), (5, "other text of an id")]
     df = spark.createDataFrame([(d, t, 7, "clash", 1, "c") for d, t in rows], "doc_id bigint, text string, start bigint, key string, length int, rank string")
     out = [r.asDict() for r in pack(df, PATH).collect()]

@@ -2,6 +2,12 @@
 
 import random
 
+#: Two words that no polynomial hash modulo 2**64 tells apart, whatever its base.
+THUE_MORSE = ["".join(letters[n.bit_count() & 1] for n in range(2048)) for letters in ("ab", "ba")]
+
+#: Names that operators use for columns of their own.
+INTERNAL = "id key kept row rows bucket block range extra start edges source_start words host line check lost gone times alike size place prefix shared node component group token selected tail_probability expected_grade grade rank __id __key __kept __times __copy __gone __tail __expected n_frequent_words".split()
+
 
 def documents_dir(spark, tmp_path):
     rng = random.Random(11)
