@@ -4,19 +4,19 @@ Targets: the sources share 100 % of all words by weight, none above ``most`` tim
 is shared again by weight until none is above.  That is one water level over the sources in order of the
 level at which each is full, so it needs one running sum over a row per source.
 
-Sampling: with r = target / words of the source, every unit is expected r times.  The units are prefix-summed
-within the source, one random offset is added, and a unit is emitted once per integer boundary that its
-expected copies cross.  A unit is a word of a document (``unit="word"``: a document gives its whole text as
-often as it fits and a part of it besides, and a source's total is within a word of its target) or a whole
-document (``unit="document"``: whole copies only).
+Sampling: with r = target / words of the source, every document is expected r times.  The documents of a source, in
+order of their size, are prefix-summed (each adds r), one random offset is added, and a document is emitted once per integer
+boundary that its expected copies cross.  As like sizes lie together, a source's total differs from its target by no more
+than about its largest document.
 
-Scale: prefix sums run in two levels.  Rows are dealt by (source, hash of the row) and summed there; the sums,
-a row per source and bucket, are prefix-summed by source; so a source with a third of all rows is spread over
-all its buckets.  Only ids, sizes and hashes are shuffled.
+Scale: a document's place in its source comes in three levels, documents of smaller sizes, those of its size in buckets (by
+a hash of the row) before its own, and those before it in its bucket; so a source, or a size, with a third of all rows is
+spread over all buckets.  Only ids, sizes and hashes are shuffled.  Targets take a row a source.
 
 Defined results: null text has no words; a null source is a source of its own, last in order; rows equal in
 id, source and size are interchangeable; a source without words has target 0; an empty table gives an empty
-result.  Reruns agree, whatever the partitions: order and offset depend on the rows and ``seed`` alone.
+result.  Reruns agree, whatever the partitions: order and offset depend on the rows and ``seed`` alone.  Further
+columns, of any name, stay as they are.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import beside, few, fresh, own
 from .scratch import table
 
 #: Rows of a bucket, at most, when hashes are even.
@@ -63,38 +64,50 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return levels.select("source", "source_size", "weight", shared.cast("double").alias("target"))
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7, unit: str = "word") -> DataFrame:
-    """Per row of ``documents``: doc_id, source, size, source_size, target, copies, taken.
+def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7) -> DataFrame:
+    """Per row of ``documents``: doc_id, source, size, source_size, target, copies, and taken, the words that the mix takes,
+    repeats counted."""
+    # sizes are used more than once: texts are read once, for a slim table
+    return sample(table(sized(documents), "sizes"), weights, most, seed)
 
-    ``taken`` are the words that the mix takes, repeats counted; ``copies`` the whole copies in it.
-    """
-    # sizes are used three times: texts are read once, for a slim table
-    return sample(table(sized(documents), "sizes"), weights, most, seed, unit)
 
-
-def sample(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7, unit: str = "word", extra: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
-    """As ``mix``, from (doc_id, source, size, *extra); rows equal in id and size are told apart by ``order``."""
+def sample(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7, extra: tuple[str, ...] = ()) -> DataFrame:
+    """As ``mix``, from (doc_id, source, size, *extra); ``extra`` tells rows equal in id and size apart."""
     buckets = max(256, -(-rows.count() // BUCKET_ROWS))
-    keyed = rows.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("s_null"), (_digits(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size")) % buckets).alias("bucket"), "doc_id", "source", "size", *extra)
-    key = ["s", "s_null", "bucket"]
-    units = F.col("size") if unit == "word" else F.lit(1).cast("bigint")
-    sums = keyed.groupBy(*key).agg(F.first("source").alias("source"), F.sum("size").alias("words"), F.sum(units).alias("units"))
-    goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
+    bucket = _digits(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size")) % buckets
+    keyed = rows.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("s_null"), bucket.alias("bucket"), "doc_id", "source", "size", *extra)
+    source, by_size, key = ["s", "s_null"], ["s", "s_null", "size"], ["s", "s_null", "size", "bucket"]
+    groups = table(keyed.groupBy(*key).agg(F.first("source").alias("source"), F.count("*").alias("n")), "groups")
+    sizes = groups.groupBy(*by_size).agg(F.first("source").alias("source"), F.sum("n").alias("n"))
+    goal = targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most)
     goal = goal.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("s_null"), "source_size", "target")
-    earlier = Window.partitionBy("s", "s_null").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*key, F.coalesce(F.sum("units").over(earlier), F.lit(0)).alias("base")).join(goal, ["s", "s_null"])
-    within = Window.partitionBy(*key).orderBy("doc_id", "size", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = keyed.join(base, key).withColumn("upto", F.col("base") + F.sum(units).over(within))
+    before = lambda on, order: F.coalesce(F.sum("n").over(Window.partitionBy(*on).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    smaller = sizes.select(*by_size, before(source, "size").alias("smaller")).join(goal, source)
+    base = groups.select(*key, before(by_size, "bucket").alias("earlier")).join(smaller, by_size)
+    within = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", *extra))
+    placed = keyed.withColumn("place", within).join(base, key).withColumn("upto", F.col("smaller") + F.col("earlier") + F.col("place"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = _digits(F.concat_ws(":", F.lit(seed), F.col("s_null").cast("int"), "s")) / F.lit(float(1 << 32))
-    crossed = F.floor(F.col("upto") * ratio + offset) - F.floor((F.col("upto") - units) * ratio + offset)
-    taken = F.least(crossed * (F.lit(1) if unit == "word" else F.col("size")), F.lit(most) * F.col("size"))
-    copies = F.when(F.col("size") > 0, F.floor(taken / F.col("size"))).otherwise(0) if unit == "word" else crossed
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.cast("bigint").alias("copies"), taken.cast("bigint").alias("taken"), *extra)
+    crossed = F.floor(F.col("upto") * ratio + offset) - F.floor((F.col("upto") - 1) * ratio + offset)
+    copies = F.least(crossed, F.lit(most)).cast("bigint")
+    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *extra)
 
 
 def repeated(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7) -> DataFrame:
     """``documents`` with each row as often as the mix takes it, which may be not at all."""
-    rows = documents.select("doc_id", F.col("source").cast("string").alias("source"), _size().alias("size"), F.struct(*documents.columns).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
-    taken = sample(rows, weights, most, seed, "document", ("row", "key"), ("key",))
-    return taken.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    key = text.bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("bigint"))  # the last bit tells null ids
+    rows = table(documents.select("doc_id", F.col("source").cast("string").alias("source"), _size().alias("size"), key.alias("key")), "sizes")
+    drawn = sample(rows, weights, most, seed, ("key",))
+    marked, names = beside(documents, id=F.coalesce(F.col("doc_id").cast("string"), F.lit("")), key=key)
+    on = list(names.values())
+    taken = drawn.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(on[0]), F.col("key").alias(on[1])).agg(F.sum("copies").alias(times := fresh(marked, "__times")), F.count("*").alias(alike := fresh(marked, "__alike")))
+    taken = table(taken.where(F.col(times) > 0), "taken")
+    # texts are shuffled only where the list of ids is too long to be sent to every executor
+    out = marked.join(F.broadcast(taken) if few(taken) else taken, on)
+    # rows equal in id and text share their copies, the first of them any that are over
+    if not taken.where(F.col(alike) > 1).isEmpty():
+        place = F.row_number().over(Window.partitionBy(*on).orderBy("source"))
+        share = F.floor(F.col(times) / F.col(alike)) + (place <= F.col(times) % F.col(alike)).cast("bigint")
+        out = out.where(F.col(alike) == 1).unionByName(out.where(F.col(alike) > 1).withColumn(times, share))
+    return out.where(F.col(times) > 0).select(*own(documents), F.explode(F.sequence(F.lit(1).cast("bigint"), times)).alias(fresh(documents, "__copy"))).select(*own(documents))
