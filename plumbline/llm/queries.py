@@ -52,12 +52,26 @@ def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"))
 
 
+def _digits(text):
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def url_events(pages: DataFrame) -> DataFrame:
+    """A dated list that grows with the hosts of ``pages``: ``URL_LIST``, and for every host three events, all on days that its
+    md5 tells: it is added as a domain, removed, and its part at the first path segment is added as a prefix."""
+    spark = pages.sparkSession
+    fixed = spark.createDataFrame(URL_LIST, "kind string, entry string, action string, day string, seq int").withColumn("day", F.col("day").cast("date"))
+    parts = pages.select(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"), F.regexp_extract("url", "^[a-z]+://[^/?#]+/([^/?#]+)", 1).alias("first")).where("host != ''").distinct()
+    day = lambda name, share: F.expr("date '2024-01-01'") + (_digits(F.concat(F.lit(name), "host")) % share).cast("int")
+    event = lambda kind, entry, action, when, seq: F.struct(F.lit(kind).alias("kind"), entry.alias("entry"), F.lit(action).alias("action"), when.alias("day"), F.lit(seq).alias("seq"))
+    listed = [event("domain", F.col("host"), "add", day("a", 1500), 20), event("domain", F.col("host"), "remove", day("b", 1500), 21), event("prefix", F.concat("host", F.lit("/"), "first", F.lit("/")), "add", day("c", 1500), 22)]
+    return fixed.unionByName(parts.select(F.explode(F.array(*listed)).alias("e")).select("e.*").distinct())
+
+
 def op4_temporal_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` has no fetch times: page n counts as fetched n days, modulo 366, into 2024."""
     pages = _read(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(date '2024-01-01', cast(page_id % 366 as int))").alias("fetched"))
-    events = spark.createDataFrame(URL_LIST, "kind string, entry string, action string, day string, seq int").withColumn("day", F.col("day").cast("date"))
-    out = judge_urls(pages, events)
-    return out.withColumn("fetched", F.date_format("fetched", "yyyy-MM-dd"))
+    return judge_urls(pages, url_events(pages)).withColumn("fetched", F.date_format("fetched", "yyyy-MM-dd"))
 
 
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,14 +140,18 @@ l AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (
              / (sum(weight) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM k),
 f AS (SELECT min(n) AS n, arg_min(level, n) AS level FROM l WHERE source_size * 3.0::DOUBLE > level * weight),
 t AS (SELECT l.source, l.source_size, CASE WHEN f.n IS NULL OR l.n < f.n THEN l.source_size * 3.0::DOUBLE ELSE least(l.source_size * 3.0::DOUBLE, f.level * l.weight) END AS target FROM l, f),
-p AS (SELECT b.*, t.source_size, t.target, sum(size) OVER (PARTITION BY b.source ORDER BY bucket, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto,
+p AS (SELECT b.*, t.source_size, t.target, row_number() OVER (PARTITION BY b.source ORDER BY size, bucket, doc_id) AS upto,
              CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS ratio,
              ('0x' || substr(md5('7:' || (b.source IS NULL)::INT || ':' || coalesce(b.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
       FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source),
-q AS (SELECT *, least(floor(upto * ratio + u) - floor((upto - size) * ratio + u), 3 * size)::BIGINT AS taken FROM p)
-SELECT doc_id, source, size, source_size, target, CASE WHEN size > 0 THEN taken // size ELSE 0 END::BIGINT AS copies, taken FROM q""",
+q AS (SELECT *, least(floor(upto * ratio + u) - floor((upto - 1) * ratio + u), 3)::BIGINT AS copies FROM p)
+SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM q""",
     "op4_temporal_url_list": rf"""
-WITH ev(kind, entry, action, day, seq) AS (VALUES {_EVENTS}),
+WITH hs AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+/([^/?#]+)', 1) AS first FROM pages WHERE regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) != ''),
+ev(kind, entry, action, day, seq) AS (SELECT * FROM (VALUES {_EVENTS})
+  UNION ALL SELECT DISTINCT 'domain', lower(host), 'add', DATE '2024-01-01' + (('0x' || substr(md5('a' || host), 1, 8))::BIGINT % 1500)::INT, 20 FROM hs
+  UNION ALL SELECT DISTINCT 'domain', lower(host), 'remove', DATE '2024-01-01' + (('0x' || substr(md5('b' || host), 1, 8))::BIGINT % 1500)::INT, 21 FROM hs
+  UNION ALL SELECT DISTINCT 'prefix', rtrim(lower(host || '/' || first), '/'), 'add', DATE '2024-01-01' + (('0x' || substr(md5('c' || host), 1, 8))::BIGINT % 1500)::INT, 22 FROM hs),
 dl AS (SELECT kind, entry, day, arg_max(action, seq) AS action FROM ev GROUP BY ALL),
 tu AS (SELECT *, lag(action) OVER w AS was FROM dl WINDOW w AS (PARTITION BY kind, entry ORDER BY day)),
 sp AS (SELECT *, lead(day) OVER (PARTITION BY kind, entry ORDER BY day) AS until FROM tu WHERE (was IS NULL AND action = 'add') OR was != action),
@@ -143,7 +161,7 @@ pg AS (SELECT page_id, url, DATE '2024-01-01' + (page_id % 366)::INT AS fetched,
        '/' || lower(array_to_string(list_filter(string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s != ''), '/')) || '/' AS path FROM pages),
 hit AS (SELECT page_id, count(*) AS n_active, min(kind || ':' || entry) AS entry FROM pg JOIN li
         ON fetched >= since AND (until IS NULL OR fetched < until) AND host != ''
-        AND CASE WHEN kind = 'domain' THEN host = entry OR ends_with(host, '.' || entry) ELSE starts_with(host || path, entry || '/') END GROUP BY page_id)
+        AND CASE WHEN kind = 'domain' THEN host = entry OR ends_with(host, '.' || entry) ELSE starts_with(CASE WHEN path = '//' THEN host || '/' ELSE host || path END, entry || '/') END GROUP BY page_id)
 SELECT page_id, url, host, strftime(fetched, '%Y-%m-%d') AS fetched, coalesce(n_active, 0)::BIGINT AS n_active, entry, n_active IS NULL AS allowed FROM pg LEFT JOIN hit USING (page_id)""",
     "op5_line_frequency": rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_W}) AS w FROM documents),

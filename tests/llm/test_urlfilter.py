@@ -29,3 +29,26 @@ def test_captures(spark):
     assert got[None].entry == "domain:bad.org" and got[9].entry == "prefix:ok.com/a/b"
     assert all(r.allowed for r in judge_urls(df, spark.createDataFrame([], EVENTS)).collect())
     assert judge_urls(df.limit(0), spark.createDataFrame(LIST, EVENTS)).collect() == []
+
+
+FORMS = [
+    ("prefix", "whole.com", "http://whole.com/any/x", True), ("prefix", "whole.com", "http://www.whole.com/", False), ("prefix", "slash.com/en/", "http://slash.com/en", True), ("prefix", "slash.com/en/", "http://slash.com/english", False),
+    ("domain", "dot.org.", "http://dot.org/", True), ("domain", "*.star.org", "http://a.star.org/", True), ("domain", ".lead.org", "http://lead.org./", True), ("prefix", "https://u@port.net:8080/a//b?q#f", "http://port.net/a/b/c", True),
+    ("domain", "port.io:80", "http://port.io/", True), ("domain", "[::1]", "http://[::1]/x", True), ("domain", "[::1]", "http://[::1]:80/x", True), ("prefix", "[::2]/a", "http://[::2]/a/b", True), ("domain", "org", "http://any.org/", True), ("domain", "", "http://x.de/", False), ("prefix", "/only", "http://x.de/only", False), ("other", "y.de", "http://y.de/", False),
+]
+
+
+def test_forms_of_entries(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.llm.urlfilter import normal_entry
+
+    rows = spark.createDataFrame(FORMS, "kind string, entry string, url string, match boolean")
+    entries = [r.e for r in rows.select(normal_entry(F.col("kind"), F.col("entry")).alias("e")).collect()]
+    assert entries[:4] == ["whole.com", "whole.com", "slash.com/en", "slash.com/en"] and entries[7] == "port.net/a/b"
+    # forms of different hosts do not meet, so one list serves all
+    events = spark.createDataFrame([(k, e, "add", D(1), n) for n, (k, e, _, _) in enumerate(FORMS) if e != "org"], EVENTS)
+    captures = spark.createDataFrame([(n, u, D(5)) for n, (_, _, u, _) in enumerate(FORMS)], "page_id bigint, url string, fetched date")
+    got = {r.page_id: not r.allowed for r in judge_urls(captures, events).collect()}
+    assert [got[n] for n in range(len(FORMS))] == [m and e != "org" for _, e, _, m in FORMS]
+    assert not judge_urls(captures, spark.createDataFrame([("domain", "org", "add", D(1), 1)], EVENTS)).where("page_id = 12").first().allowed
