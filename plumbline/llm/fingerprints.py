@@ -3,21 +3,25 @@
 Modulo two primes, the prefix array of a text's code points gives the hash of any span by a difference and a
 multiplication; equality of any two spans takes one comparison, and binary search over it the longest common
 extension of two places.  A fingerprint is the number of code points, the hash of the whole text and the ``KEPT``
-least mixed hashes of its distinct spans of ``SPAN`` code points, so that the likeness of two fingerprints
-estimates the Jaccard similarity of the texts' spans, wherever these stand.
+least mixed hashes of its distinct spans of ``SPAN`` code points, each with the place where it stands first.
+
+The likeness of two fingerprinted texts: spans that both fingerprints hold are anchors; from each, the longest common
+extensions to either side, by the prefix arrays, give a stretch that the texts share.  Likeness is the share of both texts'
+code points that these stretches cover, 1 for equal texts.
 
 ``compare_neighbours`` sets each document beside the next one in descending order of id.  Ranges of ids, cut at
-approximate quantiles, form the partitions; the first document of each range is sent to the range before it
-too, so that one shuffle brings all neighbours together, however the ids lie.
+approximate quantiles to some 16 MB of text each, form the partitions; the first document of each range is sent to the
+range before it too, so that one shuffle brings all neighbours together, however the ids lie.
 
 Defined results: null text is the empty text, whose span set is empty (likeness 1 to itself, else 0); a text
-shorter than a span is its own only span; a null id comes last; rows that repeat an id follow one another by
-hash of their text; an empty table gives an empty result.
+shorter than a span is its own only span; null ids come last, by hash of their text, in ranges of their own; rows that repeat
+an id follow one another by hash of their text; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,25 +35,40 @@ U = np.uint64
 #: Two Mersenne-sized primes and a base for each.
 MODULI = ((2**31 - 1, 1_000_003), (2**31 - 19, 998_244_353))
 SPAN, KEPT = 16, 48
-BLOCK = 1 << 21
+#: Code points compared at once, unless one pair of texts has more.
+BLOCK = 1 << 19
+#: Bytes of text in a range, and the ranges at most.
+RANGE_BYTES, MOST_RANGES = 16 << 20, 1 << 14
 NO_ID = -(2**63)
 
-_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+class _Powers:
+    """base**n modulo a prime, from two small tables, for any n below 2**32."""
+
+    def __init__(self, prime: int, base: int):
+        self.prime = U(prime)
+        self.low, self.high = self._row(base), self._row(pow(base, 1 << 16, prime))
+
+    def _row(self, base: int) -> np.ndarray:
+        out = np.ones(1, U)
+        while len(out) < 1 << 16:
+            out = np.concatenate([out, out * U(pow(int(base), len(out), int(self.prime))) % self.prime])
+        return out
+
+    def at(self, n: np.ndarray) -> np.ndarray:
+        return self.low[n & 0xFFFF] * self.high[n >> 16] % self.prime
+
+    def first(self, n: int) -> np.ndarray:
+        """Of 0 to n - 1."""
+        out = np.empty(n, U)
+        for lo in range(0, n, 1 << 16):
+            out[lo : lo + (1 << 16)] = self.low[: min(1 << 16, n - lo)] * self.high[lo >> 16] % self.prime
+        return out
 
-def _powers(prime: int, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _TABLES.get(prime)
-    if have is None or len(have[0]) < n:
-        both = []
-        for b in (base, pow(base, -1, prime)):
-            out, step = np.ones(1, U), b
-            while len(out) < n:
-                out = np.concatenate([out, out * U(pow(b, len(out), prime)) % U(prime)])
-            both.append(out)
-        have = both[0], both[1]
-        if n <= 4 * BLOCK:
-            _TABLES[prime] = have
-    return have
+
+@cache
+def _powers(prime: int, base: int) -> tuple[_Powers, _Powers]:
+    return _Powers(prime, base), _Powers(prime, pow(base, -1, prime))
 
 
 class PrefixHashes:
@@ -59,9 +78,9 @@ class PrefixHashes:
         self.n = len(points)
         self.parts = []
         for prime, base in MODULI:
-            up, down = _powers(prime, base, self.n + 1)
+            up, down = _powers(prime, base)
             prefix = np.zeros(self.n + 1, U)
-            np.cumsum((points.astype(U) + U(1)) * up[: self.n] % U(prime), out=prefix[1:])
+            np.cumsum((points.astype(U) + U(1)) * up.first(self.n) % U(prime), out=prefix[1:])
             prefix %= U(prime)
             self.parts.append((U(prime), prefix, down))
 
@@ -69,16 +88,27 @@ class PrefixHashes:
         """62-bit hashes of the spans of ``size`` from ``begin`` on."""
         out = []
         for prime, prefix, down in self.parts:
-            out.append((prefix[begin + size] + prime - prefix[begin]) % prime * down[begin] % prime)
+            out.append((prefix[begin + size] + prime - prefix[begin]) % prime * down.at(begin) % prime)
         return out[0] << U(31) | out[1]
 
-    def extension(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
-        """How many code points from a and from b on are equal, ``limit`` at most: by binary search."""
+    def spans(self, size: int) -> np.ndarray:
+        """Those of all spans of one size."""
+        n, out = max(self.n - size + 1, 0), []
+        for prime, prefix, down in self.parts:
+            out.append((prefix[size : size + n] + prime - prefix[:n]) % prime * down.first(n) % prime)
+        return out[0] << U(31) | out[1]
+
+    def extension(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray, back: bool = False) -> np.ndarray:
+        """How many code points from a and from b on (``back``: before a and before b) are equal, ``limit`` at most: by
+        binary search."""
         low, high = np.zeros(len(a), np.int64), np.array(limit, np.int64)
-        while (low < high).any():
-            mid = (low + high + 1) // 2
-            same = self.span(a, mid) == self.span(b, mid)
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        live = np.flatnonzero(low < high)
+        while len(live):
+            mid = (low[live] + high[live] + 1) // 2
+            x, y = (a[live] - mid, b[live] - mid) if back else (a[live], b[live])
+            same = self.span(x, mid) == self.span(y, mid)
+            low[live], high[live] = np.where(same, mid, low[live]), np.where(same, high[live], mid - 1)
+            live = live[low[live] < high[live]]
         return low
 
 
@@ -87,68 +117,85 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), where
 
 
-def fingerprints(hashes: PrefixHashes, where: np.ndarray) -> tuple[list[str], list[np.ndarray]]:
-    """Fingerprints of the texts that begin at ``where``, and their least span hashes."""
+def fingerprints(hashes: PrefixHashes, where: np.ndarray) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
+    """Fingerprints of the texts that begin at ``where``, their least span hashes (rising), and where in the text each stands
+    first."""
     whole = hashes.span(where[:-1], np.diff(where))
-    spans = W.mix(hashes.span(np.arange(max(hashes.n - SPAN + 1, 0)), SPAN)) >> U(16)
-    names, least = [], []
+    spans = W.mix(hashes.spans(SPAN)) >> U(16)
+    names, least, places = [], [], []
     for n, (a, b) in enumerate(zip(where[:-1].tolist(), where[1:].tolist(), strict=True)):
         own = spans[a : b - SPAN + 1] if b - a >= SPAN else W.mix(whole[n : n + 1]) >> U(16) if b > a else spans[:0]
-        few = np.unique(np.partition(own, 4 * KEPT)[: 4 * KEPT]) if len(own) > 8 * KEPT else np.unique(own)
-        if len(few) < KEPT and len(own) > 8 * KEPT:
-            few = np.unique(own)
-        few = few[:KEPT]
+        small = np.arange(len(own))
+        if len(own) > 8 * KEPT:
+            small = np.argpartition(own, 4 * KEPT)[: 4 * KEPT]
+            small = np.flatnonzero(own <= own[small].max())
+        few, at = np.unique(own[small], return_index=True)
+        if len(few) < KEPT and len(small) < len(own):
+            few, at = np.unique(own, return_index=True)
+            small = np.arange(len(own))
+        few, at = few[:KEPT], small[at[:KEPT]]
         least.append(few)
-        names.append(f"{b - a:x}-{int(whole[n]):016x}-{few.astype('>u8').tobytes().hex()}")
-    return names, least
-
-
-def parse(fingerprint: str) -> tuple[str, np.ndarray]:
-    head, _, tail = fingerprint.rpartition("-")
-    return head, np.frombuffer(bytes.fromhex(tail), ">u8").astype(U)
-
-
-def likeness(a: str, b: str) -> float:
-    """Estimated Jaccard similarity of two texts' spans, from their fingerprints; 1 for equal ones."""
-    if a == b:
-        return 1.0
-    x, y = parse(a)[1], parse(b)[1]
-    both = np.concatenate([x, y])
-    both.sort()
-    twice = np.flatnonzero(both[1:] == both[:-1])
-    distinct = len(both) - len(twice)
-    if not distinct:
-        return 0.0
-    if distinct > KEPT:
-        # the KEPT least of the union, and how many of these are in both
-        first = np.concatenate([[True], both[1:] != both[:-1]])
-        cut = both[np.flatnonzero(first)[KEPT]]
-        return int((both[twice] < cut).sum()) / KEPT
-    return len(twice) / distinct
+        places.append(at)
+        names.append(f"{b - a:x}-{int(whole[n]):016x}-{few.astype('>u8').tobytes().hex()}-{at.astype('>u4').tobytes().hex()}")
+    return names, least, places
+
+
+def likenesses(hashes: PrefixHashes, where: np.ndarray, prints: tuple[list[str], list[np.ndarray], list[np.ndarray]], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the texts x[n] and y[n] by their fingerprints and prefix arrays."""
+    names, least, places = prints
+    pair, a, b = [], [], []
+    for n, (i, j) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        if names[i] != names[j]:
+            _, p, q = np.intersect1d(least[i], least[j], assume_unique=True, return_indices=True)
+            pair.append(np.full(len(p), n))
+            a.append(places[i][p])
+            b.append(places[j][q])
+    out = np.array([names[i] == names[j] for i, j in zip(x.tolist(), y.tolist(), strict=True)], float)
+    pair, a, b = (np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64) for v in (pair, a, b))
+    size, begin = np.diff(where), where[:-1]
+    of_a, of_b = x[pair], y[pair]
+    right = hashes.extension(begin[of_a] + a, begin[of_b] + b, np.minimum(size[of_a] - a, size[of_b] - b))
+    left = hashes.extension(begin[of_a] + a, begin[of_b] + b, np.minimum(a, b), back=True)
+    covered = _covered(pair, a - left, a + right, len(x)) + _covered(pair, b - left, b + right, len(x))
+    both = size[x] + size[y]
+    return np.where(out > 0, 1.0, covered / np.maximum(both, 1))
+
+
+def _covered(pair: np.ndarray, lo: np.ndarray, hi: np.ndarray, count: int) -> np.ndarray:
+    """For each pair how much its stretches cover together."""
+    order = np.lexsort((lo, pair))
+    pair, lo, hi = pair[order], lo[order], hi[order]
+    # the farthest end before each stretch, within its pair
+    far = np.maximum.accumulate(hi + (pair << 33)) if len(pair) else hi
+    before = np.where(np.concatenate([[False], pair[1:] == pair[:-1]])[: len(pair)], np.concatenate([[0], far[:-1]])[: len(pair)] - (pair << 33), 0)
+    return np.bincount(pair, np.maximum(0, hi - np.maximum(lo, before)), count)
 
 
 _OWN = pa.schema([("range", pa.int32()), ("extra", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("text", pa.string())])
 _OWN_DDL = "range int, extra int, id bigint, key bigint, text string"
 
 
-def _ranges(ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Ranges count from the largest ids down."""
-    return (len(cuts) - np.searchsorted(cuts, ids, "left")).astype(np.int32)
+def _ranges(ids: np.ndarray, keys: np.ndarray, cuts: np.ndarray, key_cuts: np.ndarray) -> np.ndarray:
+    """Ranges count from the largest ids down; after those of ids come those of null ids, from the largest keys down."""
+    by_id = len(cuts) - np.searchsorted(cuts, ids, "left")
+    by_key = len(cuts) + 1 + len(key_cuts) - np.searchsorted(key_cuts, keys, "left")
+    return np.where(ids == NO_ID, by_key, by_id).astype(np.int32)
 
 
-def _own(cuts: np.ndarray, heads: dict[int, int]):
-    """Each document with its range; a range's first also at the end of the range before."""
-    filled = sorted(heads)
-    before = {r: filled[k - 1] for k, r in enumerate(filled)}
+def _own(cuts: np.ndarray, key_cuts: np.ndarray, heads: dict[int, tuple[int, int]]):
+    """Each document with its range, numbered without empty ones; a range's first also at the end of the range before."""
+    number = np.zeros(max(heads, default=0) + 1, np.int32)
+    number[sorted(heads)] = np.arange(len(heads))
+    first = [heads[r] for r in sorted(heads)]
 
     def run(batches):
         for batch in batches:
-            ids = np.asarray(batch.column("id"))
-            of = _ranges(ids, cuts)
-            again = np.flatnonzero([heads[r] == i for r, i in zip(of.tolist(), ids.tolist(), strict=True)])
-            for extra, rows, ranges in ((0, batch, of), (1, batch.take(pa.array(again)), np.array([before[r] for r in of[again].tolist()], np.int32))):
+            ids, keys = np.asarray(batch.column("id")), np.asarray(batch.column("key"))
+            of = number[_ranges(ids, keys, cuts, key_cuts)]
+            again = np.flatnonzero([first[r] == (i, k) for r, i, k in zip(of.tolist(), ids.tolist(), keys.tolist(), strict=True)])
+            for extra, rows, ranges in ((0, batch, of), (1, batch.take(pa.array(again)), (of[again] - 1) % len(first))):
                 if len(ranges):
-                    yield pa.RecordBatch.from_arrays([pa.array(ranges), pa.array(np.full(len(ranges), extra, np.int32)), rows.column("id"), rows.column("key"), rows.column("text").cast(pa.string())], schema=_OWN)
+                    yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(np.full(len(ranges), extra, np.int32)), rows.column("id"), rows.column("key"), rows.column("text").cast(pa.string())], schema=_OWN)
 
     return run
 
@@ -165,22 +212,20 @@ def _beside(batches):
         ends = [n for n in range(k) if n + 1 == k or pairs[n][1] is not pairs[n + 1][0]]
         points, where = _points(texts + edited + [pairs[n][1][2] for n in ends])
         hashes = PrefixHashes(points)
-        names, _ = fingerprints(hashes, where)
-        limit = np.minimum(np.diff(where)[:k], np.diff(where)[k : 2 * k])
-        common = hashes.extension(where[:k], where[k : 2 * k], limit)
-        own, following = names[:k], names[1 : k + 1]
-        for n, name in zip(ends, names[2 * k :], strict=True):
-            following[n] = name
-        names = names[k : 2 * k]
+        prints = fingerprints(hashes, where)
+        own, other, following = np.arange(k), np.arange(k) + k, np.arange(k) + 1
+        following[ends] = 2 * k + np.arange(len(ends))
+        common = hashes.extension(where[own], where[other], np.minimum(np.diff(where)[own], np.diff(where)[other]))
+        near = likenesses(hashes, where, prints, np.concatenate([own, own]), np.concatenate([other, following]))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([p[0][1] if p[0][1] != NO_ID else None for p in pairs], pa.int64()),
                 pa.array([len(t) for t in texts], pa.int64()),
                 pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
-                pa.array(own),
-                pa.array(names),
-                pa.array([likeness(a, b) for a, b in zip(own, names, strict=True)]),
-                pa.array([likeness(a, b) for a, b in zip(own, following, strict=True)]),
+                pa.array(prints[0][:k]),
+                pa.array(prints[0][k : 2 * k]),
+                pa.array(near[:k]),
+                pa.array(near[k:]),
                 pa.array(common),
             ],
             schema=schema,
@@ -215,16 +260,24 @@ def compare_neighbours(documents: DataFrame) -> DataFrame:
     prepare(spark)
     text = F.coalesce("text", F.lit(""))
     docs = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size, null = docs.agg(F.sum(F.octet_length("text")), F.avg((F.col("id") == NO_ID).cast("int"))).first()
+    parts = int(np.clip((size or 0) // RANGE_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES))
     shares = [k / parts for k in range(1, parts)]
-    found = docs.agg(F.percentile_approx("id", F.array(*map(F.lit, shares)), 100 * parts)).first()[0] if shares else []
-    cuts = np.unique(np.array(found or [], np.int64))
+    cuts, key_cuts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if shares:
+        at = lambda c: F.percentile_approx(c, F.array(*map(F.lit, shares)), 10 * parts)
+        by_id, by_key = docs.agg(at(F.when(F.col("id") != NO_ID, F.col("id"))), at(F.when(F.col("id") == NO_ID, F.col("key")))).first()
+        cuts, key_cuts = np.unique(np.array(by_id or [], np.int64)), np.unique(np.array(by_key if null and null * parts > 1 else [], np.int64))
 
     def slim(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_ranges(np.asarray(batch.column("id")), cuts)), batch.column("id")], names=["range", "id"])
-
-    heads = {r.range: r.id for r in docs.select("id").mapInArrow(slim, "range int, id bigint").groupBy("range").agg(F.max("id").alias("id")).collect()}
-    own = docs.mapInArrow(_own(cuts, heads), _OWN_DDL)
-    ordered = own.repartition(parts, "range").sortWithinPartitions("range", "extra", F.col("id").desc(), F.col("key").desc())
+            of = _ranges(np.asarray(batch.column("id")), np.asarray(batch.column("key")), cuts, key_cuts)
+            yield pa.RecordBatch.from_arrays([pa.array(of), batch.column("id"), batch.column("key")], names=["range", "id", "key"])
+
+    first = docs.select("id", "key").mapInArrow(slim, "range int, id bigint, key bigint").groupBy("range").agg(F.max(F.struct("id", "key")).alias("h"))
+    heads = {r.range: (r.h.id, r.h.key) for r in first.collect()}
+    if not heads:
+        return spark.createDataFrame([], _BESIDE_DDL)
+    own = docs.mapInArrow(_own(cuts, key_cuts, heads), _OWN_DDL)
+    ordered = own.repartitionById(len(heads), F.col("range")).sortWithinPartitions("range", "extra", F.col("id").desc(), F.col("key").desc())
     return ordered.mapInArrow(_beside, _BESIDE_DDL)

@@ -4,7 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from plumbline.llm.fingerprints import SPAN, PrefixHashes, _points, compare_neighbours, fingerprints, likeness
+from plumbline.llm import wordblocks as W
+from plumbline.llm.fingerprints import KEPT, MODULI, SPAN, PrefixHashes, _points, compare_neighbours, fingerprints, likenesses
 
 SCHEMA = "doc_id bigint, text string, id string, key string, range int, extra int"
 
@@ -25,19 +26,55 @@ def test_spans_and_extensions():
         assert h.extension(np.array([a]), np.array([b]), np.array([limit]))[0] == common
 
 
-def test_likeness_estimates_jaccard():
+def sketch(text):
+    """The least span hashes and where each stands first, by plain arithmetic."""
+    def value(span):
+        out = []
+        for prime, base in MODULI:
+            out.append(sum((ord(c) + 1) * pow(base, n, prime) for n, c in enumerate(span)) % prime)
+        return int(W.mix(np.array([out[0] << 31 | out[1]], np.uint64))[0]) >> 16
+
+    spans = [text[n : n + SPAN] for n in range(max(1, len(text) - SPAN + 1))] if text else []
+    first = {}
+    for n, span in enumerate(spans):
+        first.setdefault(value(span), n)
+    return dict(sorted(first.items())[:KEPT])
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y, in_a, in_b = sketch(a), sketch(b), set(), set()
+    for h in x.keys() & y.keys():
+        i, j = x[h], y[h]
+        while i and j and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        while i < len(a) and j < len(b) and a[i] == b[j]:
+            in_a.add(i)
+            in_b.add(j)
+            i, j = i + 1, j + 1
+    return (len(in_a) + len(in_b)) / max(1, len(a) + len(b))
+
+
+def test_likeness_matches_brute_force():
     rng = random.Random(2)
-    base = [rng.choice("abcdefgh ") for _ in range(4000)]
-    for edits in (0, 3, 30, 300):
+    base = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    texts = [base, base[:300] + "zz" + base[320:], "new " + base[100:], base[400:] + base[:400], "short", "short", "", "ab" * 80, "ab" * 40 + "c" + "ab" * 30, "".join(rng.choice("xyz") for _ in range(300)), base[:40]]
+    for _ in range(4):
         other = list(base)
-        for _ in range(edits):
-            other[rng.randrange(4000)] = "z"
-        texts = ["".join(base), "".join(other)]
-        points, where = _points(texts)
-        names, _ = fingerprints(PrefixHashes(points), where)
-        sets = [{t[i : i + SPAN] for i in range(len(t) - SPAN + 1)} for t in texts]
-        assert likeness(*names) == pytest.approx(len(sets[0] & sets[1]) / len(sets[0] | sets[1]), abs=0.25)
-    assert likeness(names[0], names[0]) == 1.0
+        for _ in range(rng.randint(1, 25)):
+            other[rng.randrange(600)] = "z"
+        texts.append("".join(other))
+    points, where = _points(texts)
+    hashes = PrefixHashes(points)
+    prints = fingerprints(hashes, where)
+    for n, text in enumerate(texts):
+        assert dict(zip(prints[1][n].tolist(), prints[2][n].tolist())) == sketch(text)
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    got = likenesses(hashes, where, prints, x, y)
+    for i, j, value in zip(x, y, got):
+        assert value == pytest.approx(brute_likeness(texts[i], texts[j])), (i, j)
+    assert got[1] > 0.9 and got[2] > 0.8
 
 
 def expected(rows):
@@ -66,6 +103,15 @@ def test_neighbours(spark, count):
     assert all(len(p) == 1 for p in prints.values())
 
 
+def test_many_null_ids(spark):
+    rng = random.Random(3)
+    rows = [(None, "".join(rng.choice("abcde ") for _ in range(60))) for _ in range(300)] + [(5, "five " * 9), (7, "seven " * 9)]
+    out = compare_neighbours(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert len(out) == 302 and sorted((r.doc_id for r in out if r.doc_id is not None)) == [5, 7]
+    shas = {r.edited_sha256 for r in out if r.doc_id == 7}
+    assert shas == {hashlib.sha256(("seven " * 9)[:27].encode() + ("five " * 9)[:27].encode()).hexdigest()}
+
+
 def test_ties_and_empty(spark):
     rows = [(1, "first text of one"), (1, "second text of one"), (1, "second text of one"), (0, "zero")]
     out = compare_neighbours(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
