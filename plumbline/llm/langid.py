@@ -1,16 +1,18 @@
 """Language identification by segmentation-marginalised unigrams.
 
-The pieces are those of a fixed public vocabulary: lower-case letters, with or without the mark that begins a word,
-at most ``LONGEST`` characters.  Each language has a probability for every piece, fitted by expectation
-maximisation over all segmentations of its words.  A word's probability is the sum over all ways to
-segment it into pieces, by the forward algorithm; a text's is the product over its words, all of them.  The
-forward algorithm runs over the distinct words of a block at once, one array step for each end and length.
+The pieces are those of a fixed public vocabulary: lower-case letters of any number, with or without the mark that begins a
+word.  Each language has a probability for every piece, fitted by expectation maximisation over all
+segmentations of its words.  A word, a run of letters, has as its probability the sum over all ways to segment it into
+pieces, by the forward algorithm, rescaled where it gets small; a text's is the product over its words, all of them.  The
+forward algorithm runs over the distinct words of one length of a block at once, one array step for each end and
+size of the last piece.
 
-Learning reads a bounded sample: for every language the ``most`` labelled documents whose ids hash least.
+Learning reads a bounded sample: for every language the ``most`` labelled documents whose ids hash least.  Of these, runs
+of more than ``FIT_LONGEST`` letters are learned from in parts of so many; scoring takes every run whole.
 
 Defined results: ``und`` with score 0 for a null text, a text without letters, or when nothing was
-labelled; characters in no piece have a small fixed probability in all languages; runs of letters
-longer than ``CHUNK`` are scored in parts; an empty table gives an empty result.
+labelled; characters in no piece have a small fixed probability in all languages; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,36 +21,44 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordblocks as W
 from .bpe import LETTER, character_kinds
 from .scratch import prepare
 
-LONGEST, CHUNK = 6, 24
+FIT_LONGEST = 32
 #: The mark that begins a word in the vocabulary.
 MARK = 0x2581
 UNKNOWN = 1e-7
-_SLOTS = 22
-KEPT = 400_000
+#: Distinct words that a worker remembers, with their scores.
+KEPT = 100_000
+#: Cells of the lattice of a group of words, at most, unless one word has more.
+CELLS = 1 << 20
+_STEP, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F)
 
 
 def letter_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all texts, lower-cased; range of every run of letters (in parts of CHUNK); its text."""
+    """Code points of all texts, lower-cased; range of every run of letters; its text."""
     lower = [t.lower() for t in texts]
     where = np.concatenate([[0], np.cumsum([len(t) for t in lower], dtype=np.int64)])
     points = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = np.concatenate([[False], character_kinds()[points] == LETTER, [False]])
-    inner = where[1:-1]
-    rise, fall = is_letter[1:] & ~is_letter[:-1], is_letter[:-1] & ~is_letter[1:]
-    rise[inner] |= is_letter[inner + 1]
-    fall[inner] |= is_letter[inner]
-    starts, ends = np.flatnonzero(rise), np.flatnonzero(fall)
-    parts = -(-(ends - starts) // CHUNK)
+    starts, ends, first = W.runs(character_kinds()[points] == LETTER, where)
+    return points, starts, ends, W.owner(first)
+
+
+def parts_of(starts: np.ndarray, ends: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs in parts of at most ``longest``, and the run of each part."""
+    parts = -(-(ends - starts) // longest)
     of = np.repeat(np.arange(len(starts)), parts)
-    begin = starts[of] + CHUNK * (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts))
-    return points, begin, np.minimum(begin + CHUNK, ends[of]), np.searchsorted(where, begin, "right") - 1
+    begin = starts[of] + longest * (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts))
+    return begin, np.minimum(begin + longest, ends[of]), of
+
+
+def _longer(hashes: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The hash of pieces that go on with these characters."""
+    return W.mix(hashes ^ (points.astype(np.uint64) + np.uint64(1)) * _STEP)
 
 
 class Pieces:
@@ -60,73 +70,75 @@ class Pieces:
         for n in range(model.vocab_size()):
             piece = model.id_to_piece(n)
             letters = piece.lstrip(chr(MARK))
-            if letters.isalpha() and letters == letters.lower() and len(letters) <= LONGEST and len(piece) - len(letters) <= 1:
+            if letters.isalpha() and letters == letters.lower() and len(piece) - len(letters) <= 1:
                 names.add(piece)
         self.names = sorted(names)
-        self.size = len(self.names)
-        flat = np.concatenate([np.array([ord(c) for c in p], np.uint32) for p in self.names])
-        ends = np.cumsum([len(p) for p in self.names])
-        self.hashes = W.span_hashes(flat, ends - np.array([len(p) for p in self.names]), ends)
-        slot = (self.hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)
-        self.table = np.full(1 << _SLOTS, -1, np.int32)
-        self.table[slot] = np.arange(self.size)
-        lost = np.flatnonzero(self.table[slot] != np.arange(self.size))  # two pieces in one slot: one looks elsewhere
-        self.rest = np.argsort(self.hashes[lost])
-        self.rest = lost[self.rest]
+        self.size, self.longest = len(self.names), max(map(len, self.names))
+        hashes, sizes = np.full(self.size, _SEED), np.array([len(p) for p in self.names])
+        points, begin = np.frombuffer("".join(self.names).encode("utf-32-le"), np.uint32), np.cumsum(sizes) - sizes
+        for n in range(self.longest):
+            more = np.flatnonzero(sizes > n)
+            hashes[more] = _longer(hashes[more], points[begin[more] + n])
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        # the first that a hash with these top bits can be
+        self.table = np.searchsorted(self.hashes, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46)).astype(np.int32)
+        self.depth = int(np.bincount((self.hashes >> np.uint64(46)).astype(np.int64)).max())
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The index of each hash, or ``size``."""
-        at = self.table[(hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)].astype(np.int64)
-        out = np.where(self.hashes[at] == hashes, at, self.size)
-        if len(self.rest):
-            miss = np.flatnonzero((out == self.size) & (at >= 0))
-            other = np.minimum(np.searchsorted(self.hashes[self.rest], hashes[miss]), len(self.rest) - 1)
-            found = self.hashes[self.rest[other]] == hashes[miss]
-            out[miss[found]] = self.rest[other[found]]
+        at = self.table[(hashes >> np.uint64(46)).astype(np.int64)]
+        out = np.full(hashes.shape, self.size, np.int32)
+        for n in range(self.depth):
+            where = np.minimum(at + n, self.size - 1)
+            hit = self.hashes[where] == hashes
+            out[hit] = self.order[where[hit]]
         return out
 
 
 def lattice(pieces: Pieces, points: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """Words grouped by length: yields rows, length and for each (end, size) the piece of every word."""
+    """Words grouped by length: yields rows, length (with the mark) and for each size of a piece the piece of that size that
+    ends with each character, as an array (words, length); ``size`` where there is none."""
     sizes = ends - starts
-    for length in np.unique(sizes):
-        rows = np.flatnonzero(sizes == length)
-        for lo in range(0, len(rows), 50_000):
-            own = rows[lo : lo + 50_000]
-            chars = np.empty((len(own), length + 1), np.uint32)
+    order = np.argsort(sizes, kind="stable")
+    bounds = np.flatnonzero(np.diff(sizes[order], prepend=-1))
+    for a, b in zip(bounds, np.append(bounds[1:], len(order)), strict=True):
+        length = int(sizes[order[a]]) + 1
+        step = max(1, CELLS // (length * min(length, pieces.longest)))
+        for lo in range(a, b, step):
+            own = order[lo : min(lo + step, b)]
+            chars = np.empty((len(own), length), np.uint32)
             chars[:, 0] = MARK
-            chars[:, 1:] = points[starts[own][:, None] + np.arange(length)]
-            flat = chars.ravel()
-            base = np.arange(len(own)) * (length + 1)
-            cells = {}
-            for end in range(1, length + 2):
-                for size in range(1, min(end, LONGEST + 1) + 1):
-                    cells[end, size] = None
-            keys = list(cells)
-            begin = np.concatenate([base + e - s for e, s in keys])
-            stop = np.concatenate([base + e for e, _ in keys])
-            found = pieces.find(W.span_hashes(flat, begin, stop)).reshape(len(keys), len(own))
-            yield own, int(length) + 1, {k: found[n] for n, k in enumerate(keys)}
-
-
-def forward(cells: dict, length: int, prob: np.ndarray, count: int) -> list[np.ndarray]:
-    """alpha[end] (words x languages): the summed probability of all segmentations of the first ``end`` characters."""
-    size, alpha = len(prob) - 1, [np.ones((count, prob.shape[1]))]
+            chars[:, 1:] = points[starts[own][:, None] + np.arange(length - 1)]
+            cells, hashes = [], np.full(chars.shape, _SEED)
+            for size in range(1, min(length, pieces.longest) + 1):
+                hashes = _longer(hashes[:, : length - size + 1], chars[:, size - 1 :])
+                found = np.full(chars.shape, pieces.size, np.int32)
+                found[:, size - 1 :] = pieces.find(hashes)
+                cells.append(found if (found < pieces.size).any() or size == 1 else None)
+            yield own, length, cells
+
+
+def forward(cells: list, length: int, prob: np.ndarray, count: int, rescale: bool = True) -> tuple[list[np.ndarray], np.ndarray]:
+    """alpha[end] (words x languages): the summed probability of all segmentations of the first ``end`` characters, and the
+    logarithm of what the last ones were divided by (those that the longest piece does not reach may differ)."""
+    size, alpha, scale = len(prob) - 1, [np.ones((count, prob.shape[1]))], np.zeros((count, prob.shape[1]))
     for end in range(1, length + 1):
-        total = np.zeros((count, prob.shape[1]))
-        for n in range(1, min(end, LONGEST + 1) + 1):
-            piece = cells[end, n]
-            hit = np.flatnonzero(piece < size)
-            if len(hit) > count // 2:
-                total += alpha[end - n] * prob[piece] if n > 1 else 0
-                if n == 1:
-                    total += alpha[end - 1] * np.where((piece < size)[:, None], prob[piece], UNKNOWN)
-            elif n == 1:
-                total += alpha[end - 1] * np.where((piece < size)[:, None], prob[piece], UNKNOWN)
-            elif len(hit):
-                total[hit] += alpha[end - n][hit] * prob[piece[hit]]
+        one = cells[0][:, end - 1]
+        total = alpha[end - 1] * np.where((one < size)[:, None], prob[one], UNKNOWN)
+        for n in range(2, min(end, len(cells)) + 1):
+            if cells[n - 1] is not None:
+                piece = cells[n - 1][:, end - 1]
+                hit = np.flatnonzero(piece < size)
+                if len(hit):
+                    total[hit] += alpha[end - n][hit] * prob[piece[hit]]
         alpha.append(total)
-    return alpha
+        small = total < 1e-150
+        if rescale and small.any():
+            for n in range(max(0, end - len(cells)), end + 1):
+                alpha[n] = np.where(small, alpha[n] * 1e150, alpha[n])
+            scale[small] -= 150 * np.log(10)
+    return alpha, scale
 
 
 class LanguageModel:
@@ -151,13 +163,15 @@ class LanguageModel:
             for _ in range(rounds):
                 expected = np.zeros(pieces.size + 1)
                 for rows, length, cells in lattices:
-                    alpha = forward(cells, length, p, len(rows))
+                    alpha, _ = forward(cells, length, p, len(rows), rescale=False)
                     beta = [None] * length + [np.ones(len(rows))]
                     scale = weight[rows] / np.maximum(alpha[length][:, 0], 1e-300)
                     for at in range(length - 1, -1, -1):
                         beta[at] = np.zeros(len(rows))
-                        for n in range(1, min(LONGEST + 1, length - at) + 1):
-                            piece = cells[at + n, n]
+                        for n in range(1, min(len(cells), length - at) + 1):
+                            if cells[n - 1] is None:
+                                continue
+                            piece = cells[n - 1][:, at + n - 1]
                             step = np.where(piece < pieces.size, p[piece, 0], UNKNOWN if n == 1 else 0.0) * beta[at + n]
                             expected += np.bincount(piece, alpha[at][:, 0] * step * scale, pieces.size + 1)
                             beta[at] += step
@@ -171,7 +185,8 @@ class LanguageModel:
         """log P(word) by language."""
         out = np.zeros((len(starts), len(self.languages)))
         for rows, length, cells in lattice(pieces, points, starts, ends):
-            out[rows] = np.log(np.maximum(forward(cells, length, self.prob, len(rows))[length], 1e-300))
+            alpha, scale = forward(cells, length, self.prob, len(rows))
+            out[rows] = np.log(alpha[length]) + scale
         return out
 
 
@@ -205,17 +220,14 @@ class Scorer:
         return total, count
 
 
-def _strings(part: np.ndarray, at: np.ndarray) -> list[str]:
-    raw = part.tobytes()
-    return [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-
-
 def _words(batches):
     """Each labelled document's runs of letters, counted by batch."""
     for batch in batches:
         data, where = W.utf8(batch.column("text"))
         for lo, hi, part, at in W.blocks(data, where):
-            points, starts, ends, text = letter_runs(_strings(part, at))
+            points, starts, ends, text = letter_runs(W.strings(part, at))
+            starts, ends, of = parts_of(starts, ends, FIT_LONGEST)
+            text = text[of]
             language = np.asarray(batch.column("lang").slice(lo, hi - lo).to_pylist(), object)
             raw = points.tobytes()
             words = [raw[4 * a : 4 * b].decode("utf-32-le", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -232,7 +244,7 @@ def _predict(path: str, model: LanguageModel):
                 scorer = scorer or Scorer(path, model)
                 data, where = W.utf8(batch.column("text"))
                 for lo, hi, part, at in W.blocks(data, where):
-                    total, count = scorer.texts(_strings(part, at))
+                    total, count = scorer.texts(W.strings(part, at))
                     best = total.argmax(1)
                     # the evidence of about ten words: a score that tells sure from unsure texts
                     share = np.exp((total - total.max(1, keepdims=True)) / np.maximum(1, count / 10)[:, None])
@@ -246,19 +258,18 @@ def _predict(path: str, model: LanguageModel):
 
 def train(documents: DataFrame, vocabulary: str, most: int = 300) -> LanguageModel:
     """From the (doc_id, text, lang) of ``documents``, ``most`` of each language."""
-    languages = [r.lang for r in documents.where("lang is not null").select("lang").distinct().collect()]
-    rank = F.xxhash64("doc_id"), F.col("doc_id")
-    sample = None
-    for language in sorted(languages):
-        own = documents.where((F.col("lang") == language) & F.col("doc_id").isNotNull()).select("doc_id", "lang").orderBy(*rank).limit(most)
-        sample = own if sample is None else sample.unionByName(own)
-    if sample is None:
-        return LanguageModel([], np.zeros((1, 0)))
-    rows = documents.join(F.broadcast(sample.distinct()), ["doc_id", "lang"]).select("text", "lang")
+    # the least hashes of each language, first in shares of its documents, so that no task sorts all of a frequent one
+    known = documents.where("lang is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("rank")).distinct()
+    shares = Window.partitionBy("lang", F.pmod(F.xxhash64("rank"), F.lit(256))).orderBy("rank", "doc_id")
+    some = known.withColumn("n", F.row_number().over(shares)).where(F.col("n") <= most).drop("n")
+    sample = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "doc_id"))).where(F.col("n") <= most).select("doc_id", "lang")
+    rows = documents.join(F.broadcast(sample), ["doc_id", "lang"]).select("text", "lang")
     got = rows.mapInArrow(_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     counts: dict[str, dict[str, int]] = {}
     for language, word, n in zip(got["lang"], got["word"], got["n"], strict=True):
         counts.setdefault(language, {})[word] = n
+    if not counts:
+        return LanguageModel([], np.zeros((1, 0)))
     return LanguageModel.fit(Pieces(vocabulary), counts)
 
 
