@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from plumbline.llm.ordinal import OrdinalModel, fit, graded, rate
+from plumbline.llm.ordinal import SHAPES, WORDS, OrdinalModel, _rows, _score, fit, gradient, graded, rate
 
 SCHEMA = "doc_id bigint, text string, grade string, expected string, index int"
 
@@ -61,3 +62,53 @@ def test_fit_recovers_ordered_thresholds():
     assert isinstance(model, OrdinalModel)
     assert model.weights[0] == pytest.approx(2, abs=0.2)
     assert model.thresholds == pytest.approx([-1, 1.5], abs=0.2)
+
+
+def brute_probabilities(latent, thresholds):
+    """P(grade = k), one by one, from the definition."""
+    at_most = [1 / (1 + np.exp(latent - t)) for t in thresholds] + [1.0]
+    return [p - q for p, q in zip(at_most, [0.0, *at_most[:-1]])]
+
+
+def brute_loss(w, gaps, x, grade):
+    thresholds = [gaps[0]]
+    for g in gaps[1:]:
+        thresholds.append(thresholds[-1] + np.exp(g))
+    return -np.mean([np.log(brute_probabilities(float(np.dot(row, w)), thresholds)[k]) for row, k in zip(x, grade)])
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    x, grade = rng.normal(size=(30, 6)), rng.integers(0, 4, 30)
+    w, gaps = rng.normal(size=6), np.array([-1.0, 0.3, -0.4])
+    index, value, row = np.tile(np.arange(6), 30), x.ravel(), np.repeat(np.arange(30), 6)
+    g_w, g_gaps = gradient(w, gaps, index, value, row, grade)
+    for own, point in ((g_w, w), (g_gaps, gaps)):
+        for n in range(len(point)):
+            step = np.zeros_like(point)
+            step[n] = 1e-6
+            ends = [brute_loss(*((p, gaps) if point is w else (w, p)), x, grade) for p in (point + step, point - step)]
+            assert own[n] == pytest.approx((ends[0] - ends[1]) / 2e-6, abs=1e-6)
+
+
+def test_scores_are_those_of_the_definition():
+    """Mean features by a loop over words, then expected grade and tail from the probability of each grade."""
+    rng = np.random.default_rng(4)
+    model = OrdinalModel(rng.normal(size=WORDS + SHAPES), np.array([-0.5, 0.7]))
+    texts = ["one two two THREE!", "x", "", "####  a1 a1 a1 wörd", "b " * 300]
+    batch = pa.record_batch({"rank": [0] * 5, "grade": pa.array([0] * 5, pa.int32()), "text": texts})
+    counts = [b for b in _rows([batch])][0].to_pylist()
+    got = next(iter(_score(model, 2, 1, 2)([batch]))).to_pylist()
+    for text, own, row in zip(texts, counts, got):
+        assert sum(own["value"]) == pytest.approx(2.0 if text else 0) and own["words"] == len(text.split())
+        p = brute_probabilities(sum(model.weights[i] * v for i, v in zip(own["index"], own["value"])), model.thresholds)
+        assert row["c3"] == pytest.approx(sum(k * q for k, q in enumerate(p)) if text else 0, rel=1e-5)
+        assert row["c4"] == pytest.approx(p[1] + p[2] if text else 0, rel=1e-5)
+
+
+def test_sample_ends_with_its_words(spark):
+    from plumbline.llm.ordinal import train
+
+    rows, labels = corpus(60)
+    df, lf = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    assert isinstance(train(df, graded(lf)), OrdinalModel) and not isinstance(train(df, graded(lf), most_words=45), OrdinalModel)
