@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.debruijn import cleaned
 from plumbline.llm.jaccard import deduplicated
 from plumbline.llm.mixing import repeated
-from plumbline.llm.ordinal import rate
+from plumbline.llm.ordinal import accepted
 from plumbline.llm.packing import pack
 from plumbline.llm.scratch import table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ordinal regression on the labels; documents that it rejects go."""
-    return rate(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("selected").select(*docs.columns)
+    return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

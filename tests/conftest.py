@@ -16,6 +16,8 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.codegen.wholeStage", "false")  # compiling takes longer than tables of a few rows
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
