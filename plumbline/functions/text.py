@@ -113,7 +113,7 @@ def midnight(day: Column) -> Column:
 
 def retry_seconds(value: Column, now: Column) -> Column:
     """Seconds to wait: a number, or an HTTP date less now, never negative."""
-    at = F.try_to_timestamp(value, F.lit("EEE, dd MMM yyyy HH:mm:ss zzz"))
+    at = F.try_to_timestamp(F.regexp_replace(value, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))  # GMT alone: sessions are in UTC
     wait = F.coalesce(value.try_cast("double"), (F.unix_timestamp(at) - F.unix_timestamp(now)).cast("double"))
     return F.when(wait.isNotNull(), F.greatest(wait, F.lit(0.0)))
 

@@ -18,6 +18,23 @@ def nearest_rank(values: Column, p: float) -> Column:
     return F.element_at(F.array_sort(values), (F.bround((F.size(values) - 1) * F.lit(p).cast("double")) + 1).cast("int"))
 
 
+def nearest_rank_by(rows: DataFrame, by: str, value: str, p: float, slack: float = 0.001) -> DataFrame:
+    """(by, p_value): element round((n-1)p) of each group's values, with banker's rounding (A3).
+
+    Approximate quantiles to either side bracket it; rows below the bracket are counted, and those within, some
+    ``2 * slack`` of a group, numbered.  So no group is gathered in a row or sorted whole.
+    """
+    rows = rows.select(by, F.col(value).alias("__v")).where("__v is not null")
+    sides = F.array(F.lit(max(0.0, p - slack)), F.lit(min(1.0, p + slack)))
+    bounds = rows.groupBy(by).agg(F.count("*").alias("__n"), F.percentile_approx("__v", sides, int(4 / slack)).alias("__b"))
+    bounds = bounds.select(by, "__n", F.when(F.col("__n") > 1000, F.col("__b")[0]).alias("__lo"), F.when(F.col("__n") > 1000, F.col("__b")[1]).alias("__hi"))
+    placed = rows.join(bounds, by)
+    below = placed.groupBy(by).agg(F.count_if(F.col("__v") < F.col("__lo")).alias("__below"))
+    within = placed.where("__lo is null or __v between __lo and __hi").join(below, by)
+    at = F.col("__below") + F.row_number().over(Window.partitionBy(by).orderBy("__v"))
+    return within.withColumn("__at", at).where(F.col("__at") == F.bround((F.col("__n") - 1) * F.lit(p).cast("double")) + 1).select(by, F.col("__v").alias("p_value"))
+
+
 def linear_percentile(column: str, p: float) -> Column:
     """Linear interpolation between ranks."""
     return F.percentile(column, p)
@@ -54,6 +71,16 @@ def paired_differences(trials: DataFrame, contrasts: list[tuple[str, str]], scor
     return wide.select(task, F.explode(each).alias("e")).select(F.col("e.contrast").alias("contrast"), F.col(task), F.col("e.category").alias("category"), F.col("e.diff").alias("diff")).where("diff is not null")
 
 
+def metric_effects(trials: DataFrame, metrics: list[str], contrasts: list[tuple[str, str]], task: str = "task_key", condition: str = "condition") -> DataFrame:
+    """(metric, contrast, n, effect) of all contrasts of all metrics (M6, M7): one pivot by task and metric."""
+    long = trials.unpivot([task, condition], metrics, "metric", "value")
+    names = sorted({c for pair in contrasts for c in pair})
+    wide = long.where(F.col(condition).isin(*names)).groupBy(task, "metric").agg(*[F.max(F.when(F.col(condition) == c, F.col("value"))).alias(f"v{n}") for n, c in enumerate(names)])
+    at = {c: n for n, c in enumerate(names)}
+    each = F.array(*[F.struct(F.lit(f"{a} - {b}").alias("contrast"), (F.col(f"v{at[a]}") - F.col(f"v{at[b]}")).alias("diff")) for a, b in contrasts])
+    return wide.select("metric", F.explode(each).alias("e")).where("e.diff is not null").groupBy("metric", "e.contrast").agg(F.count("*").alias("n"), F.avg("e.diff").alias("effect"))
+
+
 def paired_effects(differences: DataFrame) -> DataFrame:
     """Effect, wins, ties, losses and the mean of category means, by contrast (A4, A5)."""
     balanced = differences.groupBy("contrast", "category").agg(F.avg("diff").alias("m")).groupBy("contrast").agg(F.avg("m").alias("category_balanced"))

@@ -16,6 +16,8 @@ from ..functions import text as T
 from ..functions.udfs import folded
 from ..operators import facts, models, paired, records
 
+#: R14.
+SCORER_ORDER = tuple(S.SCORERS)
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -127,7 +129,7 @@ def q_summary(spark, d):
 
 @bound("nearest_rank_p95", f"WITH {ROWS}, r AS (SELECT condition, list_sort(list(score)) AS s FROM e GROUP BY 1) SELECT condition, s[(round_even((len(s) - 1) * 0.95, 0) + 1)::INT] AS p95 FROM r")
 def q_nearest(spark, d):
-    return event_rows(spark, d).groupBy("condition").agg(paired.nearest_rank(F.collect_list("score"), 0.95).alias("p95"))
+    return paired.nearest_rank_by(event_rows(spark, d), "condition", "score", 0.95).withColumnRenamed("p_value", "p95")
 
 
 @bound("paired_differences", f"WITH {PAIRS} SELECT contrast, task_key, category, diff FROM p")
@@ -278,32 +280,34 @@ def q_subset(spark, d):
 
 
 # --- trajectories -------------------------------------------------------------------------------------------
-def trajectories(spark, d, whole: bool = False) -> DataFrame:
-    """Pages as results: row = page mod 50, step = (page div 50) mod 3, snippets of 200 characters, as ``FLAT`` has them;
-    ``whole``: row = page div 150, and the whole text of a page."""
-    text, n = F.regexp_replace("html", "<[^>]*>", " "), F.col("page_id")
-    p = read(spark, d, "pages").select(
-        (F.floor(n / 150) if whole else n % 50).alias("row_id"), (F.floor(F.col("page_id") / 50) % 3).alias("step"), "page_id", "url",
-        (text if whole else F.substring(text, 1, 200)).alias("snippet"),
-    )
-    inner = p.groupBy("row_id", "step").agg(F.array_sort(F.collect_list(F.struct("page_id", "url", "snippet"))).alias("r"))
+def trajectories(spark, d) -> DataFrame:
+    """Pages as results: six pages a row, two for each of its three steps, with their whole texts as snippets (``FLAT``)."""
+    n = F.col("page_id")
+    p = read(spark, d, "pages").select(F.floor(n / 6).alias("row_id"), (n % 3).alias("step"), "page_id", "url", F.regexp_replace("html", "<[^>]*>", " ").alias("snippet"))
+    inner = p.groupBy("row_id", "step").agg(F.array_sort(F.collect_list(F.struct("page_id", "url", "snippet"))).alias("r"), F.sum(F.length("url")).alias("used"))
     result = lambda x, i: F.struct(
         (i + 1).alias("rank"), x["url"].alias("url"), F.lit("").alias("title"), x["snippet"].alias("snippet"),
         F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (x["page_id"] % 300).cast("int")), "yyyy-MM-dd").alias("published_date"),
         F.lit("publication").alias("date_semantics"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("boolean").alias("oracle_snippet_gold"))
     step = F.struct("step", F.lit("search").alias("type"), ((F.col("step") + 1) * 1000.0).alias("tokens"), F.transform("r", result).alias("results"))
-    rows = inner.groupBy("row_id").agg(F.array_sort(F.collect_list(step)).alias("trajectory"))
+    rows = inner.groupBy("row_id").agg(F.array_sort(F.collect_list(step)).alias("trajectory"), F.sum("used").alias("used"))
+    k = F.col("row_id")
+    answer = F.when(k % 5 == 0, F.lit("The  REING!")).when(k % 5 == 1, "I could not find this.").when(k % 5 == 2, "it is keit, they say").when(k % 5 == 3, "").otherwise("a reingen keit")
     return rows.select(
-        "row_id", F.array(F.when(F.col("row_id") % 2 == 0, F.lit("reing")).otherwise(F.lit("keit"))).alias("expected"),
-        F.struct(F.lit("x").alias("final_answer"), F.when(F.col("row_id") % 7 == 0, "urls_only").when(F.col("row_id") % 11 == 0, "none").otherwise("full").alias("decision_surface"), (F.col("row_id") % 8).cast("int").alias("used_searches"), F.lit(0).alias("used_clicks"), "trajectory").alias("output"),
+        "row_id", F.array(F.when(k % 2 == 0, F.lit("reing")).otherwise(F.lit("keit"))).alias("expected"),
+        F.struct(answer.alias("final_answer"), F.when(k % 7 == 0, "urls_only").when(k % 11 == 0, "none").otherwise("full").alias("decision_surface"), (F.col("used") % 8).cast("int").alias("used_searches"), F.lit(0).alias("used_clicks"), "trajectory").alias("output"),
         F.struct(F.lit(None).cast("string").alias("link"), F.array(F.struct(F.lit("https://tionsh.example.net/a").alias("link"), F.lit(None).cast("string").alias("url"))).alias("articles"), F.lit("2024-05-01").alias("event_date"), F.lit(None).cast("string").alias("date"), F.lit(None).cast("int").alias("search_budget"), F.lit(None).cast("array<string>").alias("answer_aliases")).alias("metadata"),
     )
 
 
-FLAT = r"""x AS (SELECT page_id % 50 AS row_id, (page_id // 50) % 3 AS step, page_id, url, lower(substr(regexp_replace(html, '<[^>]*>', ' ', 'g'), 1, 200)) AS txt,
+FLAT = r"""x AS (SELECT page_id // 6 AS row_id, page_id % 3 AS step, page_id, url, lower(regexp_replace(html, '<[^>]*>', ' ', 'g')) AS txt,
  regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www\.', '') AS host, DATE '2024-01-01' + (page_id % 300)::INT AS pub FROM pages),
  y AS (SELECT *, row_number() OVER (PARTITION BY row_id, step ORDER BY page_id) AS rank, contains(txt, CASE WHEN row_id % 2 = 0 THEN 'reing' ELSE 'keit' END) AS gold,
- CASE WHEN row_id % 7 = 0 THEN 'urls_only' WHEN row_id % 11 = 0 THEN 'none' ELSE 'full' END AS surface FROM x)"""
+ sum(length(url)) OVER (PARTITION BY row_id) % 8 AS used, CASE WHEN row_id % 7 = 0 THEN 'urls_only' WHEN row_id % 11 = 0 THEN 'none' ELSE 'full' END AS surface FROM x)"""
+_LEAKS = "bool_or(host = 'tionsh.example.net' OR ends_with(host, '.tionsh.example.net') OR host IN ('web.archive.org', 'archive.org'))"
+_GATE = f"CASE WHEN any_value(surface) = 'none' THEN NULL ELSE least(CASE WHEN {_LEAKS} THEN 0.0 ELSE 1.0 END, CASE WHEN any_value(used) <= 5 THEN 1.0 ELSE 0.0 END) END::DOUBLE"
+#: By row modulo 10: the answers of ``trajectories`` against the gold of even and odd rows.
+_MATCH = "CASE WHEN row_id % 10 IN (0, 7) THEN 1.0 WHEN row_id % 10 = 9 THEN 1.0 ELSE 0.0 END::DOUBLE"
 
 
 def scored(*names: str) -> Query:
@@ -311,18 +315,37 @@ def scored(*names: str) -> Query:
 
 
 for _name, _sql in {
-    "leakage_guard": "CASE WHEN any_value(surface) = 'none' THEN NULL ELSE CASE WHEN bool_or(host = 'tionsh.example.net' OR ends_with(host, '.tionsh.example.net') OR host IN ('web.archive.org', 'archive.org')) THEN 0.0 ELSE 1.0 END END::DOUBLE",
-    "budget_economy": "CASE WHEN any_value(surface) = 'none' THEN NULL WHEN row_id % 8 <= 5 THEN 1.0 ELSE 0.0 END::DOUBLE",
+    "leakage_guard": f"CASE WHEN any_value(surface) = 'none' THEN NULL ELSE CASE WHEN {_LEAKS} THEN 0.0 ELSE 1.0 END END::DOUBLE",
+    "budget_economy": "CASE WHEN any_value(surface) = 'none' THEN NULL WHEN any_value(used) <= 5 THEN 1.0 ELSE 0.0 END::DOUBLE",
     "temporal_grounding": "CASE WHEN any_value(surface) = 'full' THEN 1.0::DOUBLE - count(*) FILTER (pub < DATE '2024-05-01') / count(*) END",
     "snippet_sufficiency": "CASE WHEN any_value(surface) = 'full' THEN CASE WHEN bool_or(gold) THEN 1.0 ELSE 0.0 END END::DOUBLE",
     "evidence_precision": "CASE WHEN any_value(surface) = 'full' THEN count(*) FILTER (gold) / count(*) END::DOUBLE",
 }.items():
     bound(f"score_{_name}", f"WITH {FLAT} SELECT row_id, {_sql} AS {_name} FROM y GROUP BY row_id")(scored(_name))
 
-bound("score_dealbreaker_gate", f"WITH {FLAT} SELECT row_id, CASE WHEN any_value(surface) = 'none' THEN NULL ELSE least(CASE WHEN bool_or(host = 'tionsh.example.net' OR ends_with(host, '.tionsh.example.net')) THEN 0.0 ELSE 1.0 END, CASE WHEN row_id % 8 <= 5 THEN 1.0 ELSE 0.0 END) END::DOUBLE AS dealbreaker_gate FROM y GROUP BY row_id")(scored("dealbreaker_gate"))
+bound("score_dealbreaker_gate", f"WITH {FLAT} SELECT row_id, {_GATE} AS dealbreaker_gate FROM y GROUP BY row_id")(scored("dealbreaker_gate"))
+bound("score_answer_match", f"WITH {FLAT} SELECT row_id, {_MATCH} AS qa_answer_match FROM y GROUP BY row_id")(scored("qa_answer_match"))
+bound("score_gated_answer_match", f"WITH {FLAT}, g AS (SELECT row_id, {_GATE} AS gate, {_MATCH} AS m FROM y GROUP BY row_id) SELECT row_id, CASE WHEN gate = 0 THEN 0.0 ELSE m END::DOUBLE AS gated_answer_match FROM g")(scored("gated_answer_match"))
+
+
+@bound("score_registry", "SELECT unnest(range(11))::INT AS position, unnest(['qa_answer_match', 'leakage_guard', 'budget_economy', 'dealbreaker_gate', 'gated_answer_match', 'temporal_grounding', 'snippet_sufficiency', 'evidence_precision', 'token_discounted_gain', 'compression_redundancy', 'domain_entropy']) AS name")
+def q_registry(spark, d):
+    """All scorers at once, in their order."""
+    scored_rows = S.score(trajectories(spark, d))
+    names = [c for c in scored_rows.columns if c in S.SCORERS]
+    return spark.createDataFrame([(n, c) for n, c in enumerate(names[: len(SCORER_ORDER)])], "position int, name string")
+
+
+@bound("trajectory_fields", f"WITH {FLAT} SELECT row_id, CASE WHEN row_id % 2 = 0 THEN 'reing' ELSE 'keit' END AS gold, any_value(surface) AS surface, 'tionsh.example.net' AS source_hosts, count(*) FILTER (host = 'tionsh.example.net' OR ends_with(host, '.tionsh.example.net')) > 0 AS leaks, least(10, count(*) FILTER (host = 'tionsh.example.net' OR ends_with(host, '.tionsh.example.net')))::INT AS first_leaks, CASE row_id % 5 WHEN 0 THEN 'The  REING!' WHEN 1 THEN 'I could not find this.' WHEN 2 THEN 'it is keit, they say' WHEN 3 THEN '' ELSE 'a reingen keit' END AS answer FROM y GROUP BY row_id")
+def q_fields(spark, d):
+    """F9 to F12, U7, T3."""
+    leaked = S.leaked_urls()
+    return trajectories(spark, d).select("row_id", F.array_join(S.golds(), "|").alias("gold"), S.surface().alias("surface"), F.array_join(S.source_hosts(), "|").alias("source_hosts"), (F.size(leaked) > 0).alias("leaks"), F.size(F.slice(leaked, 1, 10)).alias("first_leaks"), S.answer().alias("answer"))
+
+
 bound("score_domain_entropy", f"WITH {FLAT}, c AS (SELECT row_id, any_value(surface) AS surface, host, count(*) AS c FROM y GROUP BY row_id, host), n AS (SELECT row_id, any_value(surface) AS surface, sum(c)::DOUBLE AS n, list(c) AS cs FROM c GROUP BY row_id) SELECT row_id, CASE WHEN surface != 'none' AND n >= 2 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_sum(list_transform(cs, lambda k: -(k / n) * ln(k / n))) / ln(n))) END AS domain_entropy FROM n")(scored("domain_entropy"))
 bound("score_token_discounted_gain", f"WITH {FLAT}, s AS (SELECT *, (step + 1) * 1000.0::DOUBLE / count(*) OVER (PARTITION BY row_id, step) AS share FROM y), r AS (SELECT *, sum(share) OVER (PARTITION BY row_id ORDER BY step, rank) AS read FROM s) SELECT row_id, CASE WHEN any_value(surface) = 'full' THEN coalesce(exp(-min(read) FILTER (gold) / 4000.0::DOUBLE), 0.0) END AS token_discounted_gain FROM r GROUP BY row_id")(scored("token_discounted_gain"))
-bound("score_compression_redundancy")(lambda spark, d: S.score(trajectories(spark, d, whole=True), ["compression_redundancy"]).select("row_id", "compression_redundancy"))
+bound("score_compression_redundancy")(lambda spark, d: S.score(trajectories(spark, d), ["compression_redundancy"]).select("row_id", "compression_redundancy"))
 
 
 @bound("best_gold_rank", f"WITH {FLAT} SELECT row_id, min(rank) FILTER (gold) AS rank, arg_min(step + 1, rank * 100 + step) FILTER (gold) AS round FROM y GROUP BY row_id")
@@ -340,14 +363,14 @@ def q_domains(spark, d):
     return trajectories(spark, d).select("row_id", S.surfaced_domains().alias("domains"))
 
 
-@bound("result_grain", f"WITH {FLAT} SELECT row_id, rank::INT AS rank, url, host, substr(sha256(substr(regexp_replace(html, '<[^>]*>', ' ', 'g'), 1, 200)), 1, 16) AS snippet_hash FROM y JOIN pages USING (page_id, url)")
+@bound("result_grain", f"WITH {FLAT} SELECT row_id, rank::INT AS rank, url, host, substr(sha256(regexp_replace(html, '<[^>]*>', ' ', 'g')), 1, 16) AS snippet_hash FROM y JOIN pages USING (page_id, url)")
 def q_grain(spark, d):
     return records.result_grain(trajectories(spark, d)).select("row_id", "rank", "url", "host", "snippet_hash")
 
 
 @bound("domain_concentration", f"WITH {FLAT}, c AS (SELECT step, host, count(*) AS n FROM y GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY n DESC, host) AS pl FROM c) SELECT step, count(*) AS domains, sum(n)::BIGINT AS results, sum(n) FILTER (pl = 1) / sum(n) AS top1, sum(n) FILTER (pl <= 5) / sum(n) AS top5, sum(n) FILTER (n > 1) / sum(n) AS repeated FROM p GROUP BY 1")
 def q_concentration(spark, d):
-    p = read(spark, d, "pages").select((F.floor(F.col("page_id") / 50) % 3).alias("step"), T.host(F.col("url")).alias("host"))
+    p = read(spark, d, "pages").select((F.col("page_id") % 3).alias("step"), T.host(F.col("url")).alias("host"))
     return records.concentration(p, ["step"], "host")
 
 
@@ -359,13 +382,10 @@ def q_apex(spark, d):
 
 
 # --- texts --------------------------------------------------------------------------------------------------
-@bound("gold_containment", "WITH g AS (SELECT item_id, substr(text, 1, 40) AS gold FROM benchmark) SELECT item_id, count(*) AS hits FROM g JOIN documents d ON contains(lower(d.text), lower(gold)) GROUP BY 1")
+@bound("gold_containment", "SELECT item_id, count(*) AS hits FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) GROUP BY 1")
 def q_contains(spark, d):
-    """Each document against an array of all golds: ``benchmark`` is a bounded reference set, one row of it is
-    broadcast, and a document is read once whatever the number of golds."""
-    golds = read(spark, d, "benchmark").agg(F.collect_list(F.struct("item_id", F.lower(F.substring("text", 1, 40)).alias("gold"))).alias("golds"))
-    docs = read(spark, d, "documents").select(F.lower("text").alias("t")).join(F.broadcast(golds))
-    return docs.select(F.explode(F.filter("golds", lambda g: F.contains(F.col("t"), g["gold"]))).alias("g")).groupBy(F.col("g.item_id").alias("item_id")).agg(F.count("*").alias("hits"))
+    """Documents that hold a whole benchmark text."""
+    return records.containing(read(spark, d, "documents"), read(spark, d, "benchmark"), "doc_id", "item_id").groupBy("item_id").agg(F.count("*").alias("hits"))
 
 
 @bound("question_types", "SELECT doc_id, CASE WHEN " + " OR ".join(f"contains(lower(text), '{t}')" for t in T.QUANTITATIVE_RELEASE) + " THEN 'Quantitative / composed' ELSE 'Other factual' END AS kind FROM documents")
@@ -400,13 +420,6 @@ def q_canonical(spark, d):
     return read(spark, d, "part").select("p_partkey", T.canonical_value(F.col("p_name")).alias("value"))
 
 
-@bound("html_text")
-def q_html(spark, d):
-    from ..functions.udfs import plain_text
-
-    return read(spark, d, "pages").select("page_id", plain_text(F.col("html")).alias("text"))
-
-
 @bound("recency_rungs", "SELECT l_orderkey, l_linenumber, CASE WHEN h < 0 THEN 'future' WHEN h < 24 THEN 'lt_24h' WHEN h < 72 THEN '24h_72h' WHEN h < 168 THEN '3d_7d' WHEN h < 720 THEN '7d_30d' ELSE 'gte_30d' END AS rung FROM (SELECT l_orderkey, l_linenumber, date_diff('hour', l_shipdate::TIMESTAMP, o_orderdate::TIMESTAMP + INTERVAL 60 DAY) AS h FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
 def q_rungs(spark, d):
     li, o = read(spark, d, "lineitem"), read(spark, d, "orders")

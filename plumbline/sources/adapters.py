@@ -15,7 +15,7 @@ def sectioned_results(responses: DataFrame) -> DataFrame:
     description; news dates are publications, web dates are not (V1, W4, W5).
     """
     def section(name: str, priority: int) -> Column:
-        return F.transform(F.coalesce(name, F.filter(F.col(name), lambda _: F.lit(False))), lambda r, i: F.struct(
+        return F.transform(F.coalesce(name, F.array().cast(responses.schema[name].dataType)), lambda r, i: F.struct(
             (i + 1).alias("section_rank"), F.lit(priority).alias("priority"), F.lit(name).alias("source"), r["url"].alias("url"), r["title"].alias("title"),
             F.coalesce(F.nullif(F.array_join(r["highlights"], "\n"), F.lit("")), F.nullif(F.array_join(r["snippets"], "\n"), F.lit("")), r["description"], F.lit("")).alias("snippet"),
             r["page_age"].alias("published_date"), F.lit("publication" if name == "news" else "page_age").alias("date_semantics")))
@@ -88,7 +88,7 @@ def experiment_label(kind: Column) -> Column:
 
 def reference_urls(references: Column) -> Column:
     """P854 URLs of a claim's references, distinct and sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(references, lambda r: r["P854"])), lambda u: u.isNotNull())))
+    return F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(references, lambda r: F.coalesce(r["P854"], F.array().cast("array<string>")))), lambda u: u.isNotNull())))
 
 
 def claim_value(claim: Column) -> Column:
