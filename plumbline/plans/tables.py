@@ -175,7 +175,7 @@ def q_claims(spark, d):
 _HTML = "html"
 for _pattern, _plain in ((r"(?is)<script\b.*?</script\s*>", " "), (r"(?is)<style\b.*?</style\s*>", " "), (r"(?s)<[^>]+>", " ")):
     _HTML = f"regexp_replace({_HTML}, '{_pattern}', '{_plain}', 'g')"
-for _entity, _plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+for _entity, _plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
     _HTML = f"replace({_HTML}, '{_entity}', '{_plain}')"
 
 
