@@ -87,3 +87,13 @@ def test_tables_need_a_shared_folder(spark, monkeypatch):
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             scratch.folder(Session())
+
+
+def test_hot_keys_are_joined_once(spark):
+    from plumbline.llm.frames import join_hot
+
+    left = spark.range(6000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"))
+    right = left.groupBy("k").agg(F.count("*").alias("rows"), F.max("id").alias("last")).where("k != 'k3'")
+    got = join_hot(left, right, ["k"], "rows", 6000)
+    assert sorted(map(tuple, got.select("id", "k", "last").collect())) == sorted(map(tuple, left.join(right, "k").select("id", "k", "last").collect()))
+    assert join_hot(left, right.limit(0), ["k"], "rows", 6000).collect() == []
