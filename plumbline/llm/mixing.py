@@ -4,14 +4,16 @@ Targets: the sources share 100 % of all words by weight, none above ``most`` tim
 is shared again by weight until none is above.  That is one water level over the sources in order of the
 level at which each is full, so it needs one running sum over a row per source.
 
-Sampling: with r = target / words of the source, every document is expected r times.  The documents of a source, in
-order of their size, are prefix-summed (each adds r), one random offset is added, and a document is emitted once per integer
-boundary that its expected copies cross.  As like sizes lie together, a source's total differs from its target by no more
-than about its largest document.
+Sampling: with r = target / words of the source, every document is expected r times.  The documents of a source, in the order
+of a hash, are prefix-summed (each adds r), one random offset is added, and a document is emitted once per integer
+boundary that its expected copies cross.  Of ``OFFSETS`` offsets, evenly spaced from a random first, each source takes that
+whose total is nearest its target.  (In order of size the total would be off by the largest document at most, but
+offsets would hardly change it: on 1,000 and 10,000 documents from 20 sources the worst source is off by 10.6 % and 6.7 % so,
+by 6.8 % and 1.0 % in the order of a hash.)
 
-Scale: a document's place in its source comes in three levels, documents of smaller sizes, those of its size in buckets (by
-a hash of the row) before its own, and those before it in its bucket; so a source, or a size, with a third of all rows is
-spread over all buckets.  Only ids, sizes and hashes are shuffled.  Targets take a row a source.
+Scale: prefix sums run in two levels.  Rows are dealt by (source, hash of the row) and counted there; the counts,
+a row per source and bucket, are prefix-summed by source; so a source with a third of all rows is spread over
+all its buckets.  Only ids, sizes and hashes are shuffled.  Targets take a row a source.
 
 Defined results: null text has no words; a null source is a source of its own, last in order; rows equal in
 id, source and size are interchangeable; a source without words has target 0; an empty table gives an empty
@@ -21,7 +23,7 @@ columns, of any name, stay as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import beside, few, fresh, own
@@ -29,6 +31,8 @@ from .scratch import table
 
 #: Rows of a bucket, at most, when hashes are even.
 BUCKET_ROWS = 20_000
+#: Offsets that a source chooses from.
+OFFSETS = 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -76,21 +80,29 @@ def sample(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     buckets = max(256, -(-rows.count() // BUCKET_ROWS))
     bucket = _digits(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size")) % buckets
     keyed = rows.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("s_null"), bucket.alias("bucket"), "doc_id", "source", "size", *extra)
-    source, by_size, key = ["s", "s_null"], ["s", "s_null", "size"], ["s", "s_null", "size", "bucket"]
-    groups = table(keyed.groupBy(*key).agg(F.first("source").alias("source"), F.count("*").alias("n")), "groups")
-    sizes = groups.groupBy(*by_size).agg(F.first("source").alias("source"), F.sum("n").alias("n"))
-    goal = targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most)
-    goal = goal.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("s_null"), "source_size", "target")
-    before = lambda on, order: F.coalesce(F.sum("n").over(Window.partitionBy(*on).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    smaller = sizes.select(*by_size, before(source, "size").alias("smaller")).join(goal, source)
-    base = groups.select(*key, before(by_size, "bucket").alias("earlier")).join(smaller, by_size)
-    within = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", *extra))
-    placed = keyed.withColumn("place", within).join(base, key).withColumn("upto", F.col("smaller") + F.col("earlier") + F.col("place"))
+    source, key = ["s", "s_null"], ["s", "s_null", "bucket"]
+    groups = table(keyed.groupBy(*key).agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("size").alias("words")), "groups")
+    goal = targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = _digits(F.concat_ws(":", F.lit(seed), F.col("s_null").cast("int"), "s")) / F.lit(float(1 << 32))
-    crossed = F.floor(F.col("upto") * ratio + offset) - F.floor((F.col("upto") - 1) * ratio + offset)
-    copies = F.least(crossed, F.lit(most)).cast("bigint")
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *extra)
+    goal = goal.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("s_null"), "source_size", "target", ratio.alias("ratio"))
+    goal = goal.withColumn("first", _digits(F.concat_ws(":", F.lit(seed), F.col("s_null").cast("int"), "s")) / F.lit(float(1 << 32)))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*source).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = groups.select(*key, before.alias("before")).join(goal, source)
+    within = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "size", *extra))
+    placed = table(keyed.withColumn("place", within).join(base, key).withColumn("upto", F.col("before") + F.col("place")), "placed")
+
+    def copies(k: Column | int) -> Column:
+        """With the k-th offset."""
+        offset = (F.col("first") + k / F.lit(float(OFFSETS))) % F.lit(1.0)
+        crossed = F.floor(F.col("upto") * F.col("ratio") + offset) - F.floor((F.col("upto") - 1) * F.col("ratio") + offset)
+        return F.least(crossed, F.lit(most)).cast("bigint")
+
+    totals = placed.groupBy(*source).agg(F.max("target").alias("goal"), *(F.sum(copies(F.lit(k)) * F.col("size")).alias(f"t{k}") for k in range(OFFSETS)))
+    nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{k}") - F.col("goal")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS))))["k"]
+    # a row a source: broadcast where there are few
+    chosen = totals.select(*source, nearest.alias("k"))
+    taken = placed.join(F.broadcast(chosen) if few(chosen) else chosen, source).withColumn("copies", copies(F.col("k")))
+    return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *extra)
 
 
 def repeated(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7) -> DataFrame:

@@ -140,11 +140,13 @@ l AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (
              / (sum(weight) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM k),
 f AS (SELECT min(n) AS n, arg_min(level, n) AS level FROM l WHERE source_size * 3.0::DOUBLE > level * weight),
 t AS (SELECT l.source, l.source_size, CASE WHEN f.n IS NULL OR l.n < f.n THEN l.source_size * 3.0::DOUBLE ELSE least(l.source_size * 3.0::DOUBLE, f.level * l.weight) END AS target FROM l, f),
-p AS (SELECT b.*, t.source_size, t.target, row_number() OVER (PARTITION BY b.source ORDER BY size, bucket, doc_id) AS upto,
+p AS (SELECT b.*, t.source_size, t.target, row_number() OVER (PARTITION BY b.source ORDER BY bucket, doc_id, size) AS upto,
              CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS ratio,
              ('0x' || substr(md5('7:' || (b.source IS NULL)::INT || ':' || coalesce(b.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
       FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source),
-q AS (SELECT *, least(floor(upto * ratio + u) - floor((upto - 1) * ratio + u), 3)::BIGINT AS copies FROM p)
+c AS (SELECT source, k, any_value(target) AS target, sum(size * least(floor(upto * ratio + (u + k / 32.0::DOUBLE) % 1.0::DOUBLE) - floor((upto - 1) * ratio + (u + k / 32.0::DOUBLE) % 1.0::DOUBLE), 3)) AS total FROM p, range(32) o(k) GROUP BY 1, 2),
+o AS (SELECT source, arg_min(k, (abs(total - target), k)) AS k FROM c GROUP BY 1),
+q AS (SELECT p.*, least(floor(upto * ratio + (u + k / 32.0::DOUBLE) % 1.0::DOUBLE) - floor((upto - 1) * ratio + (u + k / 32.0::DOUBLE) % 1.0::DOUBLE), 3)::BIGINT AS copies FROM p JOIN o ON p.source IS NOT DISTINCT FROM o.source)
 SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM q""",
     "op4_temporal_url_list": rf"""
 WITH hs AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+/([^/?#]+)', 1) AS first FROM pages WHERE regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) != ''),
