@@ -6,14 +6,15 @@ by it in a document.  The steps:
 1. ``exchange``: each edge goes, as a hash, to its bucket, where the repeated edges and their first place
    (smallest document id, then smallest start), their source, are found; all their occurrences are told it.
 2. In each document neighbouring repeated edges whose sources are neighbours too form a run (start, edges, source
-   document, source start).  Where one run ends and the next begins at once, the graph has an arc between two
-   sources that are no neighbours.
+   document, source start).  An edge that the document itself has before takes that place as its source, so that words
+   which repeat at once, as in lists of one word, form one run.  Where two sources follow one another in a document but
+   are no neighbours, the graph has an arc between them.
 3. Sources that lie side by side are the graph's other arcs, so that a row a run, not a row an edge, holds it.  In and out
    degrees follow from both kinds; runs of sources are cut into pieces where an arc leaves or enters within, and pieces
    with one arc out and one in between them are compacted to paths by pointer doubling, in Spark joins.
 4. Documents' runs are told the pieces and paths that they lie on; neighbouring parts of one path become one span.
 5. A Spark join on the source coordinates compares the words of each part with those at its source.  Where they differ, by
-   a collision of edge hashes, the part is taken apart: each window is assigned to its true source by its own words.
+   a collision of edge hashes, all windows with such a hash are assigned to their true sources by their own words.
 6. The words that spans cover go.
 
 The exchange moves about 10 bytes a word, whatever the repetition; a passage that a third of all documents
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import wordblocks as W
-from .frames import beside, few, fresh, join_hot, own
+from .frames import FEW, beside, few, fresh, join_hot, own
 from .scratch import drop, prepare, table
 
 #: Parts of spans end at places of the source that this divides; so the number of different parts that documents can ask
@@ -45,8 +46,9 @@ STRETCH = 64
 #: Ids that stand for null ones begin here.
 NO_ID = 1 << 62
 
-_RUNS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("start", pa.list_(pa.int64())), ("edges", pa.list_(pa.int64())), ("source", pa.list_(pa.int64())), ("source_start", pa.list_(pa.int64()))])
-_RUNS_DDL = "id bigint, key bigint, n_words bigint, sha string, start array<bigint>, edges array<bigint>, source array<bigint>, source_start array<bigint>"
+_LISTS = ["start", "edges", "source", "source_start", "from_doc", "from_end", "to_doc", "to_at"]
+_RUNS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), *((c, pa.list_(pa.int64())) for c in _LISTS)])
+_RUNS_DDL = "id bigint, key bigint, n_words bigint, sha string, " + ", ".join(f"{c} array<bigint>" for c in _LISTS)
 
 
 def _edges_of(k: int, bits: int, mask: int):
@@ -127,14 +129,23 @@ def _runs(batches):
         flat = np.flatnonzero(told)
         doc = np.searchsorted(begin, flat, "right") - 1
         start, source, off = flat - begin[doc], source[flat], off[flat]
+        follows = (np.diff(flat) == 1) & (np.diff(doc) == 0)
+        # arcs: from behind one source to another, each once a document
+        jump = np.flatnonzero(follows & ((source[1:] != source[:-1]) | (np.diff(off) != 1)))
+        arcs = np.unique(np.stack([doc[jump], source[jump], off[jump] + 1, source[jump + 1], off[jump + 1]]), axis=1) if len(jump) else np.zeros((5, 0), np.int64)
+        # what the document has before is its source
+        order = np.lexsort((start, off, source, doc))
+        again = np.flatnonzero((np.diff(doc[order]) == 0) & (np.diff(source[order]) == 0) & (np.diff(off[order]) == 0))
+        later, before = order[again + 1], start[order[again]]
+        source[later], off[later] = ids[doc[later]], before
         turn = np.ones(len(flat), bool)
-        turn[1:] = (np.diff(flat) != 1) | (np.diff(doc) != 0) | (source[1:] != source[:-1]) | (np.diff(off) != 1)
+        turn[1:] = ~(follows & (source[1:] == source[:-1]) & (np.diff(off) == 1))
         head = np.flatnonzero(turn)
-        lists = start[head], np.diff(np.append(head, len(flat))), source[head], off[head]
-        bounds = np.searchsorted(doc[head], np.arange(len(ids) + 1)).astype(np.int32)
+        lists = [(doc[head], x) for x in (start[head], np.diff(np.append(head, len(flat))), source[head], off[head])] + [(arcs[0], x) for x in arcs[1:]]
         sha = about["d"].hex()
         columns = [pa.array(ids), pa.array(keys), pa.array(np.diff(first)), pa.array([sha[64 * n : 64 * n + 64] for n in range(len(ids))], pa.string())]
-        for x in lists:
+        for of, x in lists:
+            bounds = np.searchsorted(of, np.arange(len(ids) + 1)).astype(np.int32)
             columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.asarray(x, np.int64))))
         yield pa.RecordBatch.from_arrays(columns, schema=_RUNS)
 
@@ -176,16 +187,19 @@ def _heads(arcs: DataFrame) -> DataFrame:
             return at.where("done").select("piece", F.col("up").alias("head"), "steps")
 
 
-def compacted(each: DataFrame) -> DataFrame:
-    """From all documents' runs (id, key, start, edges, source, source_start): the pieces of sources, each with the
-    nonbranching path it lies on.  Columns doc, at, edges, path (the doc and place of its first piece) and shift (the edges of
-    the path before it)."""
+def _each(found: DataFrame, *names: str) -> DataFrame:
+    """Rows of list columns of ``runs``; rows equal in id and text are one document."""
+    return found.where(F.size(names[0]) > 0).dropDuplicates(["id", "key"]).select("id", "key", F.explode(F.arrays_zip(*names)).alias("r")).select("id", "key", "r.*")
+
+
+def compacted(found: DataFrame, each: DataFrame) -> DataFrame:
+    """From all documents' arcs (``found``) and runs (``each``): the pieces of sources, each with the nonbranching path it
+    lies on.  Columns doc, at, edges, path (the doc and place of its first piece) and shift (the edges of the path before
+    it)."""
     place = lambda doc, at: F.struct(doc.alias("doc"), at.alias("at"))
     sources = each.where("id = source and start = source_start").select(F.col("id").alias("doc"), F.col("start").alias("at"), (F.col("start") + F.col("edges")).alias("stop")).distinct()
-    # arcs between runs that meet in a document
-    after = Window.partitionBy("id", "key").orderBy("start")
-    meets = each.withColumn("next", F.lead(F.struct("start", "source", "source_start")).over(after)).where("next.start = start + edges")
-    jumps = table(meets.select(place(F.col("source"), F.col("source_start") + F.col("edges")).alias("of"), place(F.col("next.source"), F.col("next.source_start")).alias("to")).distinct(), "jumps")
+    arcs = _each(found, "from_doc", "from_end", "to_doc", "to_at")
+    jumps = table(arcs.select(place(F.col("from_doc"), F.col("from_end")).alias("of"), place(F.col("to_doc"), F.col("to_at")).alias("to")).distinct(), "jumps")
     # pieces: runs of sources, cut behind the edge that an arc leaves and before the one that it enters
     cuts = jumps.select("of.*").unionByName(jumps.select("to.*")).withColumn("stop", F.lit(None).cast("bigint"))
     along = Window.partitionBy("doc").orderBy("at")
@@ -207,18 +221,22 @@ def compacted(each: DataFrame) -> DataFrame:
 def spans(found: DataFrame) -> DataFrame:
     """The parts of documents' paths that have an earlier source: id, key, start, edges, source, source_start, and the path,
     shift in it and number (``span``) of the maximal repeated span that a part belongs to."""
-    lists = F.explode(F.arrays_zip("start", "edges", "source", "source_start")).alias("r")
-    each = table(found.where(F.size("start") > 0).dropDuplicates(["id", "key"]).select("id", "key", lists).select("id", "key", "r.*"), "each")
-    pieces = table(compacted(each), "paths")
-    # distinct before the join: a passage that very many documents share is one row
-    asked, on = each.where("id != source or start != source_start"), ["source", "source_start", "edges"]
+    each = table(_each(found, "start", "edges", "source", "source_start"), "each")
+    pieces = table(compacted(found, each), "paths")
     stretch = lambda at, size: F.explode(F.sequence(F.floor(at / STRETCH), F.floor((at + size - 1) / STRETCH))).alias("stretch")
+    first, last = F.col("stretch") * STRETCH, (F.col("stretch") + 1) * STRETCH
+    # distinct before the join: a passage that very many documents share is one row
+    asked, on = each.where("id != source"), ["source", "source_start", "edges"]
     p = pieces.select(F.col("doc").alias("source"), "at", F.col("edges").alias("size"), "path", "shift", stretch(F.col("at"), F.col("edges")))
     told = asked.groupBy(*on).agg(F.count("*").alias("times")).select("*", stretch(F.col("source_start"), F.col("edges"))).join(p, ["source", "stretch"])
-    lo = F.greatest("source_start", "at", F.col("stretch") * STRETCH)
-    hi = F.least(F.col("source_start") + F.col("edges"), F.col("at") + F.col("size"), (F.col("stretch") + 1) * STRETCH)
+    lo, hi = F.greatest("source_start", "at", first), F.least(F.col("source_start") + F.col("edges"), F.col("at") + F.col("size"), last)
     parts = told.where(lo < hi).select(*on, "times", (lo - F.col("source_start")).alias("skip"), (hi - lo).alias("part"), "path", (F.col("shift") + lo - F.col("at")).alias("shift"))
     told = join_hot(asked, parts, on, "times", each.count())
+    # what a document has from itself lies on a path of its own
+    lo, hi = F.greatest("source_start", first), F.least(F.col("source_start") + F.col("edges"), last)
+    same = each.where("id = source and start != source_start").select("*", stretch(F.col("source_start"), F.col("edges")))
+    same = same.select("id", "key", "start", "edges", "source", "source_start", (lo - F.col("source_start")).alias("skip"), (hi - lo).alias("part"), F.struct(F.col("source").alias("doc"), F.col("source_start").alias("at")).alias("path"), (lo - F.col("source_start")).alias("shift"))
+    told = told.select(*same.columns).unionByName(same)
     own_parts = told.select("id", "key", (F.col("start") + F.col("skip")).alias("start"), F.col("part").alias("edges"), "source", (F.col("source_start") + F.col("skip")).alias("source_start"), "path", "shift")
     # parts that follow one another in the document and on their path are one span
     along = Window.partitionBy("id", "key").orderBy("start")
@@ -310,21 +328,60 @@ def _false(done: DataFrame) -> DataFrame:
     return done.where(f"kind = {CLAIM}").join(false, on).select("id", "key", "start").distinct()
 
 
-def _reassigned(texts: DataFrame, parts: DataFrame, wrong: DataFrame, k: int) -> DataFrame:
-    """``parts``, those in ``wrong`` taken apart: windows equal to their source stay, and the others, with the first of those
-    of equal words as their source, form new parts of one edge each."""
-    right = parts.join(wrong, ["id", "key", "start"], "left_anti").select("id", "key", "start", "edges", "source", "source_start")
-    i = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("edges") - 1)).alias("i")
-    apart = parts.join(wrong, ["id", "key", "start"]).select("*", i)
-    single = table(apart.select("id", "key", (F.col("start") + F.col("i")).alias("start"), F.lit(1).cast("bigint").alias("edges"), "source", (F.col("source_start") + F.col("i")).alias("source_start")), "single")
-    told = table(_cut_texts(texts, single, k), "windows")
-    off = _false(told)
-    true = single.join(off, ["id", "key", "start"], "left_anti")
-    # an edge that collides is told the source of another; all windows of its words are among these, its own source too
-    claims = told.where(f"kind = {CLAIM}").join(off, ["id", "key", "start"]).select("id", "key", "start", "words").distinct()
-    first = claims.groupBy("words").agg(F.min(F.struct("id", "start")).alias("first")).select("words", F.col("first.id").alias("source"), F.col("first.start").alias("source_start"))
-    new = claims.join(first, "words").where("id != source or start != source_start").select("id", "key", "start", F.lit(1).cast("bigint").alias("edges"), "source", "source_start")
-    return right.unionByName(true).unionByName(new)
+def _hashes(k: int, mask: int):
+    """The hashes of the windows of documents' parts."""
+
+    def run(batches):
+        for batch in batches:
+            data, where = W.utf8(batch.column("text"))
+            for lo, hi, part, at in W.blocks(data, where):
+                starts, ends, first = W.words(part, at)
+                grams, begin = W.gram_hashes(W.span_hashes(part, starts, ends), first, k)
+                mine = _listed(batch.slice(lo, hi - lo), "start", "edges")
+                own = grams[W.gathered(begin[mine["owner"]] + mine["start"], mine["edges"])] & np.uint64(mask)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(own).view(np.int64))], names=["hash"])
+
+    return run
+
+
+def _windows(k: int, mask: int, wanted: np.ndarray):
+    """All windows whose hash is ``wanted`` (rising), with a digest of their words."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("words", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            data, where = W.utf8(batch.column("text"))
+            for lo, hi, part, at in W.blocks(data, where):
+                rows = batch.slice(lo, hi - lo)
+                starts, ends, first = W.words(part, at)
+                grams, begin = W.gram_hashes(W.span_hashes(part, starts, ends), first, k)
+                hit = np.flatnonzero(np.isin(grams & np.uint64(mask), wanted))
+                doc = np.searchsorted(begin, hit, "right") - 1
+                start = hit - begin[doc]
+                words = _digests(part, starts, ends, first[doc] + start, np.full(len(hit), k))
+                yield pa.RecordBatch.from_arrays([rows.column("id").take(pa.array(doc)), rows.column("key").take(pa.array(doc)), pa.array(start), pa.array(words, pa.binary())], schema=schema)
+
+    return run
+
+
+def _reassigned(texts: DataFrame, parts: DataFrame, wrong: DataFrame, k: int, hash_bits: int) -> DataFrame:
+    """``parts`` without those in ``wrong``; in their place parts of one edge each, for every window that has the hash of a
+    window of theirs, with the first one of the same words as its source.  The texts are read once more for each ``FEW``
+    such hashes."""
+    mask, names = (1 << 64) - (1 << 64 - hash_bits), ["id", "key", "start", "edges", "source", "source_start"]
+    out = parts.join(wrong, ["id", "key", "start"], "left_anti").select(*names)
+    lists = parts.join(wrong, ["id", "key", "start"]).groupBy("id", "key").agg(F.collect_list("start").alias("start"), F.collect_list("edges").alias("edges"))
+    found = texts.join(lists, ["id", "key"]).select("text", "start", "edges").mapInArrow(_hashes(k, mask), "hash bigint")
+    hashes = table(found.distinct(), "hashes")
+    shares = -(-hashes.count() // FEW)
+    for n in range(shares):
+        share = hashes.where(F.pmod("hash", F.lit(shares)) == n).toArrow().column("hash").to_numpy()
+        wanted = np.sort(share.view(np.uint64))
+        seen = table(texts.mapInArrow(_windows(k, mask, wanted), "id bigint, key bigint, start bigint, words binary"), "windows")
+        first = seen.groupBy("words").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("times")).select("words", F.col("first.id").alias("source"), F.col("first.start").alias("source_start"), "times")
+        again = join_hot(seen, table(first, "first"), ["words"], "times", seen.count()).where("id != source or start != source_start")
+        out = out.unionByName(again.select("id", "key", "start", F.lit(1).cast("bigint").alias("edges"), "source", "source_start").distinct())
+    return out
 
 
 def remove_repeats(documents: DataFrame, k: int = 20, hash_bits: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -340,7 +397,7 @@ def remove_repeats(documents: DataFrame, k: int = 20, hash_bits: int = 64) -> tu
     done = table(_cut_texts(texts, parts, k), "cut")
     wrong = table(_false(done), "wrong")
     if not wrong.isEmpty():
-        parts = table(_reassigned(texts, parts, wrong, k), "parts")
+        parts = table(_reassigned(texts, parts, wrong, k, hash_bits), "parts")
         done = table(_cut_texts(texts, parts, k), "cut")
     return found, done.where(f"kind = {KEPT}").select("id", "key", "n_words", "n_removed", "kept")
 

@@ -42,6 +42,7 @@ CASES = {
     "copies": [(5, words(0, 50)), (2, words(0, 50)), (9, words(0, 50)), (7, words(100, 119))],
     "branches": [(1, words(0, 60)), (2, words(30, 90)), (3, words(10, 40) + "\n" + words(70, 95) + " x"), (4, words(20, 39))],
     "within itself": [(1, words(0, 25) * 1 + " " + words(0, 25)), (2, "a " * 90), (3, "a " * 21)],
+    "words that repeat at once": [(n, " ".join([words(n, n + 3)] + [f"again{k % 5}"] * (20 + 3 * k) + [words(50, 50 + k)] * 3)) for n, k in enumerate(range(9))] + [(20, "x y " * 60), (21, "y " + "x y " * 30)],
     "repeated rows": [(1, words(0, 30)), (1, words(0, 30)), (0, words(5, 28))],
     "colliding words": [(n, f"{w} " + words(100 * n, 100 * n + 19)) for n, w in enumerate(THUE_MORSE)] + [(n, f"{w} " + words(0, 19)) for n, w in enumerate(THUE_MORSE, 2)],
     "long": [(1, words(0, 30000)), (2, words(29000, 31000)), (3, "\x85 " + words(5, 40))],
@@ -77,6 +78,11 @@ def mosaic(k):
     return rows
 
 
+def test_words_that_repeat_at_once_are_one_run(spark):
+    df = spark.createDataFrame([(1, "x " * 500), (2, "y " + "x " * 300), (3, "a b c " * 100)], "doc_id bigint, text string")
+    assert {r.id: len(r.start) for r in runs(df).collect()} == {1: 2, 2: 2, 3: 2}
+
+
 @pytest.mark.parametrize("hash_bits", [64, 8])
 def test_mosaic(spark, hash_bits):
     """With 8 bits most edges collide, and are assigned to their true sources by their words."""
@@ -90,8 +96,9 @@ def test_paths_are_the_graphs_nonbranching_ones(spark):
     k, rows = 5, mosaic(5)
     found = runs(spark.createDataFrame(rows, "doc_id bigint, text string"), k)
     each = found.where("size(start) > 0").select("id", "key", F.explode(F.arrays_zip("start", "edges", "source", "source_start")).alias("r")).select("id", "key", "r.*")
+    assert each.where("id = source and start != source_start").count() > 5
     docs, got = {d: t.split() for d, t in rows}, {}
-    for r in compacted(each).collect():
+    for r in compacted(found, each).collect():
         for n in range(r.edges):
             got.setdefault((r.path.doc, r.path.at), {})[r["shift"] + n] = tuple(docs[r.doc][r.at + n : r.at + n + k])
     held = {}
