@@ -70,7 +70,7 @@ def _edges_of(k: int, bits: int, mask: int):
                 sha = b"".join(hashlib.sha256(t).digest() for t in W.rejoined(part, starts, ends, first, np.ones(len(starts), bool)))
                 lead, times, again, of = X.merged(grams)
                 about = b"".join(len(x).to_bytes(4, "little") + x for x in (X.pack(ids[lo:hi], True), X.pack(keys[lo:hi]), X.pack(begin, True), X.pack(first, True)))
-                rows = [{"bucket": (1 << bits) + block % (1 << bits), "block": block, "a": about, "b": X.pack(again, True), "c": X.pack(again - of), "d": sha, "e": None}]
+                rows = [{"bucket": X.about_bucket(block, bits), "block": block, "a": about, "b": X.pack(again, True), "c": X.pack(again - of), "d": sha, "e": None}]
                 doc = np.searchsorted(begin, lead, "right") - 1
                 place, doc_id = lead - begin[doc], ids[lo:hi][doc]
                 for n, some in X.by_bucket(grams[lead], bits):

@@ -96,6 +96,11 @@ def block_number(count: int) -> int:
     return (TaskContext.get().partitionId() << 32) + count
 
 
+def about_bucket(block: int, bits: int) -> int:
+    """A number beyond the buckets for the row about a block; such rows are spread over all partitions."""
+    return (1 << bits) + ((block >> 32) * 40503 + (block & 0xFFFFFFFF)) % (1 << bits)
+
+
 def to_buckets(moved: DataFrame, bits: int) -> DataFrame:
     """One partition a bucket, its rows in order; rows about blocks (buckets from 2**bits on) are spread over them."""
     return moved.repartitionById(1 << bits, F.expr(f"cast(bucket % {1 << bits} as int)")).sortWithinPartitions("bucket")

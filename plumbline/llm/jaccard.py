@@ -87,7 +87,7 @@ def _sets_of(k: int, bits: int):
                 nodes = b"".join(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(begin[:-1], begin[1:], strict=True))
                 first, times, again, lead = X.merged(flat)
                 about = X.pack(np.where(valid[lo:hi], ids[lo:hi], -1)), X.pack(begin, True), nodes + valid[lo:hi].tobytes() + X.pack(keys[lo:hi])
-                rows = [{"bucket": (1 << bits) + block % (1 << bits), "block": block, "a": about[0], "b": about[1], "c": about[2], "d": X.pack(again, True), "e": X.pack(again - lead)}]
+                rows = [{"bucket": X.about_bucket(block, bits), "block": block, "a": about[0], "b": about[1], "c": about[2], "d": X.pack(again, True), "e": X.pack(again - lead)}]
                 for n, some in X.by_bucket(flat[first], bits):
                     rows.append({"bucket": n, "block": block, "a": X.pack(first[some], True), "b": X.pack_hashes(flat[first[some]]), "c": X.pack(times[some] - 1), "d": None, "e": None})
                 yield X.rows_of(X.MOVED, rows)
