@@ -253,7 +253,7 @@ KEPT, CLAIM, TRUTH = 0, 1, 2
 
 def _digests(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: np.ndarray, size: np.ndarray) -> list[bytes]:
     """Digests of runs of words, each word with a space after it."""
-    at, width = W.gathered(begin, size), None
+    at = W.gathered(begin, size)
     width = (ends - starts)[at] + 1
     source = W.gathered(starts[at], width)
     source[np.cumsum(width) - 1] = 0

@@ -21,15 +21,13 @@ def tables(spark, tmp_path_factory):
 
 OPERATORS = {
     "packing": lambda d, _: packing.pack(d, public_tokenizers.path("byte_bpe_50k.json")),
-    "jaccard": lambda d, _: jaccard.near_duplicates(d),
     "mixing": lambda d, _: mixing.mix(d),
     "linefreq": lambda d, _: linefreq.judge(d),
-    "debruijn": lambda d, _: debruijn.without_repeats(d),
     "langid": lambda d, _: langid.identify(d, public_tokenizers.path("piece_bpe_32k.model"), most=5),
     "toxicity": lambda d, l: toxicity.score(d, l),
     "fingerprints": lambda d, _: fingerprints.compare_neighbours(d),
 }
-#: Operators that return the columns of their input.
+#: Operators that return the columns of their input; near duplicates and repeated spans come from the same code as their digests.
 ROWS = {
     "deduplicated": lambda d, _: jaccard.deduplicated(d),
     "spans removed": lambda d, _: debruijn.cleaned(d),

@@ -49,9 +49,12 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("name", CASES)
-def test_matches_brute_force(spark, name):
-    rows = CASES[name]
+#: One table of all, as each has ids of its own.
+TOGETHER = [(1000 * n + i, t) for n, rows in enumerate(CASES.values()) for i, t in rows]
+
+
+@pytest.mark.parametrize("rows", [[], CASES["null and empty"], TOGETHER], ids=["empty table", "no words", "all cases"])
+def test_matches_brute_force(spark, rows):
     df = spark.createDataFrame([(d, t, "en", "clash", "clash", "clash") for d, t in rows], SCHEMA)
     got = sorted(tuple(r) for r in without_repeats(df).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
     assert got == expected(rows)
