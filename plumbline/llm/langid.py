@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import wordblocks as W
 from .bpe import LETTER, character_kinds
+from .frames import few
 from .scratch import prepare
 
 FIT_LONGEST = 32
@@ -258,11 +259,11 @@ def _predict(path: str, model: LanguageModel):
 
 def train(documents: DataFrame, vocabulary: str, most: int = 300) -> LanguageModel:
     """From the (doc_id, text, lang) of ``documents``, ``most`` of each language."""
-    # the least hashes of each language, first in shares of its documents, so that no task sorts all of a frequent one
+    # the least hashes of each language: of a frequent one only those below a bound, which some twice as many are, are sorted
     known = documents.where("lang is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("rank")).distinct()
-    shares = Window.partitionBy("lang", F.pmod(F.xxhash64("rank"), F.lit(256))).orderBy("rank", "doc_id")
-    some = known.withColumn("n", F.row_number().over(shares)).where(F.col("n") <= most).drop("n")
-    sample = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "doc_id"))).where(F.col("n") <= most).select("doc_id", "lang")
+    counts = known.groupBy("lang").agg(F.count("*").alias("count"))
+    low = known.join(F.broadcast(counts) if few(counts, 10_000) else counts, "lang").where((F.col("rank") / F.lit(2.0**64) + 0.5) * F.col("count") <= 2 * most + 200)
+    sample = low.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "doc_id"))).where(F.col("n") <= most).select("doc_id", "lang")
     rows = documents.join(F.broadcast(sample), ["doc_id", "lang"]).select("text", "lang")
     got = rows.mapInArrow(_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     counts: dict[str, dict[str, int]] = {}
