@@ -16,7 +16,8 @@ def analyze(spark: SparkSession, path: str, score: str, baseline: str, study: st
 
     if rounds < 100:
         raise ValueError("fewer than 100 bootstrap rounds")
-    raw = numbered_lines(spark, path).select("line_no", F.parse_json("value").alias("v"))
+    # filters on what is parsed may run before the one on blank lines
+    raw = numbered_lines(spark, path).select("line_no", F.parse_json(F.when(F.trim("value") != "", F.col("value"))).alias("v"))
     part = lambda c: F.try_variant_get("v", f"$.{c}", "variant").alias(c)
     text = lambda c: F.try_variant_get("v", f"$.{c}", "string").alias(c)
     rows = normalize_records(raw.select("line_no", *[part(c) for c in ("score", "scores", "metadata", "metrics", "output", "input")], *[text(c) for c in ("condition", "task_key", "dataset_record_id", "dataset_row_id")]), score)
