@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from .debruijn import without_repeats
 from .fingerprints import compare_neighbours
+from .importance import resample
 from .jaccard import near_duplicates
 from .langid import identify
 from .linefreq import judge
 from .mixing import mix
 from .ordinal import rate
 from .packing import pack
+from .simhash import near_duplicates as simhash_duplicates
 from .toxicity import score
 from .urlfilter import judge_urls
 
@@ -99,6 +101,14 @@ def op10_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_neighbours(_read(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_min_bin_slack": op1_min_bin_slack,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -110,11 +120,23 @@ QUERIES = {
     "op8_marginal_unigram_langid": op8_marginal_unigram_langid,
     "op9_cnn_toxicity": op9_cnn_toxicity,
     "op10_prefix_fingerprints": op10_prefix_fingerprints,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_golay_simhash": op13_golay_simhash,
 }
 
 #: Words as the contracts define them.
 _W = r"'[^\x20\x09-\x0D]+'"
 
+
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL for the crc32 of the UTF-8 bytes of ``text``, bit by bit."""
+    code = f"('0x' || substr(hex(encode({text})), (2 * i - 1)::INT, 2))::BIGINT"
+    codes = f"list_transform(range(1, (length(hex(encode({text}))) // 2)::BIGINT + 1), lambda i: {code})"
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {byte}), 4294967295)"
+
+
 _EVENTS = ", ".join(f"('{k}', '{e}', '{a}', DATE '{d}', {n})" for k, e, a, d, n in URL_LIST)
 
 SQL = {
@@ -190,4 +212,19 @@ t AS (SELECT k.doc_id, count(gone.j) AS n_removed, coalesce(string_agg(k.word, '
       FROM k LEFT JOIN gone USING (doc_id, j) GROUP BY k.doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(t.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
 FROM d LEFT JOIN t USING (doc_id)""",
+    "op12_importance_resampling": rf"""
+WITH wd AS (SELECT 0 AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+    UNION ALL SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (SELECT side, w, count(*) AS n FROM (SELECT side, unnest(w) AS w FROM wd) GROUP BY ALL),
+v AS (SELECT w, {_crc32("w")} % 10000 AS bucket FROM (SELECT DISTINCT w FROM f)),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0)::DOUBLE AS t FROM f JOIN v USING (w) GROUP BY bucket),
+a AS (SELECT coalesce(sum(n) FILTER (WHERE side = 0), 0)::DOUBLE AS s_all, coalesce(sum(n) FILTER (WHERE side = 1), 0)::DOUBLE AS t_all FROM f),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM c, a),
+k AS (SELECT w, gain FROM v JOIN g USING (bucket)),
+x AS (SELECT doc_id, sum(gain)::BIGINT AS total FROM (SELECT doc_id, unnest(w) AS w FROM wd WHERE side = 0) JOIN k USING (w) GROUP BY doc_id),
+d AS (SELECT wd.doc_id, len(w)::BIGINT AS n_features, CASE WHEN len(w) = 0 THEN 0 ELSE floor(coalesce(total, 0)::DOUBLE / len(w)) END::BIGINT AS weight,
+             ('0x' || substr(sha256('2024:' || wd.doc_id), 1, 8))::BIGINT AS h FROM wd LEFT JOIN x USING (doc_id) WHERE side = 0),
+s AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM d),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM s WHERE n_features >= 20)
+SELECT s.*, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM s LEFT JOIN r USING (doc_id)""",
 }
