@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from .conversations import audited, damaged, with_all
 from .debruijn import without_repeats
 from .fingerprints import compare_neighbours
 from .importance import resample
@@ -101,6 +102,11 @@ def op10_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_neighbours(_read(spark, sf_dir, "documents"))
 
 
+def op11_signature_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    return with_all(rows, audited(damaged(rows)))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
@@ -120,6 +126,7 @@ QUERIES = {
     "op8_marginal_unigram_langid": op8_marginal_unigram_langid,
     "op9_cnn_toxicity": op9_cnn_toxicity,
     "op10_prefix_fingerprints": op10_prefix_fingerprints,
+    "op11_signature_repair": op11_signature_repair,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_golay_simhash": op13_golay_simhash,
 }
@@ -137,6 +144,24 @@ def _crc32(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {byte}), 4294967295)"
 
 
+def _repair_step() -> dict[str, str]:
+    """DuckDB SQL for the best of each state of the pattern before a row (g: without an insert before it, f: with one), from those
+    behind it (f0 to f3).  A value is the cost, the audit, chr(1) and the lines, so that the least string is the best."""
+    put = lambda cost, edit, line, rest: f"lpad((substr({rest}, 1, 8)::INT + {cost})::VARCHAR, 8, '0') || '{edit}' || regexp_extract(substr({rest}, 9), '^[DIKR]*') || chr(1) || {line} || substr({rest}, strpos({rest}, chr(1)) + 1)"
+    to, made = (2, 2, 3, 2), ("user", "user", "assistant", "user")
+    kept = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
+    out = {}
+    for n in range(4):
+        keep = " ".join(f"WHEN initial = '{i}' THEN {put('late', 'K', 'role || chr(58) || text || chr(10)', f'f{k}')}" for i, k in kept[n].items())
+        change = put("2 + late", "R", f"'{made[n]}:' || text || chr(10)", f"f{to[n]}")
+        out[f"g{n}"] = f"least({put(3, 'D', "''", f'f{n}')}, CASE WHEN NOT gone THEN CASE {keep} END END, CASE WHEN NOT gone THEN {change} END)"
+    out["h2"], out["h3"] = (f"least(g{n}, {put(2, 'I', f"'{made[n]}:' || chr(10)", f'g{5 - n}')})" for n in (2, 3))
+    out["h0"], out["h1"] = (f"least(g{n}, {put(2, 'I', "'user:' || chr(10)", 'h2')})" for n in (0, 1))
+    return out
+
+
+_REPAIR = _repair_step()
+
 _EVENTS = ", ".join(f"('{k}', '{e}', '{a}', DATE '{d}', {n})" for k, e, a, d, n in URL_LIST)
 
 SQL = {
@@ -212,6 +237,29 @@ t AS (SELECT k.doc_id, count(gone.j) AS n_removed, coalesce(string_agg(k.word, '
       FROM k LEFT JOIN gone USING (doc_id, j) GROUP BY k.doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(t.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
 FROM d LEFT JOIN t USING (doc_id)""",
+    "op11_signature_repair": rf"""
+WITH RECURSIVE dm AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+x AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+      unnest(range(CASE WHEN kind = 3 THEN 2 WHEN kind = 0 THEN 0 ELSE 1 END)) AS copy FROM dm),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS seen FROM x),
+e AS (SELECT *, substr(role, 1, 1) AS initial, seen = '' AS blank, seen != '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate FROM o),
+b AS (SELECT *, NOT blank AND NOT duplicate AND right(seen, 1) NOT IN ('.', '!', '?') AS truncated, blank OR duplicate AS gone,
+      lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM e),
+c AS (SELECT *, truncated::INT AS late FROM b),
+st AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+       count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM c GROUP BY conv_id),
+r AS (SELECT conv_id, n + 1 AS i, '00000000' || chr(1) AS f0, '00000004II' || chr(1) || 'user:' || chr(10) || 'assistant:' || chr(10) AS f1, '00000002I' || chr(1) || 'assistant:' || chr(10) AS f2, '00000000' || chr(1) AS f3 FROM st
+  UNION ALL
+  SELECT conv_id, i, {_REPAIR["h0"]}, {_REPAIR["h1"]}, h2, h3 FROM (
+  SELECT *, {_REPAIR["h2"]} AS h2, {_REPAIR["h3"]} AS h3 FROM (
+  SELECT r.conv_id, c.i, {", ".join(f"{_REPAIR[g]} AS {g}" for g in ("g0", "g1", "g2", "g3"))}
+  FROM r JOIN c ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND c.i = r.i - 1))),
+z AS (SELECT conv_id, f0 FROM r WHERE i = 1),
+k AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(substr(f0, 1, 8)::BIGINT, 0) AS cost, coalesce(regexp_extract(substr(f0, 9), '^[DIKR]*'), '') AS audit,
+       sha256(coalesce(substr(f0, strpos(f0, chr(1)) + 1, length(f0) - strpos(f0, chr(1)) - 1), '')) AS repaired_sha256
+FROM k LEFT JOIN st ON k.conv_id IS NOT DISTINCT FROM st.conv_id LEFT JOIN z ON k.conv_id IS NOT DISTINCT FROM z.conv_id""",
     "op12_importance_resampling": rf"""
 WITH wd AS (SELECT 0 AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
     UNION ALL SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
