@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.udfs import plain_text
 from ..operators import facts, models, paired, records
-from ..sources import readers, writers
+from ..sources import files, readers, versions, writers
 from ..sources.workdir import bytes_file, named_file, workdir
 from . import reports
 from .bindings import FLOATS, LAB, ORDERS, ROWS, TRIALS, bound, event_rows, judged, latencies, order_rows, read, trials
@@ -195,21 +195,26 @@ def q_audited(spark, d):
     return spark.read.parquet(path)
 
 
-@bound("sink_sorted_jsonl", """SELECT '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}' AS line FROM customer""")
+_LINE = "'{\"c_custkey\":' || c_custkey || ',\"c_mktsegment\":' || coalesce('\"' || CASE WHEN c_acctbal > 0 THEN c_mktsegment END || '\"', 'null') || ',\"c_name\":\"' || c_name || '\",\"c_nationkey\":' || coalesce(CASE WHEN c_acctbal > -500 THEN c_nationkey END::VARCHAR, 'null') || '}'"
+
+
+@bound("sink_sorted_jsonl", f"SELECT {_LINE} AS line FROM customer")
 def q_sorted(spark, d):
-    """Two exports as one, keys in alphabetical order."""
-    path, c = workdir(spark), read(spark, d, "customer").select("c_nationkey", "c_name", "c_mktsegment", "c_custkey")
-    writers.sorted_jsonl(c.where("c_nationkey < 9").unionByName(c.where("c_nationkey >= 9")), path, "c_name")
+    """Two exports as one, keys in alphabetical order, nulls as such."""
+    path, c = workdir(spark), read(spark, d, "customer")
+    rows = c.select(F.when(col("c_acctbal") > -500, col("c_nationkey")).alias("c_nationkey"), "c_name", F.when(col("c_acctbal") > 0, col("c_mktsegment")).alias("c_mktsegment"), "c_custkey")
+    writers.sorted_jsonl(rows.where("c_custkey % 2 = 0").unionByName(rows.where("c_custkey % 2 = 1")), path, "c_name")
     return spark.read.text(path).select(col("value").alias("line"))
 
 
-@bound("sink_replaced_table", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'")
+@bound("sink_replaced_table", "SELECT 'now' AS state, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'before', o_orderkey, o_totalprice FROM orders")
 def q_replaced(spark, d):
-    """The second version alone is left."""
-    path, o = workdir(spark), read(spark, d, "orders")
-    writers.replace_table(o.select("o_orderkey", "o_totalprice"), path)
-    writers.replace_table(o.where("o_orderstatus = 'O'").select("o_orderkey", "o_totalprice"), path)
-    return spark.read.parquet(path)
+    """The second version alone is the table; the first stays readable as the one before."""
+    path, o = workdir(spark), read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    first = versions.replace(o.drop("o_orderstatus"), path)
+    versions.replace(o.where("o_orderstatus = 'O'").drop("o_orderstatus"), path)
+    state = lambda name, rows: rows.select(F.lit(name).alias("state"), "o_orderkey", "o_totalprice")
+    return state("now", versions.read(spark, path)).unionByName(state("before", versions.read(spark, path, first)))
 
 
 @bound("sink_csv_tables", "SELECT 'nation' AS name, n_nationkey AS k, n_name AS v FROM nation UNION ALL SELECT 'region', r_regionkey, r_name FROM region")
@@ -234,24 +239,34 @@ def q_markdown(spark, d):
 
 @bound("sink_manifest", """SELECT sha256('{"counts":{"nation":' || (SELECT count(*) FROM nation) || ',"region":' || (SELECT count(*) FROM region) || '},"inputs":{"nation":"x"},"settings":{"split":"dev"}}') AS sha256""")
 def q_manifest(spark, d):
-    """What the manifest says of itself.  Small files of the driver."""
-    import tempfile
-    from pathlib import Path
-
-    counts = {n: read(spark, d, n).count() for n in ("nation", "region")}
-    with tempfile.TemporaryDirectory() as folder:
-        writers.manifest(f"{folder}/m.json", {"nation": "x"}, counts, {"split": "dev"})
-        said = json.loads(Path(f"{folder}/m.json").read_text())
+    """What the manifest says of itself."""
+    counts, path = {n: read(spark, d, n).count() for n in ("nation", "region")}, f"{workdir(spark)}/m.json"
+    writers.manifest(spark, path, {"nation": "x"}, counts, {"split": "dev"})
+    said = json.loads(files.read_text(spark, path))
     return spark.createDataFrame([(said["sha256"],)], "sha256 string")
 
 
-@bound("sink_upsert", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN -o_totalprice ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders")
+_UPSERTED = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT -o_orderkey, o_totalprice, 'new' FROM orders WHERE o_orderkey % 5 = 0"
+
+
+@bound("sink_upsert", f"SELECT * FROM ({_UPSERTED})")
 def q_upsert(spark, d):
-    """Only the partitions that the second write touches change."""
+    """By id. A third of the rows changes, of every bucket; others are added, and all else stays."""
     path, o = workdir(spark), read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    writers.upsert(o, path, ["o_orderstatus"])
-    writers.upsert(o.where("o_orderstatus = 'P'").withColumn("o_totalprice", -col("o_totalprice")), path, ["o_orderstatus"])
-    return spark.read.schema(o.schema).parquet(path)
+    versions.upsert(o, path, ["o_orderkey"])
+    changed = o.where("o_orderkey % 3 = 0").select("o_orderkey", (-col("o_totalprice")).alias("o_totalprice"), F.lit(None).cast("string").alias("o_orderstatus"))
+    versions.upsert(changed.unionByName(o.where("o_orderkey % 5 = 0").select((-col("o_orderkey")).alias("o_orderkey"), "o_totalprice", F.lit("new").alias("o_orderstatus"))), path, ["o_orderkey"])
+    return versions.read(spark, path)
+
+
+@bound("sink_deleted", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def q_deleted(spark, d):
+    """Rows of listed ids go; looked up by id, none of them is found."""
+    path, o = workdir(spark), read(spark, d, "orders")
+    versions.replace(o.select("o_orderkey", "o_totalprice", "o_orderstatus"), path, ["o_orderkey"])
+    gone = o.join(read(spark, d, "customer").where("c_acctbal < 0"), col("o_custkey") == col("c_custkey"), "left_semi").select("o_orderkey")
+    versions.delete(gone, path)
+    return versions.read(spark, path).unionByName(versions.lookup(gone, path))
 
 
 @bound("file_hashes", "SELECT sha256(string_agg('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' || chr(10), '' ORDER BY r_regionkey)) AS sha256 FROM region")

@@ -1,15 +1,16 @@
-"""Sinks: Parquet behind an audit, JSON lines, CSV tables, manifests, reports."""
+"""Sinks: Parquet behind an audit, JSON lines, CSV tables, manifests, reports.  Tables that change are in ``versions``."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import write_text
+
 
 def audited_parquet(rows: DataFrame, problems: DataFrame, path: str, files: int | None = None) -> None:
     """Write zstd Parquet, unless the audit found anything (K1)."""
@@ -20,28 +21,9 @@ def audited_parquet(rows: DataFrame, problems: DataFrame, path: str, files: int
 
 
 def sorted_jsonl(rows: DataFrame, path: str, *order: str) -> None:
-    """JSON lines with keys in alphabetical order, rows by ``order`` (K2, K4, K5, K6)."""
+    """JSON lines with keys in alphabetical order, nulls written as such, rows by ``order`` (K2, K4, K5, K6)."""
     out = rows.orderBy(*order) if order else rows
-    out.select(*sorted(rows.columns)).write.mode("overwrite").json(path)
-
-
-def replace_table(rows: DataFrame, path: str) -> None:
-    """Write beside the old table and swap, so that readers never see a part."""
-    jvm = rows.sparkSession._jvm
-    conf = rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    new, old, final = (jvm.org.apache.hadoop.fs.Path(path + s) for s in (".new", ".old", ""))
-    fs = final.getFileSystem(conf)
-    rows.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(old, True)
-    if fs.exists(final):
-        fs.rename(final, old)
-    fs.rename(new, final)
-    fs.delete(old, True)
-
-
-def upsert(rows: DataFrame, path: str, partition: list[str]) -> None:
-    """Overwrite the partitions that ``rows`` touch."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+    out.select(*sorted(rows.columns)).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def csv_tables(tables: dict[str, DataFrame], folder: str) -> None:
@@ -55,11 +37,11 @@ def file_sha256(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def manifest(path: str, inputs: dict[str, str], counts: dict[str, int], settings: dict) -> str:
-    """A manifest's JSON, with a hash over itself."""
+def manifest(spark: SparkSession, path: str, inputs: dict[str, str], counts: dict[str, int], settings: dict) -> str:
+    """A manifest's JSON, with a hash over itself, in whatever file system the path names."""
     body = {"inputs": inputs, "counts": counts, "settings": settings}
     raw = json.dumps(body, sort_keys=True, separators=(",", ":"))
-    Path(path).write_text(json.dumps(body | {"sha256": hashlib.sha256(raw.encode()).hexdigest()}, sort_keys=True, indent=1))
+    write_text(spark, path, json.dumps(body | {"sha256": hashlib.sha256(raw.encode()).hexdigest()}, sort_keys=True, indent=1))
     return raw
 
 

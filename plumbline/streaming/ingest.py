@@ -1,7 +1,7 @@
 """Resumable ingest of export records as a stream: ours, beyond parity with the batch tools.
 
 Records arrive as JSON lines in a folder; a root that comes again within the watermark is dropped, and each batch
-replaces the partitions of the conditions it touches, keyed by (condition, root_span_id).
+is merged by (condition, root_span_id) into a table in versions.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.paired import keep_last
+from ..sources import versions
+
+KEY = ["condition", "root_span_id"]
 
 
 def records_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -18,7 +21,7 @@ def records_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def deduplicated(records: DataFrame, time: str, delay: str = "1 hour") -> DataFrame:
-    return records.withWatermark(time, delay).dropDuplicatesWithinWatermark(["condition", "root_span_id"])
+    return records.withWatermark(time, delay).dropDuplicatesWithinWatermark(KEY)
 
 
 def windowed_scores(records: DataFrame, time: str, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -28,23 +31,10 @@ def windowed_scores(records: DataFrame, time: str, width: str = "1 hour", delay:
 
 
 def upsert_stream(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Into a table partitioned by condition; a batch merges with what its partitions hold, so a replay changes nothing."""
+    """Into a table in versions with the key (condition, root_span_id); a batch is one commit, so a replay changes nothing."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = keep_last(batch.withColumn("__at", F.lit(epoch)), ["condition", "root_span_id"], "__at")
-        touched = [r[0] for r in new.select("condition").distinct().collect()]
-        try:
-            old = spark.read.parquet(path).where(F.col("condition").isin(*touched)) if touched else None
-        except Exception as e:  # nothing was written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        merged = new.drop("__at")
-        if old is not None:
-            merged = merged.unionByName(old.join(merged.select("condition", "root_span_id"), ["condition", "root_span_id"], "left_anti"))
-        # a table cannot be read and overwritten in one job: the merged partitions are laid beside it first
-        merged.write.mode("overwrite").parquet(path + ".next")
-        spark.read.parquet(path + ".next").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("condition").parquet(path)
+        if not batch.isEmpty():
+            versions.upsert(keep_last(batch.withColumn("__at", F.lit(epoch)), KEY, "__at").select(*batch.columns), path, KEY)
 
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

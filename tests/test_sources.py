@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.__main__ import analyze, build_facts
 from plumbline.operators import records
-from plumbline.sources import adapters, readers, writers
+from plumbline.sources import adapters, readers, versions, writers
 from plumbline.streaming import ingest
 
 
@@ -99,11 +99,11 @@ def test_guards(spark):
 
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, "b"), (2, "a")], "z int, a string")
-    writers.replace_table(df, str(tmp_path / "t"))
-    writers.replace_table(df.where("z = 1"), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
-    writers.sorted_jsonl(df, str(tmp_path / "j"), "a")
-    assert '{"a":"a","z":2}' in "".join(p.read_text() for p in (tmp_path / "j").glob("*.json"))
+    writers.sorted_jsonl(df.unionByName(spark.createDataFrame([(3, None)], df.schema)), str(tmp_path / "j"), "a")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "j").glob("*.json")))
+    assert text == '{"a":null,"z":3}\n{"a":"a","z":2}\n{"a":"b","z":1}\n'
+    writers.manifest(spark, f"file://{tmp_path}/m.json", {"a": "b"}, {"c": 1}, {})
+    assert json.loads((tmp_path / "m.json").read_text())["counts"] == {"c": 1}
     none = spark.createDataFrame([], "problem string, n int")
     writers.audited_parquet(df, none, str(tmp_path / "p"))
     with pytest.raises(ValueError):
@@ -131,4 +131,4 @@ def test_stream(spark, tmp_path):
     ingest.upsert_stream(ingest.records_stream(spark, str(tmp_path / "in"), schema), out, mark).awaitTermination()
     lines(tmp_path / "in/2.jsonl", [{"condition": "a", "root_span_id": "x", "score": 5.0, "at": "2024-01-01T00:10:00Z"}, {"condition": "a", "root_span_id": "z", "score": 3.0, "at": "2024-01-01T00:10:00Z"}])
     ingest.upsert_stream(ingest.records_stream(spark, str(tmp_path / "in"), schema), out, mark).awaitTermination()
-    assert sorted((r.condition, r.root_span_id, r.score) for r in spark.read.parquet(out).collect()) == [("a", "x", 5.0), ("a", "z", 3.0), ("b", "y", 2.0)]
+    assert sorted((r.condition, r.root_span_id, r.score) for r in versions.read(spark, out).collect()) == [("a", "x", 5.0), ("a", "z", 3.0), ("b", "y", 2.0)]
