@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .moments import moments
+
 
 # --- distributions ------------------------------------------------------------------------------------------
 def normal_cdf(x: float) -> float:
@@ -166,81 +168,11 @@ def logistic(rows: DataFrame, y: str, names: list[str], cluster: str | None = No
     return _sandwich(rows, names, beta, inv, x, t - mu, cluster, n)
 
 
-def _by_size(rows: DataFrame, y: str, names: list[str], cluster: str):
-    """For each distinct cluster size: clusters, and sums over them of s s', s t and t t (s, t: cluster sums)."""
-    x, t = _x(names), F.col(f"`{y}`").cast("double")
-    per = rows.groupBy(cluster).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate([*x, t])])
-    s = [F.col(f"s{i}") for i in range(len(x) + 1)]
-    got = per.groupBy("n").agg(F.count("*").alias("g"), *[c.alias(f"m{i}") for i, c in enumerate(_outer_sums(s, s))]).collect()
-    k = len(s)
-    return [(int(r[0]), int(r[1]), _matrix(r, k, k, 2)) for r in got]
-
-
 def lmm(rows: DataFrame, y: str, names: list[str], cluster: str) -> Fit:
-    """Random-intercept model by profile REML in one variance ratio (M20), with R2 and ICC."""
-    rows = _complete(rows, names, y)
-    xx, xy, yy, n = gram(rows, y, names)
-    sizes = _by_size(rows, y, names, cluster)
-    p = len(names)
-
-    def profile(ratio: float):
-        a, b, c, logdet = xx.copy(), xy.copy(), yy, 0.0
-        for size, g, m in sizes:
-            shrink = ratio / (1 + size * ratio)
-            a -= shrink * m[:p, :p]
-            b -= shrink * m[:p, p]
-            c -= shrink * m[p, p]
-            logdet += g * math.log1p(size * ratio)
-        beta = np.linalg.solve(a, b)
-        sigma2 = max((c - beta @ b) / (n - p), 1e-300)
-        return -0.5 * ((n - p) * math.log(sigma2) + logdet + np.linalg.slogdet(a)[1]), beta, sigma2, a
-
-    low, high, golden = -12.0, 6.0, (math.sqrt(5) - 1) / 2
-    at = [high - golden * (high - low), low + golden * (high - low)]
-    value = [profile(math.exp(v))[0] for v in at]
-    while high - low > 1e-7:
-        if value[0] > value[1]:
-            high, at, value = at[1], [at[1] - golden * (at[1] - low), at[0]], [0.0, value[0]]
-            value[0] = profile(math.exp(at[0]))[0]
-        else:
-            low, at, value = at[0], [at[1], at[0] + golden * (high - at[0])], [value[1], 0.0]
-            value[1] = profile(math.exp(at[1]))[0]
-    ratio = math.exp((low + high) / 2)
-    if profile(0.0)[0] >= profile(ratio)[0]:
-        ratio = 0.0
-    loglik, beta, sigma2, a = profile(ratio)
-    mean = xx[:, names.index("intercept")] / n if "intercept" in names else np.zeros(p)
-    fixed = float(beta @ (xx / n - np.outer(mean, mean)) @ beta)
-    tau2 = ratio * sigma2
-    total = fixed + tau2 + sigma2
-    return Fit(names, beta, sigma2 * np.linalg.inv(a), n, sum(g for _, g, _ in sizes), {"sigma2": sigma2, "tau2": tau2, "loglik": loglik - 0.5 * (n - p) * (1 + math.log(2 * math.pi)), "r2_marginal": fixed / total, "r2_conditional": (fixed + tau2) / total, "icc": tau2 / (tau2 + sigma2)})
-
-
-def importance(rows: DataFrame, y: str, blocks: dict[str, list[str]], cluster: str) -> pd.DataFrame:
-    """Sequential and drop-one change of marginal R2 by block of terms."""
-    every = ["intercept", *[t for b in blocks.values() for t in b]]
-    full = lmm(rows, y, every, cluster).extra["r2_marginal"]
-    out, so_far, before = [], ["intercept"], 0.0
-    for name, terms in blocks.items():
-        so_far = [*so_far, *terms]
-        now = lmm(rows, y, so_far, cluster).extra["r2_marginal"]
-        rest = [t for t in every if t not in terms]
-        dropped = lmm(rows, y, rest, cluster).extra["r2_marginal"] if len(rest) > 1 else 0.0
-        out.append({"block": name, "sequential": now - before, "drop_one": full - dropped})
-        before = now
-    return pd.DataFrame(out)
-
-
-def mediation(rows: DataFrame, y: str, treatment: str, mediators: list[str], controls: list[str], cluster: str) -> pd.DataFrame:
-    """Total and direct effect, paths a and b by mediator, and the indirect share."""
-    total = lmm(rows, y, ["intercept", treatment, *controls], cluster)
-    direct = lmm(rows, y, ["intercept", treatment, *mediators, *controls], cluster)
-    t, d = (f.beta[f.names.index(treatment)] for f in (total, direct))
-    out = [{"mediator": "all", "total": t, "direct": d, "indirect_share": (t - d) / t}]
-    for m in mediators:
-        a = lmm(rows, m, ["intercept", treatment, *controls], cluster)
-        out.append({"mediator": m, "a": a.beta[a.names.index(treatment)], "b": direct.beta[direct.names.index(m)]})
-    return pd.DataFrame(out)
+    """Random-intercept model by profile REML in one variance ratio (M20), with R2 and ICC (M21), from one pass."""
+    m = moments(rows, [*names, y], cluster)
+    loglik, beta, cov, sigma2, tau2 = m.reml(y, names)
+    return Fit(names, beta, cov, m.n, int(m.clusters.sum()), {"sigma2": sigma2, "tau2": tau2, "loglik": loglik, **m.r2(y, names)})
 
 
 def moderation(rows: DataFrame, y: str, treatment: str, moderator: str, controls: list[str], cluster: str) -> Fit:
@@ -249,62 +181,6 @@ def moderation(rows: DataFrame, y: str, treatment: str, moderator: str, controls
     return lmm(rows.withColumn(name, F.col(f"`{treatment}`") * F.col(f"`{moderator}`")), y, ["intercept", treatment, moderator, name, *controls], cluster)
 
 
-def random_slope(rows: DataFrame, y: str, names: list[str], slope: str, cluster: str, rounds: int = 60) -> dict[str, float]:
-    """Heterogeneity of a slope: REML of intercept and slope variance against the intercept alone.
-
-    Each likelihood is one distributed pass over per-cluster sums (2x2, 2xp), which stay on the executors.
-    """
-    rows = _complete(rows, names, y, slope)
-    x, t, z = _x(names), F.col(f"`{y}`").cast("double"), [F.lit(1.0), F.col(f"`{slope}`").cast("double")]
-    p = len(names)
-    xx, xy, yy, n = gram(rows, y, names)
-    per = rows.groupBy(cluster).agg(*[c.alias(f"a{i}") for i, c in enumerate(_outer_sums(z, [*z, *x, t]))]).drop(cluster).cache()
-
-    def sums(lower: np.ndarray):
-        def run(frames):
-            logdet, m = 0.0, np.zeros((p + 1, p + 1))
-            for f in frames:
-                v = f.to_numpy(float).reshape(len(f), 2, p + 3)
-                zz, zr = v[:, :, :2], v[:, :, 2:]
-                inner = np.eye(2) + lower.T @ zz @ lower
-                logdet += float(np.linalg.slogdet(inner)[1].sum())
-                w = lower.T @ zr
-                m += np.einsum("gip,giq->pq", w, np.linalg.solve(inner, w))
-            yield pd.DataFrame([[logdet, *m.ravel()]])
-
-        schema = ", ".join(f"c{i} double" for i in range(1 + (p + 1) ** 2))
-        r = per.mapInPandas(run, schema).groupBy().sum().first()
-        return float(r[0]), _matrix(r, p + 1, p + 1, 1)
-
-    def deviance(theta: np.ndarray) -> float:
-        lower = np.array([[math.exp(theta[0]), 0.0], [theta[1], math.exp(theta[2])]])
-        logdet, m = sums(lower)
-        a, b, c = xx - m[:p, :p], xy - m[:p, p], yy - m[p, p]
-        beta = np.linalg.solve(a, b)
-        sigma2 = max((c - beta @ b) / (n - p), 1e-300)
-        return (n - p) * math.log(sigma2) + logdet + np.linalg.slogdet(a)[1]
-
-    points = [np.array(v, float) for v in ([-1, 0, -1], [0, 0, -1], [-1, 0.5, -1], [-1, 0, 0])]
-    values = [deviance(v) for v in points]
-    for _ in range(rounds):
-        order = np.argsort(values)
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        if values[-1] - values[0] < 1e-6:
-            break
-        mean = np.mean(points[:-1], axis=0)
-        for factor in (-1.0, -2.0, 0.5):
-            trial = mean + factor * (points[-1] - mean)
-            v = deviance(trial)
-            if v < values[-1] and (factor != -1.0 or v >= values[0]):
-                break
-        points[-1], values[-1] = trial, v
-    per.unpersist()
-    base = lmm(rows, y, names, cluster).extra["loglik"]
-    full = -0.5 * min(values) - 0.5 * (n - p) * (1 + math.log(2 * math.pi))
-    stat = max(0.0, 2 * (full - base))
-    return {"loglik_intercept": base, "loglik_slope": full, "lr": stat, "p": chi2_sf(stat, 2)}
-
-
 def gee_logit(rows: DataFrame, y: str, names: list[str], cluster: str, rounds: int = 100) -> Fit:
     """Logistic estimating equations with exchangeable correlation and robust covariance.
 
@@ -337,47 +213,6 @@ def gee_logit(rows: DataFrame, y: str, names: list[str], cluster: str, rounds: i
     return Fit(names, beta, inv @ meat @ inv, int(n), int(g), {"rho": rho})
 
 
-def vb_binomial(rows: DataFrame, y: str, names: list[str], cluster: str, fixed_sd: float = 2.0, rounds: int = 40) -> Fit:
-    """Random-intercept logistic model by a quadratic variational bound.
-
-    Posterior means and deviations with normal priors; not the same approximation as a mean-field Gaussian fit of the
-    exact likelihood, and labelled so.  Each iteration is one pass in which every cluster updates its own
-    intercept and adds its sums.
-    """
-    rows = _complete(rows, names, y)
-    p = len(names)
-    slim = rows.select(F.col(cluster).cast("string").alias("g"), F.col(f"`{y}`").cast("double").alias("y"), *[c.alias(f"x{i}") for i, c in enumerate(_x(names))])
-    mean, cov, tau2 = np.zeros(p), np.eye(p) * fixed_sd**2, 1.0
-    schema = ", ".join(f"c{i} double" for i in range(p * p + p + 2))
-
-    def step(mean: np.ndarray, cov: np.ndarray, tau2: float):
-        def one(frame: pd.DataFrame) -> pd.DataFrame:
-            x, t = frame[[f"x{i}" for i in range(p)]].to_numpy(float), frame["y"].to_numpy(float)
-            eta, spread, m, v = x @ mean, np.einsum("ip,pq,iq->i", x, cov, x), 0.0, tau2
-            for _ in range(5):
-                xi = np.sqrt((eta + m) ** 2 + spread + v)
-                lam = np.tanh(xi / 2) / (4 * np.maximum(xi, 1e-9))
-                v = 1 / (1 / tau2 + 2 * lam.sum())
-                m = v * (t - 0.5 - 2 * lam * eta).sum()
-            a = 2 * (x * lam[:, None]).T @ x
-            b = x.T @ (t - 0.5 - 2 * lam * m)
-            return pd.DataFrame([[*a.ravel(), *b, m * m + v, 1.0]])
-
-        return one
-
-    for _ in range(rounds):
-        r = slim.groupBy("g").applyInPandas(step(mean, cov, tau2), schema).groupBy().sum().first()
-        a, b = _matrix(r, p, p), _matrix(r, p, 1, p * p).ravel()
-        cov = np.linalg.inv(a + np.eye(p) / fixed_sd**2)
-        new = cov @ b
-        tau2 = float(r[-2]) / float(r[-1])
-        done = np.abs(new - mean).max() < 1e-5
-        mean = new
-        if done:
-            break
-    return Fit(names, mean, cov, rows.count(), int(r[-1]), {"tau2": tau2, "method": "quadratic variational bound"})
-
-
 def condition_estimates(fit: Fit) -> pd.DataFrame:
     """Log odds and probabilities with 1.96 deviations."""
     sd = np.sqrt(np.diag(fit.cov))

@@ -221,7 +221,7 @@ LAT = "l AS (SELECT l_orderkey, l_linenumber, o_orderpriority AS model, date_dif
 
 def latencies(spark, d) -> DataFrame:
     li, o = read(spark, d, "lineitem"), read(spark, d, "orders")
-    return li.join(o, li.l_orderkey == o.o_orderkey).select("l_orderkey", "l_linenumber", F.col("o_orderpriority").alias("model"), F.datediff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date")).cast("double").alias("latency"), F.col("l_quantity").alias("q"))
+    return li.join(o, li.l_orderkey == o.o_orderkey).select("l_orderkey", "l_linenumber", "l_suppkey", F.col("o_orderpriority").alias("model"), F.datediff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date")).cast("double").alias("latency"), F.col("l_quantity").alias("q"))
 
 
 @bound("latency_quartiles", f"WITH {LAT}, e AS (SELECT model, quantile_cont(latency, [0.25, 0.5, 0.75]) AS c FROM l GROUP BY 1) SELECT model, CASE WHEN latency <= c[1] THEN 1 WHEN latency <= c[2] THEN 2 WHEN latency <= c[3] THEN 3 ELSE 4 END AS quartile, count(*) AS n, avg(q) AS q FROM l JOIN e USING (model) GROUP BY 1, 2")

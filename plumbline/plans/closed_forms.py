@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import models, paired
+from ..operators import models, moments, paired, variational
 from .bindings import FLOATS, PAIRS, bound, event_types, read, trials
 
 col = F.col
@@ -62,14 +62,14 @@ def q_mixed(spark, d):
 @bound("balanced_importance", f"WITH {GROUPS}, {_mixed('fx', {'x': 'sxx'})}, {_mixed('fz', {'z': 'szz'})}, {_mixed('fxz', {'x': 'sxx', 'z': 'szz'})} SELECT 'x' AS block, round(fx.r2, 4) AS sequential, round(fxz.r2 - fz.r2, 4) AS drop_one FROM fx, fz, fxz UNION ALL SELECT 'z', round(fxz.r2 - fx.r2, 4), round(fxz.r2 - fx.r2, 4) FROM fx, fz, fxz")
 def q_importance(spark, d):
     """M24, W9."""
-    got = models.importance(groups(spark, d), "y", {"x": ["x"], "z": ["z"]}, "g")
+    got = moments.importance(groups(spark, d), "y", {"x": ["x"], "z": ["z"]}, "g")
     return spark.createDataFrame([(r.block, round(float(r.sequential), 4), round(float(r.drop_one), 4)) for r in got.itertuples()], "block string, sequential double, drop_one double")
 
 
 @bound("balanced_mediation", f"WITH {GROUPS}, q AS (SELECT sum(x * y) AS xy, sum(m * y) AS my, sum(x * x) AS xx, sum(x * m) AS xm, sum(m * m) AS mm FROM d), e AS (SELECT xy / xx AS total, (mm * xy - xm * my) / (xx * mm - xm * xm) AS direct, xm / xx AS a, (xx * my - xm * xy) / (xx * mm - xm * xm) AS b FROM q) SELECT round(total, 5) AS total, round(direct, 5) AS direct, round((total - direct) / total, 4) AS indirect_share, round(a, 5) AS a, round(b, 5) AS b FROM e")
 def q_mediation(spark, d):
     """M27."""
-    got = models.mediation(groups(spark, d), "y", "x", ["m"], [], "g")
+    got = moments.mediation(groups(spark, d), "y", "x", ["m"], [], "g")
     every, m = got.iloc[0], got.iloc[1]
     return spark.createDataFrame([(round(float(every.total), 5), round(float(every.direct), 5), round(float(every.indirect_share), 4), round(float(m.a), 5), round(float(m.b), 5))], "total double, direct double, indirect_share double, a double, b double")
 
@@ -82,6 +82,26 @@ def q_moderation(spark, d):
     return spark.createDataFrame([(round(float(at["x"]), 5), round(float(at["x:arm"]), 5))], "slope double, interaction double")
 
 
+_SLOPES = """c AS (SELECT g, sum(v) / sqrt(5.0::DOUBLE) AS c0, sum(x * v) / sqrt(10.0::DOUBLE) AS c1, sum(v * v) AS vv FROM (SELECT g, x, y + (g % 3 - 1) * x AS v FROM d) GROUP BY 1),
+ k AS (SELECT count(*)::DOUBLE AS k, sum(vv - c0 * c0 - c1 * c1) AS rss, var_samp(c0) AS s00, var_samp(c1) AS s11, covar_samp(c0, c1) AS s01 FROM c),
+ l AS (SELECT *, 3 * k * (ln(rss / (3 * k)) + 1) + (k - 1) * (ln(s00 * s11 - s01 * s01) + 2) AS full_d, (4 * k - 1) * (ln((rss + (k - 1) * s11) / (4 * k - 1)) + 1) + (k - 1) * (ln(s00) + 1) AS base_d FROM k)"""
+
+
+@bound("balanced_random_slope", f"WITH {GROUPS}, {_SLOPES} SELECT round(base_d - full_d, 3) AS lr, round(exp((full_d - base_d) / 2), 4) AS p FROM l")
+def q_random_slope(spark, d):
+    """In a balanced design a cluster's mean and slope, scaled to the same error, have as REML covariance their sample covariance."""
+    rows = groups(spark, d).withColumn("v", col("y") + (col("g") % 3 - 1) * col("x"))
+    got = moments.random_slope(rows, "v", ["intercept", "x"], "x", "g")
+    return spark.createDataFrame([(round(float(got["lr"]), 3), round(float(got["p"]), 4))], "lr double, p double")
+
+
+@bound("vb_logistic")
+def q_vb(spark, d):
+    """M31."""
+    fit = variational.vb_logistic(groups(spark, d).withColumn("x", col("x") / 2), "hit", ["intercept", "x", "arm"], "g")
+    return spark.createDataFrame([(t, float(b), float(v) ** 0.5) for t, b, v in zip(fit.names, fit.beta, np.diag(fit.cov), strict=True)] + [("log deviation", fit.extra["log_deviation"], fit.extra["log_deviation_sd"])], "term string, mean double, sd double")
+
+
 @bound("gee_saturated", f"WITH {GROUPS}, p AS (SELECT arm, avg(hit) AS p FROM d GROUP BY 1), l AS (SELECT arm, ln(p / (1 - p)) AS l FROM p) SELECT round(max(l) FILTER (arm = 0), 5) AS intercept, round(max(l) FILTER (arm = 1) - max(l) FILTER (arm = 0), 5) AS slope FROM l")
 def q_gee_saturated(spark, d):
     """With one indicator that is constant in clusters of one size, log odds of the two kinds of cluster."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.udfs import plain_text
-from ..operators import facts, models, paired, records
+from ..operators import facts, models, moments, paired, records
 from ..sources import files, readers, versions, writers
 from ..sources.workdir import bytes_file, named_file, workdir
 from . import reports
@@ -246,7 +246,7 @@ def q_manifest(spark, d):
     return spark.createDataFrame([(said["sha256"],)], "sha256 string")
 
 
-_UPSERTED = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT -o_orderkey, o_totalprice, 'new' FROM orders WHERE o_orderkey % 5 = 0"
+_UPSERTED = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT -o_orderkey - 1, o_totalprice, 'new' FROM orders WHERE o_orderkey % 5 = 0"
 
 
 @bound("sink_upsert", f"SELECT * FROM ({_UPSERTED})")
@@ -255,7 +255,7 @@ def q_upsert(spark, d):
     path, o = workdir(spark), read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     versions.upsert(o, path, ["o_orderkey"])
     changed = o.where("o_orderkey % 3 = 0").select("o_orderkey", (-col("o_totalprice")).alias("o_totalprice"), F.lit(None).cast("string").alias("o_orderstatus"))
-    versions.upsert(changed.unionByName(o.where("o_orderkey % 5 = 0").select((-col("o_orderkey")).alias("o_orderkey"), "o_totalprice", F.lit("new").alias("o_orderstatus"))), path, ["o_orderkey"])
+    versions.upsert(changed.unionByName(o.where("o_orderkey % 5 = 0").select((-col("o_orderkey") - 1).alias("o_orderkey"), "o_totalprice", F.lit("new").alias("o_orderstatus"))), path, ["o_orderkey"])
     return versions.read(spark, path)
 
 
@@ -533,17 +533,20 @@ def q_covered(spark, d):
 
 
 # --- models with closed forms ---------------------------------------------------------------------------------
-FLOATS["ols_by_group"] = ["slope", "intercept"]
+_BY = """WITH l AS (SELECT o_orderpriority AS model, l_suppkey AS g, l_quantity AS y, date_diff('day', o_orderdate::DATE, l_shipdate::DATE)::DOUBLE AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ s AS (SELECT model, count(*)::DOUBLE AS n, sum(x) AS sx, sum(x * x) AS sxx, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM l GROUP BY 1),
+ c AS (SELECT model, g, sum(y - a - b * x) AS u, sum(x * (y - a - b * x)) AS v FROM l JOIN s USING (model) GROUP BY ALL),
+ w AS (SELECT model, sum(u * u) AS uu, sum(u * v) AS uv, sum(v * v) AS vv, count(*)::DOUBLE AS k FROM c GROUP BY 1),
+ i AS (SELECT *, sxx / (n * sxx - sx * sx) AS i00, -sx / (n * sxx - sx * sx) AS i01, n / (n * sxx - sx * sx) AS i11 FROM s JOIN w USING (model))
+ SELECT model, round(a, 4) AS intercept, round(b, 6) AS slope, round(sqrt(k / (k - 1) * (n - 1) / (n - 2) * (i00 * i00 * uu + 2 * i00 * i01 * uv + i01 * i01 * vv)), 5) AS se_intercept,
+        round(sqrt(k / (k - 1) * (n - 1) / (n - 2) * (i01 * i01 * uu + 2 * i01 * i11 * uv + i11 * i11 * vv)), 6) AS se_slope FROM i"""
 
 
-@bound("ols_by_group", "WITH l AS (SELECT o_orderpriority AS model, l_quantity AS q, date_diff('day', o_orderdate::DATE, l_shipdate::DATE)::DOUBLE AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT model, regr_slope(q, x) AS slope, regr_intercept(q, x) AS intercept FROM l GROUP BY 1")
+@bound("ols_by_group", _BY)
 def q_ols_groups(spark, d):
-    """A slope for each model."""
-    rows, out = latencies(spark, d).withColumn("k", F.concat("l_orderkey", "l_linenumber")), []
-    for r in rows.select("model").distinct().collect():
-        fit = models.ols(rows.where(col("model") == r.model), "q", ["intercept", "latency"], "l_orderkey")
-        out.append((r.model, float(fit.beta[1]), float(fit.beta[0])))
-    return spark.createDataFrame(out, "model string, slope double, intercept double")
+    """A slope for each model, with errors robust to clusters, in two passes for all of them."""
+    got = moments.ols_by(latencies(spark, d), "q", ["intercept", "latency"], "model", "l_suppkey")
+    return got.select("model", F.round("est_intercept", 4).alias("intercept"), F.round("est_latency", 6).alias("slope"), F.round("se_intercept", 5).alias("se_intercept"), F.round("se_latency", 6).alias("se_slope"))
 
 
 FLOATS["logistic_saturated"] = ["intercept", "slope"]

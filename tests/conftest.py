@@ -1,6 +1,11 @@
+import os
 import sys
 from pathlib import Path
 
+# before numpy is loaded: threads of its linear algebra and those of Spark are in each other's way
+for threads in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS"):
+    os.environ.setdefault(threads, "1")
+
 import pytest
 from pyspark.sql import SparkSession
 

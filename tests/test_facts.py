@@ -98,10 +98,7 @@ def test_models_match_closed_forms(spark):
     assert X.T @ (b - mu) == pytest.approx(np.zeros(2), abs=1e-6)
     gee = models.gee_logit(df, "b", ["intercept", "x"], "g")
     assert gee.beta == pytest.approx(logit.beta, abs=0.1) and abs(gee.extra["rho"]) < 0.2
-    vb = models.vb_binomial(df, "b", ["intercept", "x"], "g")
-    assert vb.beta == pytest.approx(logit.beta, abs=0.25)
     assert models.chi2_sf(3.841458820694124, 1) == pytest.approx(0.05) and models.chi2_sf(30.0, 4) == pytest.approx(4.894e-6, rel=1e-3)
-    assert models.random_slope(df, "y", ["intercept", "x"], "x", "g", rounds=15)["p"] > 0.001
 
 
 def test_reversal_swaps_wins(spark):

@@ -11,7 +11,7 @@ from plumbline.plans import tables
 from plumbline.plans.registry import QUERIES, SQL
 
 #: No SQL has gzip, Unicode folding, or the optimiser and generator of these models.
-WITHOUT_SQL = {"cluster_bootstrap", "score_compression_redundancy", "answer_normalization", "mixed_model", "logistic_cluster_robust", "gee_logit"}
+WITHOUT_SQL = {"cluster_bootstrap", "score_compression_redundancy", "answer_normalization", "mixed_model", "logistic_cluster_robust", "gee_logit", "vb_logistic"}
 
 
 def test_queries_have_sql():
