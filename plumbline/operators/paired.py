@@ -117,19 +117,6 @@ def mediator_deltas(rows: DataFrame, mediators: list[str], keys: list[str], task
 
 
 # --- bootstraps ---------------------------------------------------------------------------------------------
-def hash_bootstrap(differences: DataFrame, rounds: int, seed: int = 7, task: str = "task_key") -> DataFrame:
-    """Resampled means whose draws any SQL engine can repeat: position = md5(seed:round:draw) mod n.
-
-    (contrast, round, mean).  Meant for as many rounds as a report has; tasks, not raw rows, are drawn.
-    """
-    by_task = Window.partitionBy("contrast").orderBy(task)
-    placed = differences.select("contrast", "diff", (F.row_number().over(by_task) - 1).alias("i"), F.count("*").over(Window.partitionBy("contrast")).alias("n"))
-    drawn = placed.select("contrast", "n", F.col("i").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), "round", "draw")), 1, 8)
-    drawn = drawn.withColumn("i", F.conv(digits, 16, 10).cast("bigint") % F.col("n"))
-    return drawn.join(placed.select("contrast", "i", "diff"), ["contrast", "i"]).groupBy("contrast", "round").agg(F.avg("diff").alias("mean"))
-
-
 def bootstrap_bounds(means: DataFrame, method: str = "floor") -> DataFrame:
     """95 % bounds by contrast: ``floor`` takes elements floor(.025(B-1)) and floor(.975(B-1)), ``linear`` interpolates."""
     if method == "linear":

@@ -108,4 +108,4 @@ def vb_logistic(rows: DataFrame, y: str, terms: list[str], cluster: str, fixed_s
         mean, variance, a, s = mean + np.clip(step, -3, 3), new, a2, s2
         if done:
             break
-    return Fit(terms, mean, np.diag(variance), rows.count(), int(clusters), {"log_deviation": a, "log_deviation_sd": s, "elbo": float(elbo), "rounds": n + 1})
+    return Fit(terms, mean, np.diag(variance), rows.count(), int(clusters), {"log_deviation": float(a), "log_deviation_sd": float(s), "elbo": float(elbo), "rounds": n + 1})

@@ -32,8 +32,6 @@ FLOATS: dict[str, list[str]] = {
     "paired_effects": ["effect", "category_balanced"],
     "reversed_effects": ["effect"],
     "category_effects": ["effect"],
-    "bootstrap_interval": ["ci_low", "ci_high"],
-    "bootstrap_floor_interval": ["ci_low", "ci_high"],
     "pareto_frontier": ["score", "cost"],
     "difference_in_differences": ["effect"],
     "mediator_deltas": ["delta"],
@@ -156,23 +154,6 @@ def q_category(spark, d):
     return paired.category_effects(paired.paired_differences(trials(spark, d), event_types(spark, d)))
 
 
-BOOT = PAIRS + """, i AS (SELECT contrast, diff, row_number() OVER (PARTITION BY contrast ORDER BY task_key) - 1 AS i, count(*) OVER (PARTITION BY contrast) AS n FROM p),
- w AS (SELECT contrast, n, i AS draw, r AS round FROM i, range(0, 100) g(r)),
- z AS (SELECT contrast, round, (('0x' || substr(md5('7:' || round || ':' || draw), 1, 8))::BIGINT % n) AS i FROM w),
- m AS (SELECT contrast, round, avg(diff) AS mean FROM z JOIN i USING (contrast, i) GROUP BY 1, 2)"""
-
-
-@bound("bootstrap_interval", f"WITH {BOOT} SELECT contrast, quantile_cont(mean, 0.025) AS ci_low, quantile_cont(mean, 0.975) AS ci_high FROM m GROUP BY 1")
-def q_bootstrap(spark, d):
-    means = paired.hash_bootstrap(paired.paired_differences(trials(spark, d), event_types(spark, d)), 100)
-    return paired.bootstrap_bounds(means, "linear")
-
-
-@bound("bootstrap_floor_interval", f"WITH {BOOT}, s AS (SELECT contrast, list_sort(list(mean)) AS m FROM m GROUP BY 1) SELECT contrast, m[floor(0.025 * (len(m) - 1))::INT + 1] AS ci_low, m[floor(0.975 * (len(m) - 1))::INT + 1] AS ci_high FROM s")
-def q_bootstrap_floor(spark, d):
-    return paired.bootstrap_bounds(paired.hash_bootstrap(paired.paired_differences(trials(spark, d), event_types(spark, d)), 100))
-
-
 @bound("cluster_bootstrap")
 def q_cluster_bootstrap(spark, d):
     return paired.cluster_bootstrap(event_rows(spark, d), ["condition"], "score", "task_key")

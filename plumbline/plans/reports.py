@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import paired, records
+from ..operators import paired, records, resampling
 from ..sources.writers import markdown
 
 
@@ -31,19 +31,28 @@ def paired_report(rows: DataFrame, baseline: str, rounds: int = 2000) -> str:
     return markdown("Paired analysis", tables)
 
 
-def variable_tables(rows: DataFrame) -> dict[str, DataFrame]:
-    """The descriptive tables of variable rows (A6, A9, A10, M12 to M19), each one group-by, all lazy."""
-    ok = records.eligible(rows)
-    mean = lambda c: F.avg(c).alias(c)
-    return {
-        "condition_summary": paired.condition_summary(ok, ["model", "arm"], ["gated", "judge", "used_searches", "latency_s"], p95="latency_s"),
-        "question_types": ok.groupBy("model", "arm", "question_type").agg(F.count("*").alias("n"), mean("gated"), mean("judge")),
-        "scorer_rates": ok.unpivot(["model", "arm"], ["gated", "judge"], "scorer", "value").groupBy("model", "arm", "scorer").agg(F.avg("value").alias("rate")),
-        "visibility": ok.where("snippet_sufficiency is not null").groupBy("model", "snippet_sufficiency").agg(F.count("*").alias("n"), mean("gated")),
-        "model_arm": ok.groupBy("model").pivot("arm").agg(F.avg("gated")),
-        "exclusions": records.exclusion_ledger(rows),
-        "age_rates": ok.where("age_bin is not null").groupBy("arm", "model", "age_bin").agg(F.count("*").alias("n"), mean("gated"), mean("judge")) if "age_bin" in rows.columns else ok.limit(0),
-    }
+#: The descriptive tables of variable rows, each with its keys.
+FIGURES = {
+    "age_rates": ["arm", "model", "age_bin"],
+    "latency_quartiles": ["model", "quartile"],
+    "question_types": ["arm", "question_type"],
+    "scorer_rates": ["arm"],
+    "visibility": ["model", "visible"],
+    "model_arm": ["model", "arm"],
+}
+
+
+def variable_tables(rows: DataFrame, outcomes: list[str], rounds: int = 5000, cluster: str = "task_key", **how) -> DataFrame:
+    """All of ``FIGURES`` whose keys ``rows`` has, with intervals over clusters, in one pass over the eligible rows."""
+    have = {n: k for n, k in FIGURES.items() if set(k) <= set(rows.columns)}
+    return resampling.figure_tables(rows, have, outcomes, cluster, rounds, **how)
+
+
+def age_gains(rows: DataFrame, arm: str, baseline: str, outcome: str, rounds: int = 5000, **how) -> DataFrame:
+    """The gain of an arm over the baseline on the tasks that both have, by model and age bin."""
+    of = lambda a: F.avg(F.when(F.col("arm") == a, F.col(outcome)))
+    wide = rows.where("age_bin is not null").groupBy("model", "age_bin", "task_key").agg((of(arm) - of(baseline)).alias("diff")).where("diff is not null")
+    return resampling.intervals(wide.select(F.concat_ws("|", "model", "age_bin").alias("contrast"), "task_key", "diff"), rounds, **how)
 
 
 def frontier_without_open_with(trials: DataFrame, open_with: str, frontier_without: str) -> DataFrame:
