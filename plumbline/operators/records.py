@@ -185,38 +185,6 @@ def unique_or_fail(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("__n", n).withColumn("__n", F.when(F.col("__n") > 1, F.raise_error(F.concat_ws(" ", F.lit("repeated key"), *keys))).otherwise(F.col("__n"))).where("__n = 1").drop("__n")
 
 
-def containing(documents: DataFrame, golds: DataFrame, document: str, gold: str, text: str = "text", k: int = 4) -> DataFrame:
-    """(document, gold) of documents whose text holds a gold text whole, upper and lower case alike.
-
-    The inner words of a gold are whole words of any text that holds it; so the first ``k`` of them (fewer in short golds)
-    are looked up among the runs of words of each document, by hash, and only what meets is compared.  Golds of two words or
-    less are compared with every document, by blocks of broadcast rows.
-    """
-    words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), r"[\x00-\x20]+", " ")), " ")
-    g = golds.select(F.col(gold).alias("__g"), F.lower(text).alias("__gold"), F.slice(words(F.col(text)), 2, F.greatest(F.size(words(F.col(text))) - 2, F.lit(0))).alias("__w")).where("__gold != ''")
-    keyed = g.withColumn("__k", F.least(F.size("__w"), F.lit(k))).withColumn("__key", F.xxhash64(F.array_join(F.slice("__w", F.lit(1), "__k"), " ")))
-    sizes = sorted(r[0] for r in keyed.select("__k").distinct().collect())
-    found = None
-    for size in sizes:
-        some = keyed.where(F.col("__k") == size)
-        if size:
-            d = documents.select(F.col(document).alias("__d"), words(F.col(text)).alias("__w")).where(F.size("__w") >= size)
-            runs = _runs("__w", size)
-            pairs = d.select("__d", F.explode(F.array_distinct(runs)).alias("__key")).join(some.select("__key", "__g"), "__key").select("__d", "__g").distinct()
-            pairs = pairs.join(some.select("__g", "__gold"), "__g")
-            hit = documents.select(F.col(document).alias("__d"), F.lower(text).alias("__t")).join(pairs, "__d").where(F.contains("__t", "__gold"))
-        else:
-            hit = documents.select(F.col(document).alias("__d"), F.lower(text).alias("__t")).join(F.broadcast(some.select("__g", "__gold")), F.contains("__t", "__gold"))
-        hit = hit.select(F.col("__d").alias(document), F.col("__g").alias(gold))
-        found = hit if found is None else found.unionByName(hit)
-    return found if found is not None else documents.select(document).limit(0).crossJoin(golds.select(gold).limit(0))
-
-
-def _runs(words: str, size: int) -> Column:
-    """Hashes of all runs of ``size`` words of an array."""
-    return F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(size)), " ")))
-
-
 # --- results grain, cost and funnels ------------------------------------------------------------------------
 def result_grain(rows: DataFrame, keep_text: bool = False) -> DataFrame:
     """One row a search result, with hashes in place of texts."""

@@ -104,7 +104,7 @@ def vb_logistic(rows: DataFrame, y: str, terms: list[str], cluster: str, fixed_s
         step = np.linalg.solve(curvature + np.eye(p) / fixed_sd**2, gradient - mean / fixed_sd**2)
         new = 1 / (np.diag(curvature) + 1 / fixed_sd**2)
         a2, s2 = log_deviation(clusters, square, log_sd) if clusters else (a, s)
-        done = np.abs(step).max() + np.abs(new - variance).max() + abs(a2 - a) + abs(s2 - s) < 1e-7
+        done = np.abs(step).max() + np.abs(new - variance).max() + abs(a2 - a) + abs(s2 - s) < 1e-5
         mean, variance, a, s = mean + np.clip(step, -3, 3), new, a2, s2
         if done:
             break

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scorers as S
 from ..functions import text as T
 from ..functions.udfs import folded
-from ..operators import facts, models, paired, records
+from ..operators import containment, facts, models, paired, records
 
 #: R14.
 SCORER_ORDER = tuple(S.SCORERS)
@@ -363,10 +363,21 @@ def q_apex(spark, d):
 
 
 # --- texts --------------------------------------------------------------------------------------------------
+_SHORT = "SELECT item_id, array_to_string(list_slice(regexp_extract_all(text, '[^ ]+'), 1, 1 + item_id % 2), ' ') AS text FROM benchmark"
+
+
+@bound("short_gold_containment", f"SELECT item_id, count(*) AS hits FROM ({_SHORT}) b JOIN documents d ON contains(lower(d.text), lower(b.text)) GROUP BY 1")
+def q_contains_short(spark, d):
+    """Golds of one and two words."""
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)), F.lit(1), (1 + F.col("item_id") % 2).cast("int")), " ")
+    golds = read(spark, d, "benchmark").select("item_id", first.alias("text"))
+    return containment.containing(read(spark, d, "documents"), golds, "doc_id", "item_id").groupBy("item_id").agg(F.count("*").alias("hits"))
+
+
 @bound("gold_containment", "SELECT item_id, count(*) AS hits FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) GROUP BY 1")
 def q_contains(spark, d):
     """Documents that hold a whole benchmark text."""
-    return records.containing(read(spark, d, "documents"), read(spark, d, "benchmark"), "doc_id", "item_id").groupBy("item_id").agg(F.count("*").alias("hits"))
+    return containment.containing(read(spark, d, "documents"), read(spark, d, "benchmark"), "doc_id", "item_id").groupBy("item_id").agg(F.count("*").alias("hits"))
 
 
 @bound("question_types", "SELECT doc_id, CASE WHEN " + " OR ".join(f"contains(lower(text), '{t}')" for t in T.QUANTITATIVE_RELEASE) + " THEN 'Quantitative / composed' ELSE 'Other factual' END AS kind FROM documents")

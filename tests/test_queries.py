@@ -6,12 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.operators import paired, records
+from plumbline.operators import containment, paired
 from plumbline.plans import tables
 from plumbline.plans.registry import QUERIES, SQL
 
 #: No SQL has gzip, Unicode folding, or the optimiser and generator of these models.
-WITHOUT_SQL = {"cluster_bootstrap", "score_compression_redundancy", "answer_normalization", "mixed_model", "logistic_cluster_robust", "gee_logit", "vb_logistic"}
+WITHOUT_SQL = {"cluster_bootstrap", "score_compression_redundancy", "answer_normalization", "mixed_model", "logistic_cluster_robust", "gee_logit", "vb_logistic", "bootstrap_5000"}
 
 
 def test_queries_have_sql():
@@ -31,15 +31,18 @@ def test_nearest_rank_by(spark, p):
     assert {r.g: r.p_value for r in paired.nearest_rank_by(df, "g", "v", p).collect()} == {g: brute_rank(vs, p) for g, vs in groups.items()}
 
 
-def test_containing(spark):
-    golds = ["the quick brown fox jumps", "one two three four", "alpha beta gamma", "xy", "two words", "Ünder  the\nsea, far", "a"]
-    texts = ["zzthe quick brown fox jumpsly", "the quick  brown fox jumps", "ONE TWO THREE FOUR five", "prealpha beta gammas", "wxyz", "two  words", "two words two words", "ünder  the\nsea, far away", "", None, "the quick brown fox"]
+@pytest.mark.parametrize("limit", [16 << 20, 60, 8])
+def test_containing(spark, monkeypatch, limit):
+    """All golds in one scan; joined by inner words but for short ones; those in several scans."""
+    monkeypatch.setattr(containment, "GOLD_BYTES", limit)
+    golds = ["the quick brown fox jumps", "one two three four", "alpha beta gamma", "xy", "two words", "Ünder  the\nsea, far", "a", "words two", "Alpha beta gamma", "fox", "the quick brown fox jumps over everything"]
+    texts = ["zzthe quick brown fox jumpsly", "the quick  brown fox jumps", "ONE TWO THREE FOUR five", "prealpha beta gammas", "wxyz", "two  words", "two words two words", "ünder  the\nsea, far away", "he said: the quick brown fox jumps over everything", "", None, "the quick brown fox"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     g = spark.createDataFrame([*enumerate(golds), (50, ""), (51, None)], "item_id int, text string")
     want = {(n, k) for n, t in enumerate(texts) for k, x in enumerate(golds) if t is not None and x.lower() in t.lower()}
-    got = [(r.doc_id, r.item_id) for r in records.containing(d, g, "doc_id", "item_id").collect()]
+    got = [(r.doc_id, r.item_id) for r in containment.containing(d, g, "doc_id", "item_id").collect()]
     assert set(got) == want and len(got) == len(want) and len(want) >= 8
-    assert records.containing(d, g.limit(0), "doc_id", "item_id").collect() == []
+    assert containment.containing(d, g.limit(0), "doc_id", "item_id").collect() == []
 
 
 def test_metric_effects(spark):
