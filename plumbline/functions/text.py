@@ -20,15 +20,15 @@ QUANTITATIVE_RELEASE = ["how many", "difference", "total", "combined", "sum", "p
 NAME_SUFFIXES = ["jr", "jr.", "sr", "sr.", "ii", "iii", "iv", "v", "md", "phd", "esq"]
 #: Fixed: words of an issuer's name that do not tell it from others.
 ENTITY_STOPWORDS = ["inc", "inc.", "incorporated", "corp", "corp.", "corporation", "co", "co.", "company", "llc", "l.l.c.", "lp", "l.p.", "ltd", "ltd.", "limited", "plc", "holding", "holdings", "group", "the", "and", "of", "sa", "nv", "ag", "trust", "partners", "capital", "international", "industries", "technologies"]
-#: Fixed: search prefixes that count as operators.
-SEARCH_PREFIXES = ["site", "inurl", "intitle", "intext", "inanchor", "filetype", "ext", "allintitle", "allinurl", "allintext", "allinanchor", "related", "cache", "define", "author", "before", "after", "source", "loc", "location", "language", "num", "filter", "safe", "sort", "date", "info", "link", "blogurl"]
+#: Fixed: search operators with their terms, and the other forbidden forms.
+SEARCH_OPERATOR = r"(?<!\w)(?:site|inurl|intitle|intext|inanchor|filetype|ext|allintitle|allinurl|allintext|allinanchor|related|cache|define|author|before|after|source|loc|location|language|num|filter|safe|sort|date|info|link|blogurl):(?:\"[^\"]*\"|\S+)"
+SEARCH_SYNTAX = r'(?<!\S)[+-](?=\S)\S+|\b(?:AND|OR|NOT)\b|"(?:[^"\\]|\\.)+"'
 #: Fixed: officer titles, in the order in which they are tried.
-NOT_A_DEPUTY = r"(?<!\bdeputy\s)(?<!\bvice\s)(?<!\bassistant\s)"
 OFFICES = [
-    ("ceo_of", NOT_A_DEPUTY + r"\b(?:chief\s+executive\s+officer|chief\s+executive|c\.?e\.?o\.?)\b"),
-    ("chairperson_of", NOT_A_DEPUTY + r"\b(?:chair(?:person|man|woman)?)\b(?:\s+of\s+the\s+board)?"),
-    ("cfo_of", NOT_A_DEPUTY + r"\b(?:chief\s+financial\s+officer|c\.?f\.?o\.?)\b"),
-    ("coo_of", NOT_A_DEPUTY + r"\b(?:chief\s+operat(?:ing|ions)\s+officer|c\.?o\.?o\.?)\b"),
+    ("ceo_of", r"(?<!\bdeputy\s)(?<!\bvice\s)(?<!\bassistant\s)\b(?:chief\s+executive\s+officer|chief\s+executive|c\.?e\.?o\.?)\b"),
+    ("chairperson_of", r"(?<!\bvice\s)(?<!\bdeputy\s)(?<!\bassistant\s)\b(?:chair(?:person|man|woman)?)\b(?:\s+of\s+the\s+board)?"),
+    ("cfo_of", r"(?<!\bdeputy\s)(?<!\bvice\s)(?<!\bassistant\s)\b(?:chief\s+financial\s+officer|c\.?f\.?o\.?)\b"),
+    ("coo_of", r"(?<!\bdeputy\s)(?<!\bvice\s)(?<!\bassistant\s)\b(?:chief\s+operat(?:ing|ions)\s+officer|c\.?o\.?o\.?)\b"),
 ]
 UNSETTLED_OFFICE = r"\b(?:interim|acting|co[- ]|former|outgoing)\b"
 OWN_SCOPE = r"\bof\s+(?:the\s+)?(?:board(?:\s+of\s+directors)?|directors|company|issuer|registrant|corporation)\b"
@@ -315,10 +315,8 @@ def date_spellings(day: Column) -> Column:
 # --- search operators ---------------------------------------------------------------------------------------
 def operator_counts(query: Column) -> Column:
     """How many prefix operators, and how many other forbidden forms, a query holds (F21, without overlaps)."""
-    prefix = r"(?i)(?<!\w)(?:" + "|".join(SEARCH_PREFIXES) + r'):(?:"[^"]*"|\S+)'
-    syntax = r'(?<!\S)[+-](?=\S)\S+|\b(?:AND|OR|NOT)\b|"(?:[^"\\]|\\.)+"'
-    rest = F.regexp_replace(query, prefix, " ")
-    return F.struct(F.regexp_count(query, F.lit(prefix)).alias("prefixes"), F.regexp_count(rest, F.lit(syntax)).alias("syntax"))
+    rest = F.regexp_replace(query, "(?i)" + SEARCH_OPERATOR, " ")
+    return F.struct(F.regexp_count(query, F.lit("(?i)" + SEARCH_OPERATOR)).alias("prefixes"), F.regexp_count(rest, F.lit(SEARCH_SYNTAX)).alias("syntax"))
 
 
 # --- cost ---------------------------------------------------------------------------------------------------

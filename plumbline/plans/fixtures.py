@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scorers as S
 from ..functions import text as T
-from ..operators import corroborate, facts
+from ..operators import facts
 from ..sources import adapters, readers
 from . import control
 from .bindings import bound, read
@@ -151,45 +151,6 @@ fixture("fact_fields", "attester_id string, authority_family string, old_value s
     (("b", "sec", None, "cfo_of", "N", ["a", "b", "c", "d", "e", "f"]), ("b", "post_cutoff_novel", "Who is the CFO of N?", "head")),
 ])
 
-# C5 to C12, T5
-FILINGS = [
-    ("On June 29, 2026, the Board appointed Stephen R. Curley as Chief Executive Officer of the Company, effective July 6, 2026.", None, "effective_cue"),
-    ("On July 6, 2026, the Board appointed Stephen Curley as its Chief Executive Officer.", None, "appointment_cue"),
-    ("The Company thanks its people.", "name_not_found", None),
-    ("By: /s/ Stephen Curley Title: Chief Executive Officer Date: July 6, 2026", "signature_block_only", None),
-    ("Stephen Curley was present on July 6, 2026.", "role_phrase_absent", None),
-    ("Effective July 6, 2026, Stephen Curley was appointed as Chief Financial Officer of the Company.", "another_office_is_closer", None),
-    ("Stephen Curley is Chief Executive Officer. Pay was agreed on July 6, 2026.", "appointment_not_described", None),
-    ("The Board appointed Stephen Curley as Chief Executive Officer last week.", "date_not_stated", None),
-    ("Stephen Curley was appointed as Chief Executive Officer, commencing August 24, 2026. He signed on July 6, 2026.", "commences_after_event_date", None),
-    ("Effective July 6, 2026, Stephen Curley was appointed as Chief Executive Officer of Inflection Point.", "role_phrase_absent", None),
-    ("The Board appointed Stephen Curley as Interim Chief Executive Officer, effective July 6, 2026.", "role_phrase_absent", None),
-]
-
-
-@bound("corroboration", expected({"ok": "BOOLEAN", "reason": "VARCHAR", "date_basis": "VARCHAR"}, [(r is None, r, b) for _, r, b in FILINGS]))
-def q_corroboration(spark, d):
-    rows = by_part(spark, d, "text string", [(t,) for t, _, _ in FILINGS])
-    rows = rows.select("*", F.lit("Curley Stephen Russell").alias("owner"), F.lit("ceo_of").alias("role"), F.lit(date(2026, 7, 6)).alias("day"), F.lit("Eagle Bancorp Inc").alias("issuer"))
-    return corroborate.corroborate(rows).select("p_partkey", "confirmation.ok", "confirmation.reason", "confirmation.date_basis")
-
-
-# Parts of one size are attempts at one fact, in order of their keys
-_N = len(FILINGS)
-_REASON = "CASE p_partkey % " + str(_N) + " " + " ".join(f"WHEN {n} THEN {literal(r)}" for n, (_, r, _) in enumerate(FILINGS)) + " END"
-_STEP = "CASE p_partkey % " + str(_N) + " " + " ".join(f"WHEN {n} THEN {corroborate.PROGRESS.index(r) if r else 0}" for n, (_, r, _) in enumerate(FILINGS)) + " END"
-
-
-@bound("corroboration_ledger", f"WITH a AS (SELECT p_partkey % 700 AS fact, p_partkey, {_REASON} AS reason, {_STEP} AS step FROM part) SELECT fact, bool_or(reason IS NULL) AS confirmed, CASE WHEN bool_or(reason IS NULL) THEN NULL ELSE arg_min(reason, p_partkey) END AS reason, CASE WHEN bool_or(reason IS NULL) THEN NULL ELSE max(step) END::INTEGER AS furthest FROM a GROUP BY 1")
-def q_ledger(spark, d):
-    rows = by_part(spark, d, "text string", [(t,) for t, _, _ in FILINGS])
-    rows = rows.select("*", (F.col("p_partkey") % 700).alias("fact"), F.lit("Curley Stephen Russell").alias("owner"), F.lit("ceo_of").alias("role"), F.lit(date(2026, 7, 6)).alias("day"), F.lit("Eagle Bancorp Inc").alias("issuer"))
-    done, rest = corroborate.ledger(corroborate.corroborate(rows), "fact", "p_partkey")
-    step = F.array_position(F.array(*map(F.lit, corroborate.PROGRESS)), F.col("furthest_reason")) - 1
-    none = F.lit(None)
-    return done.select("fact", F.lit(True).alias("confirmed"), none.cast("string").alias("reason"), none.cast("int").alias("furthest")).unionByName(rest.select("fact", F.lit(False).alias("confirmed"), "reason", step.cast("int").alias("furthest")))
-
-
 # V1 to V4, W4, W5, J16, J17
 ITEM = "array<struct<url:string,title:string,description:string,snippets:array<string>,highlights:array<string>,page_age:string>>"
 _item = lambda u, s=("s",), h=None: (u, f"t{u}", "d", list(s), h, "2024-01-01")

@@ -1,3 +1,6 @@
+import hashlib
+import random
+import re
 from datetime import date, datetime
 
 import pytest
@@ -56,11 +59,44 @@ TEXTS = {
 }
 
 
-@pytest.mark.parametrize("text", TEXTS)
-def test_confirm(text):
-    got = C.confirm(text, "Curley Stephen Russell", "ceo_of", date(2026, 7, 6), "Eagle Bancorp Inc")
-    assert got["reason"] == TEXTS[text]
-    assert got["ok"] == (TEXTS[text] is None)
+MORE = [  # text, owner, role, reason, basis, spelling
+    ("On 6 July 2026 the Board named Mr. Curley, Stephen as Chair.", "Curley Stephen", "chairperson_of", None, "appointment_cue", None),
+    ("Stephen Curley retired. Ann Lee was appointed Chief Executive Officer, effective 2026-07-06.", "Curley Stephen", "ceo_of", "role_phrase_absent", None, None),
+    ("Stephen Curley was appointed Chief Executive Officer of our subsidiary on 07/06/2026.", "Curley Stephen", "ceo_of", "role_phrase_absent", None, None),
+    ("Stephen Curley, Chief Executive Officer, was elected. " + "x" * 300 + " It rained on July 6, 2026. " + "y" * 300, "Curley Stephen", "ceo_of", "date_not_marked_effective", None, None),
+    ("STEPHEN É. CURLEY was hired as C.F.O. of the Bank, with effect from July 06, 2026", "Curley Stephen É.", "cfo_of", None, "effective_cue", "STEPHEN É. CURLEY"),
+    ("Chief Operating Officer Stephen Curley joined on July 6, 2026.", "Curley Stephen", "coo_of", None, "appointment_cue", "Stephen Curley"),
+    ("Chief Operating Officer Stephen Curley joined on July 6, 2026.", "Curley Stephen", "president_of", "unsupported_attribute", None, None),
+    ("Chief Operating Officer Stephen Curley joined on July 6, 2026.", "Curley", "coo_of", "name_not_found", None, None),
+    ("Curley and, in the words of a long account of the meeting of the board, Stephen", "Curley Stephen", "ceo_of", "name_not_found", None, None),
+    (None, "Curley Stephen", "ceo_of", "name_not_found", None, None),
+    ("Vice Chair Stephen Curley was elected on July 6, 2026.", "Curley Stephen", "chairperson_of", "role_phrase_absent", None, None),
+    ("Stephen Curley was named Chief Executive Officer. He was made Chief Financial Officer as of August 1, 2026. This is as of July 6, 2026.", "Curley Stephen", "ceo_of", None, "effective_cue", "Stephen Curley"),
+]
+
+
+def test_confirmations(spark):
+    rows = [(n, t, "Curley Stephen Russell", "ceo_of", date(2026, 7, 6), "Eagle Bancorp Inc") for n, t in enumerate(TEXTS)]
+    rows += [(100 + n, t, o, r, date(2026, 7, 6), "Eagle Bancorp Inc") for n, (t, o, r, *_) in enumerate(MORE)]
+    got = {r.n: r.confirmation for r in C.corroborate(spark.createDataFrame(rows, "n int, text string, owner string, role string, day date, issuer string")).collect()}
+    assert [got[n].reason for n in range(len(TEXTS))] == list(TEXTS.values())
+    assert [(got[100 + n].reason, got[100 + n].date_basis, got[100 + n].spelling) for n in range(len(MORE))] == [tuple(m[3:]) for m in MORE]
+    assert all(got[n].ok == (got[n].reason is None) for n in got)
+    first, text = got[0], list(TEXTS)[0]
+    assert first.evidence_sha256 == hashlib.sha256(text[first.evidence_start : first.evidence_end].encode()).hexdigest() and first.date_form == "July 6, 2026"
+
+
+def test_spans(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab. ;AÉ") for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", C.spans(F.col("t"), "[ab]+").alias("s"), *[F.struct(*C.sentence(F.col("t"), F.lit(at))).alias(f"at{at}") for at in (0, 7, 30)]).collect()
+    for r in out:
+        assert [(s.start, s.end, s.hit) for s in r.s] == [(*m.span(), m.group()) for m in re.finditer("[ab]+", r.t)]
+        ends = [m.span() for m in re.finditer(C.SENTENCE_END, r.t)]
+        for at in (0, 7, 30):
+            if at < len(r.t):
+                want = max([b for _, b in ends if b <= at], default=0), min([a + 1 for a, _ in ends if a >= at], default=len(r.t))
+                assert tuple(r[f"at{at}"]) == want, (r.t, at)
 
 
 def test_corroborate_and_ledger(spark):
