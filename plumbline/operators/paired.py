@@ -172,25 +172,6 @@ def quartile_bins(rows: DataFrame, value: str, by: str, out: str = "quartile") -
     return rows.join(edges, by, "left").withColumn(out, binned).drop("__q")
 
 
-def holm(tests: DataFrame, p: str = "p_value", family: list[str] | None = None, out: str = "holm_p") -> DataFrame:
-    """Step-down Holm within a family."""
-    keys = family or []
-    ranked = tests.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(p))).withColumn("__m", F.count(p).over(Window.partitionBy(*keys)))
-    running = Window.partitionBy(*keys).orderBy("__i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stepped = F.max(F.least(F.lit(1.0), (F.col("__m") - F.col("__i") + 1) * F.col(p))).over(running)
-    return ranked.withColumn(out, stepped).drop("__i", "__m")
-
-
-def benjamini_hochberg(tests: DataFrame, p: str = "p", family: list[str] | None = None, out: str = "p_bh") -> DataFrame:
-    """BH within a family; null and NaN p-values stay out."""
-    keys = family or []
-    clean = F.when(~F.isnan(p), F.col(p))
-    ranked = tests.withColumn("__p", clean).withColumn("__m", F.count("__p").over(Window.partitionBy(*keys))).withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("__p").asc_nulls_last())))
-    behind = Window.partitionBy(*keys).orderBy(F.col("__i").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    adjusted = F.least(F.lit(1.0), F.min(F.col("__p") * F.col("__m") / F.col("__i")).over(behind))
-    return ranked.withColumn(out, F.when(F.col("__p").isNotNull(), adjusted)).drop("__p", "__m", "__i")
-
-
 def z_scored(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Mean 0, sample deviation 1, from one aggregate that is joined back."""
     stats = rows.agg(*[F.avg(c).alias(f"__m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"__s_{c}") for c in columns])

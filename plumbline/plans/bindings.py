@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scorers as S
 from ..functions import text as T
 from ..functions.udfs import folded
-from ..operators import containment, facts, models, paired, records
+from ..operators import containment, facts, models, multiplicity, paired, records
 
 #: R14.
 SCORER_ORDER = tuple(S.SCORERS)
@@ -40,6 +40,7 @@ FLOATS: dict[str, list[str]] = {
     "latency_quartiles": ["q"],
     "holm": ["p", "holm_p"],
     "benjamini_hochberg": ["p", "p_bh"],
+    "corrections_one_family": ["holm_p", "p_bh"],
     "z_scores": ["s_acctbal", "z_s_acctbal"],
     "score_leakage_guard": ["leakage_guard"],
     "score_budget_economy": ["budget_economy"],
@@ -219,12 +220,22 @@ def p_values(spark, d) -> DataFrame:
 
 @bound("holm", f"WITH {PV}, r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p) AS i, count(*) OVER (PARTITION BY family) AS m FROM pv) SELECT family, test, p, max(least(1.0::DOUBLE, (m - i + 1) * p)) OVER (PARTITION BY family ORDER BY i) AS holm_p FROM r")
 def q_holm(spark, d):
-    return paired.holm(p_values(spark, d), "p", ["family"])
+    return multiplicity.holm(p_values(spark, d), "p", ["family"])
+
+
+_ALL = "pv AS (SELECT o_orderkey AS test, ((o_orderkey * 7919) % 99991 + 1) / 99992.0::DOUBLE AS p FROM orders), r AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM pv)"
+
+
+@bound("corrections_one_family", f"WITH {_ALL} SELECT test, max(least(1.0::DOUBLE, (m - i + 1) * p)) OVER (ORDER BY i) AS holm_p, least(1.0::DOUBLE, min(p * m / i) OVER (ORDER BY i DESC)) AS p_bh FROM r")
+def q_one_family(spark, d):
+    """One family of all rows."""
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("test"), ((F.col("o_orderkey") * 7919 % 99991 + 1) / F.lit(99992.0)).alias("p"))
+    return multiplicity.benjamini_hochberg(multiplicity.holm(rows, "p")).drop("p")
 
 
 @bound("benjamini_hochberg", f"WITH {PV}, r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p) AS i, count(*) OVER (PARTITION BY family) AS m FROM pv) SELECT family, test, p, least(1.0::DOUBLE, min(p * m / i) OVER (PARTITION BY family ORDER BY i DESC)) AS p_bh FROM r")
 def q_bh(spark, d):
-    return paired.benjamini_hochberg(p_values(spark, d), "p", ["family"])
+    return multiplicity.benjamini_hochberg(p_values(spark, d), "p", ["family"])
 
 
 @bound("z_scores", "SELECT s_suppkey, s_acctbal, (s_acctbal - avg(s_acctbal) OVER ()) / stddev_samp(s_acctbal) OVER () AS z_s_acctbal FROM supplier")
