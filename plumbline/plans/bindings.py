@@ -299,7 +299,6 @@ FLAT = r"""x AS (SELECT page_id // 6 AS row_id, page_id % 3 AS step, page_id, ur
 _LEAKS = "bool_or(host = 'tionsh.example.net' OR ends_with(host, '.tionsh.example.net') OR host IN ('web.archive.org', 'archive.org'))"
 _GATE = f"CASE WHEN any_value(surface) = 'none' THEN NULL ELSE least(CASE WHEN {_LEAKS} THEN 0.0 ELSE 1.0 END, CASE WHEN any_value(used) <= 5 THEN 1.0 ELSE 0.0 END) END::DOUBLE"
 #: By row modulo 10: the answers of ``trajectories`` against the gold of even and odd rows.
-_MATCH = "CASE WHEN row_id % 10 IN (0, 7) THEN 1.0 WHEN row_id % 10 = 9 THEN 1.0 ELSE 0.0 END::DOUBLE"
 
 
 def scored(*names: str) -> Query:
@@ -316,9 +315,6 @@ for _name, _sql in {
     bound(f"score_{_name}", f"WITH {FLAT} SELECT row_id, {_sql} AS {_name} FROM y GROUP BY row_id")(scored(_name))
 
 bound("score_dealbreaker_gate", f"WITH {FLAT} SELECT row_id, {_GATE} AS dealbreaker_gate FROM y GROUP BY row_id")(scored("dealbreaker_gate"))
-bound("score_answer_match", f"WITH {FLAT} SELECT row_id, {_MATCH} AS qa_answer_match FROM y GROUP BY row_id")(scored("qa_answer_match"))
-bound("score_gated_answer_match", f"WITH {FLAT}, g AS (SELECT row_id, {_GATE} AS gate, {_MATCH} AS m FROM y GROUP BY row_id) SELECT row_id, CASE WHEN gate = 0 THEN 0.0 ELSE m END::DOUBLE AS gated_answer_match FROM g")(scored("gated_answer_match"))
-
 
 @bound("score_registry", "SELECT unnest(range(11))::INT AS position, unnest(['qa_answer_match', 'leakage_guard', 'budget_economy', 'dealbreaker_gate', 'gated_answer_match', 'temporal_grounding', 'snippet_sufficiency', 'evidence_precision', 'token_discounted_gain', 'compression_redundancy', 'domain_entropy']) AS name")
 def q_registry(spark, d):
