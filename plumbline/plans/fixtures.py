@@ -1,107 +1,15 @@
-"""Operators on cases whose results follow from their definition, each beside SQL that states these results.
-
-A case is a row of inputs and the outputs expected of it; every row of ``part`` is given case number p_partkey modulo the
-number of cases, so that the operator runs over the whole table.
-"""
+"""Run flags, facts, run plans and documents whose inputs follow from a table's keys."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import date
-
-from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scorers as S
-from ..functions import text as T
-from ..operators import facts
 from ..sources import adapters, readers
 from . import control
 from .bindings import bound, read
 
-
-def literal(value: object) -> str:
-    """A value in SQL."""
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return str(value).upper()
-    if isinstance(value, float):
-        return f"{value!r}::DOUBLE"
-    return str(value) if isinstance(value, int) else "'" + str(value).replace("'", "''") + "'"
-
-
-def by_part(spark: SparkSession, d: str, ddl: str, inputs: list[tuple]) -> DataFrame:
-    """p_partkey with its case's inputs; the cases are a short list."""
-    cases = spark.createDataFrame([(n, *c) for n, c in enumerate(inputs)], f"case_no bigint, {ddl}")
-    return read(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(inputs)).alias("case_no")).join(F.broadcast(cases), "case_no").drop("case_no")
-
-
-def expected(outputs: dict[str, str], rows: list[tuple]) -> str:
-    """SQL for the outputs (name: type) of every row of ``part``."""
-    values = ", ".join(f"({n}, {', '.join(map(literal, r))})" for n, r in enumerate(rows))
-    columns = ", ".join(f"{c}::{kind} AS {c}" for c, kind in outputs.items())
-    return f"SELECT p_partkey, {columns} FROM part JOIN (VALUES {values}) AS v(case_no, {', '.join(outputs)}) ON p_partkey % {len(rows)} = case_no"
-
-
-def fixture(name: str, ddl: str, outputs: dict[str, tuple[str, Callable[[], Column]]], cases: list[tuple[tuple, tuple]]) -> None:
-    """Registers columns over cases of (inputs, outputs)."""
-
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return by_part(spark, d, ddl, [c for c, _ in cases]).select("p_partkey", *(f().alias(c) for c, (_, f) in outputs.items()))
-
-    bound(name, expected({c: kind for c, (kind, _) in outputs.items()}, [o for _, o in cases]))(run)
-
-
-col = F.col
-joined = lambda c: F.array_join(c, "|")
 day = lambda c: F.date_format(c, "yyyy-MM-dd")
-
-# V1 to V4, W4, W5, J16, J17
-ITEM = "array<struct<url:string,title:string,description:string,snippets:array<string>,highlights:array<string>,page_age:string>>"
-_item = lambda u, s=("s",), h=None: (u, f"t{u}", "d", list(s), h, "2024-01-01")
-RESPONSES = [
-    (([_item("w1"), _item("w2", ()), _item("w3", ("a", "b"))], [_item("n1", h=["h"])]), ("w1|n1|w2|w3", "s|h|d|a\nb", "page_age|publication|page_age|page_age", "[1] tw1\nw1\n2024-01-01\ns\n\n[2] tn1")),
-    (([], [_item("n1"), _item("n2")]), ("n1|n2", "s|s", "publication|publication", "[1] tn1\nn1\n2024-01-01\ns\n\n[2] tn2")),
-    ((None, None), ("", "", "", "")),
-]
-
-
-@bound("search_results", expected({"urls": "VARCHAR", "snippets": "VARCHAR", "semantics": "VARCHAR", "starts": "VARCHAR"}, [o for _, o in RESPONSES]))
-def q_responses(spark, d):
-    rows = by_part(spark, d, f"web {ITEM}, news {ITEM}", [c for c, _ in RESPONSES]).withColumnRenamed("p_partkey", "row_id")
-    r = adapters.sectioned_results(rows)
-    each = lambda c: joined(F.transform("results", lambda x: x[c]))
-    shown = F.regexp_extract(adapters.rendered(F.col("results")), r"(?s)^(.*\[2\] \w+|)", 1)
-    return r.select(F.col("row_id").alias("p_partkey"), each("url").alias("urls"), each("snippet").alias("snippets"), each("date_semantics").alias("semantics"), shown.alias("starts"))
-
-
-ACTIONS = [
-    (([("search", "q", ["u1", "u2"]), ("open_page", None, None), ("find", None, None)], [("u1", ""), ("u1", "Title")]), (1, 1, 1, "Title|")),
-    (([("search", "a", ["u2"]), ("search", "b", ["u3"])], [("u3", "Three"), ("u2", "Two")]), (2, 0, 0, "Two|Three")),
-    (([("find", None, None)], []), (0, 0, 1, "")),
-]
-
-
-@bound("action_searches", expected({"searches": "INTEGER", "opened": "INTEGER", "found": "INTEGER", "titles": "VARCHAR"}, [o for _, o in ACTIONS]))
-def q_actions(spark, d):
-    rows = by_part(spark, d, "actions array<struct<type:string,query:string,sources:array<string>>>, citations array<struct<url:string,title:string>>", [c for c, _ in ACTIONS]).withColumnRenamed("p_partkey", "row_id")
-    titles = F.flatten(F.transform("trajectory", lambda s: F.transform(s["results"], lambda r: r["title"])))
-    return adapters.action_searches(rows).select(F.col("row_id").alias("p_partkey"), "searches", "opened", "found", joined(titles).alias("titles"))
-
-
-BLOCKS = [
-    (([("server_tool_use", "i1", None, "q", None, None), ("web_search_tool_result", None, "i1", None, "max_uses", ["x"])],), ("q", "max_uses", None)),
-    (([("text", None, None, None, None, None), ("server_tool_use", "i2", None, "r", None, None), ("web_search_tool_result", None, "i2", None, None, ["a", "b"])],), ("r", None, 2)),
-    (([("server_tool_use", "i3", None, "lost", None, None)],), ("lost", None, None)),
-]
-
-
-@bound("block_searches", expected({"query": "VARCHAR", "error": "VARCHAR", "n": "INTEGER"}, [o for _, o in BLOCKS]))
-def q_blocks(spark, d):
-    rows = by_part(spark, d, "blocks array<struct<type:string,id:string,tool_use_id:string,query:string,error:string,results:array<string>>>", [c for c, _ in BLOCKS]).withColumnRenamed("p_partkey", "row_id")
-    return adapters.block_searches(rows).select(F.col("row_id").alias("p_partkey"), "query", "error", F.when(F.col("results").isNotNull(), F.size("results")).alias("n"))
-
+OFFICIAL = {"sec.gov": "sec"}
 
 # V5, V6, V7, F57
 _RUNS = "SELECT o_orderkey, used = 0 AS zero_search_row, errors > 0 AS search_degraded, used > 0 AND errors >= used AS search_fully_failed, round(used * 0.005 + t / 1000.0, 6)::DOUBLE AS total_cost_usd, CASE WHEN t > 0 THEN round(c / t::DOUBLE, 6) END::DOUBLE AS cache_hit_rate FROM (SELECT o_orderkey, o_orderkey % 4 AS used, o_orderkey % 3 AS errors, o_orderkey % 11 AS t, o_orderkey % 5 AS c FROM orders)"
