@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import archives
+
 MEMBER_LIMIT = 100 << 20
 
 
@@ -50,8 +52,11 @@ def zipped_json(spark: SparkSession, path: str, members: list[str] | None = None
     """(archive, member, doc, too_large) of JSON members, without unpacking the archive.
 
     ``members`` names those wanted, ``need`` a key that a document must have; members above ``limit`` bytes are reported
-    with a null doc instead of being read.
+    with a null doc instead of being read.  Members are read by their ranges; where a store is known to Spark alone, a task reads
+    whole archives.
     """
+    if archives.supported(path):
+        return archives.zip_members(spark, path, members, need, limit)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     wanted = set(members) if members is not None else None
 
