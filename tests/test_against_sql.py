@@ -1,6 +1,9 @@
 """Registered queries against their SQL in DuckDB, on small tables that tell the two apart."""
 
+import math
+
 import duckdb
+import pytest
 
 from plumbline.plans.registry import QUERIES, SQL
 
@@ -36,3 +39,13 @@ def test_html_text(spark, tmp_path):
     values = ", ".join("(" + "'" + t.replace("'", "''") + "')" for t in texts)
     got, want = against_sql(spark, tmp_path, "html_text", pages=f"SELECT row_number() OVER () AS page_id, html FROM (VALUES {values}, (NULL)) v(html)")
     assert got == want and "this &amp that & it" in {r[1] for r in got}
+
+
+@pytest.mark.parametrize("query", ["corrections_one_family", "benjamini_hochberg"])
+def test_corrections(spark, tmp_path, query):
+    got, want = against_sql(
+        spark, tmp_path, query,
+        orders="SELECT r::BIGINT AS o_orderkey FROM range(1, 3000) t(r)",
+        part="SELECT r::BIGINT AS p_partkey, 'b' || r % 3 AS p_brand FROM range(1, 3000) t(r)",
+    )
+    assert len(got) == 2999 and all(math.isclose(a, b, abs_tol=2e-6) if isinstance(a, float) else a == b for g, w in zip(got, want, strict=True) for a, b in zip(g, w, strict=True))
