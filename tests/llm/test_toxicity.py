@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from plumbline.llm import toxicity
 from plumbline.llm import wordblocks as W
 from plumbline.llm.toxicity import DIM, FILTERS, ROWS, WIDTHS, Cnn, fit, gradients, padded, score, threshold, word_rows
 
@@ -117,3 +119,32 @@ def test_gradients_match_differences():
     up = loss()
     model.out_bias -= 2e-6
     assert by_out_bias == pytest.approx((up - loss()) / 2e-6, abs=1e-6)
+
+
+def test_all_labels_are_learned_from(spark, monkeypatch):
+    """Words that stand in few of very many labelled documents count, in whatever shard these are; the counts are those of all."""
+    monkeypatch.setattr(toxicity, "SHARD", 1500)
+    words = [f"word{n}" for n in range(200)]
+    rng = random.Random(9)
+    rude = ["vile", "scoundrel", "lumpengei", "grobian", "mascalzone", "canalla"]
+    rows, labels = [], []
+    for n in range(9000):
+        toxic = n % 9 < 4
+        rows.append((n, " ".join([*rng.choices(words, k=8), *([rude[n % 6]] if toxic else [])]), "aa", "c", 1, 1))
+        labels.append((n, 1, int(toxic)))
+    seen = {}
+    added = toxicity.added
+    monkeypatch.setattr(toxicity, "added", lambda texts, arrays: seen.setdefault("first", added(texts, arrays)) if arrays is toxicity._counts else added(texts, arrays))
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(docs, marks)
+    assert seen["first"]["lang aa"].sum() == sum(len(r[1].split()) for r in rows)
+    data, where = W.utf8(pa.array([f"word1 {w} word2" for w in rude] + ["word1 word3 word2"] * 3))
+    assert (model.scores(data, where) >= 0.7).tolist() == [True] * 6 + [False] * 3
+
+
+def test_threshold_of_counts():
+    rng = np.random.default_rng(3)
+    z = rng.permutation(np.arange(400)) / 50
+    y = (z + rng.normal(0, 1, 400) > 5).astype(int)
+    assert threshold(z, y, of=np.ones(400)) == threshold(z, y)
+    assert threshold(np.array([3.0, 2, 1, 0]), np.array([5, 1, 0, 0]), of=np.array([5, 1, 4, 9])) == 1.25
