@@ -1,5 +1,7 @@
 """Bootstraps by bucket against draws made in one place."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -65,3 +67,37 @@ def test_figure_tables(spark):
     tasks = [t for t in range(12) if t % 2 and t != 3]
     assert (r.n_tasks, r.n_rows) == (5, 10) and r.mean == pytest.approx(np.mean([t % 3 for t in tasks])) and r.ci_low <= r.mean <= r.ci_high
     assert got["two", "y", "judge"].n_tasks == 11 and got["two", "y", "judge"].ci_high == 1.0
+
+
+def test_quantile_of_many_draws():
+    """The masses around the mean alone give what all of them give."""
+    def whole(draws, p, u):
+        k = np.arange(draws)
+        logs = np.array([math.lgamma(draws + 1) - math.lgamma(x + 1) - math.lgamma(draws - x + 1) for x in k.tolist()])
+        return int((np.cumsum(np.exp(logs + k * math.log(p) + (draws - k) * math.log1p(-p))) < u).sum())
+
+    for draws, p in ((1, 0.5), (7, 0.3), (900, 0.001), (5000, 0.5), (20000, 0.249)):
+        assert all(R.quantile(draws, p, u) == whole(draws, p, u) for u in (2**-33, 0.01, 0.5, 0.9999, 1 - 2**-33))
+
+
+def test_buckets_are_streamed(spark):
+    """No list of a bucket's tasks is made, and the order of tasks alone decides, in however many batches a bucket comes."""
+    rows = [(f"c{n % 3}", n, float(n % 17)) for n in range(6000)]
+    df = spark.createDataFrame(rows, "contrast string, task_key int, diff double").repartition(7)
+    out = R.resampled_means(df, 5, buckets=4, draws="md5")
+    assert "collect_list(struct(task" not in out._jdf.queryExecution().optimizedPlan().toString()
+    whole = {(r.contrast, r.round): r.mean for r in out.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        parts = {(r.contrast, r.round): r.mean for r in R.resampled_means(df, 5, buckets=4, draws="md5").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(whole) == 15 and parts == pytest.approx(whole)
+    # by hand, for one contrast
+    mine = [(str(t), d) for c, t, d in rows if c == "c1"]
+    dealt = [sorted(x for x in mine if R._digits(x[0]) % 4 == b) for b in range(4)]
+    sizes, source = np.array([len(x) for x in dealt]), R.Md5(7, "c1")
+    draws = [R.bucket_draws(source, sizes, b, 5) for b in range(4)]
+    for r in range(5):
+        drawn = [dealt[b][R._digits(f"7:c1:{b}:{r}:{j}") % sizes[b]][1] for b in range(4) for j in range(draws[b][r])]
+        assert whole["c1", r] == pytest.approx(sum(drawn) / len(mine))
