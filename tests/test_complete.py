@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import Row
+
 from plumbline.sources import versions
 from plumbline.streaming import complete
 
@@ -32,3 +34,33 @@ def test_batches(spark, tmp_path):
     before = versions.versions(spark, path)
     assert run() == want and versions.versions(spark, path) == before  # nothing new: nothing written
     assert run(f"{tmp_path}/other") == want  # everything again, from the start: the same rows
+
+
+def test_state_is_read_and_written_once():
+    """A root's state is one value, whatever the number of its spans."""
+    calls = []
+
+    class Held:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Held()
+
+    one = complete.Completing(["a", "b"])
+    one.init(Handle())
+    spans = lambda *rows: iter([Row(root_span_id="x", name=n, score=s, at=at) for n, s, at in rows])
+    assert list(one.handleInputRows(("x",), spans(("a", 1.0, 1), ("a", 2.0, 3), ("c", 5.0, 2)), None)) == []
+    assert list(one.handleInputRows(("x",), spans(("b", None, 4), ("a", 0.0, 2)), None)) == [Row(root_span_id="x", names=["a", "b", "c"], scores=[2.0, None, 5.0])]
+    assert calls == ["update", "get", "update"]
