@@ -3,7 +3,7 @@
 A word (a run of ASCII letters and non-ASCII characters, lower-cased) is the sum of three rows of one hashed
 embedding table: of itself and of its first four and five bytes, so that unseen forms of a known stem are
 near it.  Filters of widths 1, 2 and 3 slide over the words; each filter's maximum over the whole text
-feeds a logistic output.  Trained on all labelled documents: these are dealt by a hash of their ids to shards of some
+feeds a logistic output.  Trained on all labelled documents: texts and labels are dealt once, by id, to shards of some
 ``SHARD``; in each epoch every shard runs Adam in numpy over its documents from the common model, and the changes are averaged over
 shards, those of an embedding row over the shards that moved it.  What the model starts from (log odds of rows by class) and
 the word frequencies of languages are counts over all labelled documents too.
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordblocks as W
+from .frames import FEW
 from .scratch import drop, prepare, table
 
 ROWS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 8, (1, 2, 3)
@@ -313,12 +314,16 @@ def _logits(model: Cnn):
 def train(documents: DataFrame, labels: DataFrame, decide: float = 0.7, spare: int = 5, epochs: int = 4, rate: float = 0.01) -> Cnn | float:
     """Fit and calibrate on all labelled documents (doc_id, text, lang), of which one in ``spare`` is kept for calibration.  A
     share if a class is missing."""
-    each = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    shards = max(1, -(-each.count() // SHARD))
-    rank = F.xxhash64("doc_id")
-    marked = each.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), rank.alias("rank"), F.pmod(rank, F.lit(shards)).cast("int").alias("shard"), (F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(spare)) == 0).alias("spared"))
-    rows = documents.select("doc_id", "text", "lang").join(marked, "doc_id").select("shard", "rank", "toxic", "lang", "spared", "text").mapInArrow(_rows, "shard int, rank bigint, toxic int, lang string, spared boolean, rows binary")
-    laid = table(rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "rank", "rows"), "labelled")
+    ids = F.col("doc_id").cast("bigint").alias("doc_id")
+    each = labels.where("doc_id is not null and toxic is not null").groupBy(ids).agg(F.max("toxic").cast("int").alias("toxic"))
+    n = each.count()
+    shards = max(1, -(-n // SHARD))
+    marked = each.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), F.xxhash64("doc_id").alias("rank"), (F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(spare)) == 0).alias("spared"))
+    # partitions are the shards, so a text is shuffled once; few labels keep the other texts out of that shuffle
+    texts = documents.select(ids, "text", "lang")
+    met = texts.join(F.broadcast(marked), "doc_id").repartition(shards, "doc_id") if n <= FEW else texts.repartition(shards, "doc_id").join(marked.repartition(shards, "doc_id"), "doc_id")
+    rows = met.select(F.spark_partition_id().alias("shard"), "rank", "toxic", "lang", "spared", "text").mapInArrow(_rows, "shard int, rank bigint, toxic int, lang string, spared boolean, rows binary")
+    laid = table(rows.sortWithinPartitions("shard", "rank", "rows"), "labelled")
     # a row a class and language
     seen = laid.groupBy("spared", "toxic", "lang").count().collect()
     count = lambda toxic, *spared: sum(r["count"] for r in seen if r.toxic == toxic and r.spared in spared)
@@ -371,6 +376,7 @@ def score(documents: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (
     prepare(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(held_out[0])) == held_out[1], F.lit(False))
-    model = train(docs, labels.where(~fold), decide)
+    # texts that are held out needn't go where labels are
+    model = train(docs.where(~fold), labels.where(~fold), decide)
     out = docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id bigint, score double")
     return out.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= decide).cast("int").alias("predicted"))

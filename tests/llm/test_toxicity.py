@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -148,3 +149,32 @@ def test_threshold_of_counts():
     y = (z + rng.normal(0, 1, 400) > 5).astype(int)
     assert threshold(z, y, of=np.ones(400)) == threshold(z, y)
     assert threshold(np.array([3.0, 2, 1, 0]), np.array([5, 1, 0, 0]), of=np.array([5, 1, 4, 9])) == 1.25
+
+
+def shuffled(node, *names):
+    """Shuffles of a plan whose rows have a column called so."""
+    own = node.nodeName() == "Exchange" and any(node.output().apply(n).name() in names for n in range(node.output().size()))
+    return own + sum(shuffled(node.children().apply(n), *names) for n in range(node.children().size()))
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_texts_are_dealt_once(spark, monkeypatch, few):
+    """Labelled texts meet their labels and go to their shards in one shuffle, without those that are held out."""
+    seen, table = {}, toxicity.table
+    monkeypatch.setattr(toxicity, "SHARD", 50)
+    monkeypatch.setattr(toxicity, "FEW", few, raising=False)
+    monkeypatch.setattr(toxicity, "table", lambda df, name: seen.setdefault(name, (df, table(df, name)))[1])
+    monkeypatch.setattr(toxicity, "drop", lambda *tables: None)
+    rows = [(n, f"word{n} " * (1 + n % 7) + ("vile" if n % 3 == 0 else "kind"), "aa", "c", 1, 1) for n in range(600)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        score(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(n, 1, int(n % 3 == 0)) for n in range(0, 600, 2)], "doc_id bigint, quality int, toxic int"))
+        plan = seen["labelled"][0]._jdf.queryExecution().executedPlan()
+        assert shuffled(plan.initialPlan(), "text", "rows") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    kept = [n for n in range(0, 600, 2) if zlib.crc32(str(n).encode()) % 3 != 1]
+    laid = seen["labelled"][1].collect()
+    assert sorted(len(r.rows) // 6 for r in laid) == sorted(len(rows[n][1].split()) for n in kept)
+    assert {r.shard for r in laid} == set(range(-(-len(kept) // 50)))
