@@ -3,8 +3,8 @@
 Ratings 0 < 1 < ... < K come from one latent quality ``x.w`` with ordered thresholds:
 P(grade <= k) = sigmoid(t_k - x.w), with one weight vector for all thresholds.  The features are hashed text: mean
 counts of lower-cased words and of word shapes (case, symbols, digits, length, repetition of the last word).
-The model is fitted in numpy on at most ``most`` labelled documents of at most ``most_words`` words together, those whose
-ids hash least; scoring reads every document whole, once, with no shuffle.
+The model is fitted in numpy, in one task, on at most ``most`` labelled documents of at most ``most_words`` words together,
+those whose ids hash least; the driver gets the model alone.  Scoring reads every document whole, once, with no shuffle.
 
 Defined results: null texts and texts without words have expected grade 0 and tail probability 0; documents of
 an unknown (null) id are scored as any other and never used to fit; repeated labels of an id count by their
@@ -125,6 +125,21 @@ def _rows(batches):
             yield pa.RecordBatch.from_arrays([rows.column("rank"), rows.column("grade"), pa.array(np.diff(first)), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], schema=schema)
 
 
+def _fitted(batches):
+    """The model of all rows (one partition of few): its grade if there is only one, weights and thresholds otherwise."""
+    grade, size, index, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for batch in batches:
+        lists = [batch.column(c) for c in ("index", "value")]
+        for held, kind, some in ((grade, np.int64, batch.column("grade")), (size, np.int64, lists[0].value_lengths()), (index, np.int64, lists[0].flatten()), (value, np.float64, lists[1].flatten())):
+            held.append(np.asarray(some, kind))
+    grade, size, index, value = map(np.concatenate, (grade, size, index, value))
+    if not len(grade):
+        return
+    only = int(grade[0]) if len(np.unique(grade)) < 2 else None
+    model = fit(index, value, np.concatenate([[0], np.cumsum(size)]), grade) if only is None else OrdinalModel(np.zeros(0), np.zeros(0))
+    yield pa.RecordBatch.from_arrays([pa.array([only], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (model.weights, model.thresholds))], names=["only", "weights", "thresholds"])
+
+
 def graded(labels: DataFrame) -> DataFrame:
     """(doc_id, grade): 0 poor, 1 good but toxic, 2 good."""
     each = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
@@ -138,13 +153,11 @@ def train(documents: DataFrame, grades: DataFrame, most: int = 6000, most_words:
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("rank", "text", F.col("grade").cast("int").alias("grade"))
     drawn = table(rows.mapInArrow(_rows, "rank bigint, grade int, words bigint, index array<int>, value array<float>"), "sample")
     upto = F.sum("words").over(Window.orderBy("rank", "words").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    got = drawn.withColumn("upto", upto).where(F.col("upto") <= most_words).select("grade", "index", "value").toArrow()
-    grade = np.asarray(got.column("grade").combine_chunks(), np.int64) if len(got) else np.zeros(0, np.int64)
-    if len(np.unique(grade)) < 2:
-        return int(grade[0]) if len(grade) else -1
-    index, value = (got.column(c).combine_chunks() for c in ("index", "value"))
-    begin = np.concatenate([[0], np.cumsum(np.asarray(index.value_lengths()))])
-    return fit(np.asarray(index.flatten(), np.int64), np.asarray(value.flatten(), np.float64), begin, grade)
+    got = drawn.withColumn("upto", upto).where(F.col("upto") <= most_words).select("grade", "index", "value").mapInArrow(_fitted, "only int, weights binary, thresholds binary").collect()
+    if not got or got[0].only is not None:
+        return got[0].only if got else -1
+    return OrdinalModel(np.frombuffer(got[0].weights), np.frombuffer(got[0].thresholds))
+
 
 
 def _score(model: OrdinalModel | int, top: int, at_least: int, text_at: int):

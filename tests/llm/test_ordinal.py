@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from plumbline.llm import ordinal
 from plumbline.llm.ordinal import SHAPES, WORDS, OrdinalModel, _rows, _score, fit, gradient, graded, rate
 
 SCHEMA = "doc_id bigint, text string, grade string, expected string, index int"
@@ -112,3 +113,22 @@ def test_sample_ends_with_its_words(spark):
     rows, labels = corpus(60)
     df, lf = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
     assert isinstance(train(df, graded(lf)), OrdinalModel) and not isinstance(train(df, graded(lf), most_words=45), OrdinalModel)
+
+
+def test_the_driver_gets_the_model_alone(spark, monkeypatch):
+    """The fit runs in a task, on the rows in the order of their ids' hashes."""
+    texts = {n: " ".join(f"w{(n * k) % 17}" for k in range(1, 9)) + (" ### spam" if n % 3 == 0 else "") for n in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    grades = spark.createDataFrame([(n, 0 if n % 3 == 0 else 2) for n in texts], "doc_id bigint, grade int")
+    fit = ordinal.fit
+    monkeypatch.setattr(ordinal, "fit", lambda *a, **b: pytest.fail("the driver fits"))
+    model = ordinal.train(docs, grades)
+    ranked = [r.doc_id for r in grades.selectExpr("doc_id", "xxhash64(doc_id) rank").orderBy("rank").collect()]
+    schema = ["rank", "grade", "text"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array([0 if n % 3 == 0 else 2 for n in ranked], pa.int32()), pa.array([texts[n] for n in ranked])], names=schema)
+    rows = pa.Table.from_batches(ordinal._rows([batch])).combine_chunks()
+    index, value = (rows.column(c).combine_chunks() for c in ("index", "value"))
+    own = fit(np.asarray(index.flatten(), np.int64), np.asarray(value.flatten(), np.float64), np.concatenate([[0], np.cumsum(np.asarray(index.value_lengths()))]), np.asarray(rows.column("grade"), np.int64))
+    assert (model.weights == own.weights).all() and (model.thresholds == own.thresholds).all()
+    one = ordinal.train(docs, grades.where("grade = 2"))
+    assert one == 2 and ordinal.train(docs, grades.limit(0)) == -1
